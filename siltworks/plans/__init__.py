@@ -1,0 +1 @@
+"""siltworks.plans"""
