@@ -22,6 +22,7 @@ def build(cores: int | str = "*", app: str = "siltworks", **conf: str) -> SparkS
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
