@@ -98,7 +98,7 @@ def routed(classes: DataFrame) -> DataFrame:
     """Pairs (e, t) of classes, evaluation and training side, that pass the prefix filter: no pair that
     shares SHARE of the larger one's units is missing."""
     post = classes.where("n > 0").select("cls", "n", "ev", "tr", F.explode("h").alias("u"))
-    df = post.groupBy("u").agg(F.count("*").alias("df"), F.count_if("ev").alias("de"), F.count_if("tr").alias("dt")).where("df > 1 and de > 0 and dt > 0")
+    df = post.groupBy("u").agg(F.count("*").alias("df"), F.count_if(F.col("ev")).alias("de"), F.count_if(F.col("tr")).alias("dt")).where("df > 1 and de > 0 and dt > 0")
     shared = post.join(df.select("u", "df"), "u").groupBy("cls", "n", "ev", "tr").agg(F.sort_array(F.collect_list(F.struct("df", "u"))).alias("s"))
     keep = F.size("s") - F.ceil(F.col("n") * SHARE).cast("int") + 1
     pre = stored(
