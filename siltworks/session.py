@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,25 @@ def build(cores: int | str = "*", app: str = "siltworks", **conf: str) -> SparkS
     return s
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application: they need not share a disk or
+    a search path with the driver."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="siltworks-zip-"))
+    atexit.register(shutil.rmtree, at, True)
+    with zipfile.ZipFile(at / "siltworks.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"siltworks/{f.relative_to(root)}")
+    sc.addPyFile(str(at / "siltworks.zip"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 

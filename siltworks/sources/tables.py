@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.session import ship
+
 
 def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
     """Columns `cols` of table `name` under folder `d`; all columns where none is named."""
+    ship(spark)
     df = spark.read.parquet(f"{d}/{name}.parquet")
     return df.select(*cols) if cols else df
 
