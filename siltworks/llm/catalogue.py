@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("overlap", "secrets", "grouping", "syntax", "provenance", "licences")
+MODULES = ("overlap", "secrets", "grouping", "syntax", "provenance", "licences", "level")
 
 
 def _each():
