@@ -1,4 +1,282 @@
-"""Corpus queries (filled in below)."""
+"""Corpus records, staged texts, registry and audit: queries with the SQL beside them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from siltworks.functions import ident as I
+from siltworks.functions import scan as S
+from siltworks.functions import text as T
+from siltworks.functions.paths import trimmed
+from siltworks.operators import audit, dedup, splits
+from siltworks.sources.tables import SPLIT_SQL, one_per_key, records, split_name, table
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: One row per record and one per staged path, as SQL.
+REC = "rec AS (SELECT record_id, min(source_id) source_id, min(group_id) group_id, min(kind) kind, min(original_path) original_path, min(staged_path) staged_path, min(split) split, min(license) license, min(project_root) project_root, min(validation_status) validation_status, min(bytes) bytes FROM records WHERE record_id IS NOT NULL GROUP BY record_id)"
+STG = "stg AS (SELECT staged_path, min(text) text FROM staged_files WHERE staged_path IS NOT NULL GROUP BY staged_path)"
+RECORD_COLUMNS = ("source_id", "group_id", "kind", "original_path", "staged_path", "split", "license", "project_root", "validation_status", "bytes")
+
+
+def plain_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each record once; every column its least value over the deliveries."""
+    r = table(spark, d, "records", "record_id", *RECORD_COLUMNS).where("record_id is not null")
+    return r.groupBy("record_id").agg(*[F.min(c).alias(c) for c in RECORD_COLUMNS])
+
+
+def staged(spark: SparkSession, d: str) -> DataFrame:
+    return one_per_key(table(spark, d, "staged_files", "staged_path", "text"), "staged_path", "text")
+
+
+_N = T.normalize_code_sql("text")
+
+
+@query(f"""WITH {STG}, n AS (SELECT staged_path, {_N} AS t FROM stg WHERE text IS NOT NULL)
+SELECT staged_path, length(t) AS chars, CAST(strlen(t) AS BIGINT) AS bytes, length(t) - length(replace(t, chr(10), '')) AS lines, sha256(t) AS sha256 FROM n""")
+def normalize_text_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Length, bytes, lines and hash of every normalised staged text."""
+    n = staged(spark, d).where("text is not null").select("staged_path", T.normalize_code(F.col("text")).alias("t"))
+    return n.select(
+        "staged_path",
+        F.length("t").cast("long").alias("chars"),
+        F.octet_length("t").cast("long").alias("bytes"),
+        (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).cast("long").alias("lines"),
+        F.sha2("t", 256).alias("sha256"),
+    )
+
+
+@query(f"""WITH {REC} SELECT record_id, coalesce(nullif(trim(group_id), ''), record_id) AS unit,
+ round({I.stable_fraction_sql("coalesce(nullif(trim(group_id), ''), record_id)")}, 9) AS fraction,
+ {I.hash_split_sql("coalesce(nullif(trim(group_id), ''), record_id)")} AS split FROM rec""")
+def stable_split_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Hash split of every record by its group, else by itself."""
+    u = F.coalesce(trimmed(F.col("group_id")), F.col("record_id"))
+    return plain_records(spark, d).select("record_id", u.alias("unit")).withColumns({"fraction": F.round(I.stable_fraction(F.col("unit")), 9), "split": I.hash_split(F.col("unit"))})
+
+
+@query(f"""WITH {REC}, u AS (SELECT DISTINCT coalesce(nullif(trim(source_id), ''), 'none') AS unit FROM rec),
+ s AS (SELECT unit, {I.hash_split_sql("unit")} AS h, row_number() OVER (ORDER BY sha256(unit), unit) AS rn FROM u),
+ k AS (SELECT count(*) n, count(*) FILTER (h = 'val') v, count(*) FILTER (h = 'test') t FROM s)
+SELECT unit, CASE WHEN n >= 3 AND v = 0 AND rn = 1 THEN 'val' WHEN n >= 3 AND t = 0 AND rn = 2 THEN 'test' ELSE h END AS split FROM s, k""")
+def forced_split(spark: SparkSession, d: str) -> DataFrame:
+    """Hash split of sources; where a split stays empty and there are three units or more, the first unit
+    in hash order goes to val, the second to test."""
+    u = plain_records(spark, d).select(F.coalesce(trimmed(F.col("source_id")), F.lit("none")).alias("unit")).distinct()
+    return splits.forced(u)
+
+
+_DUP = f"""WITH {REC}, {STG}, n AS (SELECT r.record_id, r.source_id, r.original_path, sha256({_N}) AS h
+  FROM rec r JOIN stg s ON r.staged_path = s.staged_path WHERE s.text IS NOT NULL),
+ k AS (SELECT *, row_number() OVER w AS rn, first_value(record_id) OVER w AS first_id FROM n WINDOW w AS (PARTITION BY h ORDER BY source_id NULLS FIRST, original_path NULLS FIRST, record_id))"""
+
+
+@query(_DUP + " SELECT record_id, h AS content_hash, first_id, rn > 1 AS duplicate FROM k")
+def exact_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """The first record of every normalised text, in the order of source, path and id; the others point to it."""
+    return dedup.first_wins(_hashed(spark, d), "content_hash", ["source_id", "original_path", "record_id"], "record_id").select(
+        "record_id", "content_hash", "first_id", "duplicate"
+    )
+
+
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    # Hashes are made at the scan; texts are not shuffled.
+    h = table(spark, d, "staged_files", "staged_path", "text").where("text is not null").select("staged_path", "text")
+    h = staged_hashes(h)
+    return plain_records(spark, d).join(h, "staged_path")
+
+
+def staged_hashes(t: DataFrame) -> DataFrame:
+    """staged_path and the hash of its least text, normalised."""
+    return one_per_key(t.select("staged_path", "text"), "staged_path", "text").select("staged_path", F.sha2(T.normalize_code(F.col("text")), 256).alias("content_hash"))
+
+
+@query(_DUP + ", c AS (SELECT h, count(*) AS size, min(first_id) AS first_id, count(DISTINCT source_id) AS sources FROM k GROUP BY h) SELECT h AS content_hash, size, first_id, sources FROM c WHERE size > 1")
+def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that occur more than once: how often, the first record, in how many sources."""
+    x = dedup.first_wins(_hashed(spark, d), "content_hash", ["source_id", "original_path", "record_id"], "record_id")
+    return x.groupBy("content_hash").agg(F.count("*").alias("size"), F.min("first_id").alias("first_id"), F.countDistinct("source_id").alias("sources")).where("size > 1")
+
+
+@query(_DUP + f""", short AS (SELECT r.source_id AS source, r.original_path AS path, 'too-short' AS reason FROM rec r JOIN stg s ON r.staged_path = s.staged_path
+   WHERE s.text IS NOT NULL AND length(regexp_replace(s.text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')) < 20),
+ dup AS (SELECT k.source_id, k.original_path, 'duplicate:' || coalesce(f.source_id, '') || ':' || coalesce(f.original_path, '') FROM k JOIN rec f ON f.record_id = k.first_id WHERE rn > 1)
+SELECT source, path, reason FROM short UNION ALL SELECT * FROM dup UNION ALL SELECT source, path, reason FROM skipped""")
+def skip_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Everything left out, with the reason: too short, duplicate of, and what the scan had skipped."""
+    r = plain_records(spark, d)
+    s = staged(spark, d).where("text is not null")
+    short = r.join(s, "staged_path").where(F.length(T.stripped(F.col("text"))) < 20).select(F.col("source_id").alias("source"), F.col("original_path").alias("path"), F.lit("too-short").alias("reason"))
+    x = dedup.first_wins(_hashed(spark, d), "content_hash", ["source_id", "original_path", "record_id"], "record_id").where("duplicate")
+    first = r.select(F.col("record_id").alias("first_id"), F.coalesce("source_id", F.lit("")).alias("fs"), F.coalesce("original_path", F.lit("")).alias("fp"))
+    dup = x.join(first, "first_id").select(F.col("source_id").alias("source"), F.col("original_path").alias("path"), F.concat(F.lit("duplicate:"), "fs", F.lit(":"), "fp").alias("reason"))
+    return short.unionByName(dup).unionByName(table(spark, d, "skipped", "source", "path", "reason"))
+
+
+@query("""WITH r AS (SELECT DISTINCT source_id, original_path, lower(content_sha256) AS sha FROM records WHERE record_id IS NOT NULL AND content_sha256 IS NOT NULL)
+SELECT source_id, original_path, substr(sha256(concat_ws(chr(0), source_id, original_path, sha)), 1, 20) AS content_id FROM r""")
+def content_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Content-addressed id of source, path and delivered hash."""
+    r = table(spark, d, "records", "record_id", "source_id", "original_path", "content_sha256").where("record_id is not null and content_sha256 is not null")
+    r = r.select("source_id", "original_path", F.lower("content_sha256").alias("sha")).distinct()
+    return r.select("source_id", "original_path", I.record_id(F.col("source_id"), F.col("original_path"), F.col("sha")).alias("content_id"))
+
+
+@query(f"""WITH {REC}, {STG} SELECT count(*) AS records, count(*) FILTER (h IS NULL) AS without_hash, count(*) FILTER (lower(h) = sha256(text)) AS fresh,
+ count(*) FILTER (h IS NOT NULL AND lower(h) <> sha256(text)) AS stale FROM (SELECT r.record_id, min(x.content_sha256) h, min(s.text) text FROM rec r
+ JOIN records x USING (record_id) JOIN stg s ON s.staged_path = r.staged_path WHERE s.text IS NOT NULL GROUP BY r.record_id)""")
+def hash_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """How many delivered hashes are those of the staged text, stale or missing."""
+    r = table(spark, d, "records", "record_id", "staged_path", "content_sha256").where("record_id is not null")
+    r = r.groupBy("record_id").agg(F.min("staged_path").alias("staged_path"), F.min("content_sha256").alias("h"))
+    s = staged(spark, d).where("text is not null").select("staged_path", F.sha2("text", 256).alias("now"))
+    x = r.join(s, "staged_path")
+    same = F.lower("h") == F.col("now")
+    return x.agg(F.count("*").alias("records"), F.count_if(F.col("h").isNull()).alias("without_hash"), F.count_if(same).alias("fresh"), F.count_if(~same).alias("stale"))
+
+
+# ---------------------------------------------------------------- audit
+
+
+@query(f"""WITH {STG} SELECT staged_path, CAST(len(regexp_extract_all(text, '{T.TOKEN}')) AS BIGINT) AS tokens,
+ CAST(len(list_distinct(list_transform(regexp_extract_all(text, '{T.TOKEN}'), lambda x: lower(x)))) AS BIGINT) AS distinct_tokens FROM stg WHERE text IS NOT NULL""")
+def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical tokens and distinct ones of every staged text."""
+    s = staged(spark, d).where("text is not null").select("staged_path", T.lexical_tokens(F.col("text")).alias("t"))
+    return s.select("staged_path", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(title, '{T.TOKEN}'), lambda x: lower(x)) AS w FROM documents WHERE title IS NOT NULL),
+ g AS (SELECT unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) AS shingle FROM t WHERE len(w) > 0)
+SELECT shingle, count(*) AS n FROM g GROUP BY shingle""")
+def shingle_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """How often every shingle of three tokens occurs in the titles."""
+    t = table(spark, d, "documents", "title").where("title is not null").select(F.explode(T.shingles(T.lexical_tokens(F.col("title")), 3)).alias("shingle"))
+    return t.groupBy("shingle").agg(F.count("*").alias("n"))
+
+
+@query()
+def simhash_near_first_match(spark: SparkSession, d: str) -> DataFrame:
+    """For every record the first earlier one whose SimHash lies within three bits in its bucket and whose
+    token count is within a fifth. No SQL: the sketch votes over 64 lanes of hashed shingles; it is tested
+    against brute force."""
+    s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("text").rlike(r"\S"))
+    k = s.select("staged_path", S.dedup_form_udf("text").alias("f")).select("staged_path", T.lexical_tokens(F.col("f")).alias("t"))
+    k = k.select("staged_path", F.size("t").alias("tokens"), I.simhash64("t").alias("simhash")).where("tokens > 0")
+    k = k.groupBy("staged_path").agg(F.min(F.struct("tokens", "simhash")).alias("b")).select("staged_path", "b.*")
+    r = plain_records(spark, d).select("record_id", "staged_path").join(k, "staged_path").drop("staged_path")
+    return dedup.near_first_match(r, "record_id")
+
+
+_Q = "CASE WHEN lower(trim(validation_status)) = 'failed' THEN 'quarantine' WHEN lic IS NULL OR lic NOT IN ('MIT','Apache-2.0','BSD-2-Clause','BSD-3-Clause','CC-BY-3.0','LicenseRef-User-Owned-Private') THEN 'quarantine' WHEN text IS NULL THEN 'quarantine' WHEN contains(text, chr(65533)) THEN 'quarantine' WHEN lower(trim(validation_status)) = 'pending' OR validation_status IS NULL OR contains(text, '...') OR length(text) < 24 THEN 'warning' ELSE 'accepted' END"
+_AUD = f"""WITH {REC}, {STG}, q AS (SELECT r.*, s.text, trim(r.license) AS lic FROM rec r LEFT JOIN stg s ON s.staged_path = r.staged_path),
+ a AS (SELECT *, {_Q} AS quality, {SPLIT_SQL.format(c="split")} AS sp FROM q)"""
+
+
+@query(_AUD + """ SELECT record_id, quality, list_sort(list_filter([CASE WHEN lic IS NULL OR lic NOT IN ('MIT','Apache-2.0','BSD-2-Clause','BSD-3-Clause','CC-BY-3.0','LicenseRef-User-Owned-Private') THEN 'disallowed-license' END,
+  CASE WHEN lower(trim(validation_status)) = 'failed' THEN 'validation-failed' END, CASE WHEN text IS NULL THEN 'missing-staged-file' END,
+  CASE WHEN contains(text, chr(65533)) THEN 'encoding-damage' END, CASE WHEN lower(trim(validation_status)) = 'pending' OR validation_status IS NULL THEN 'validation-pending' END,
+  CASE WHEN contains(text, '...') THEN 'ellipsis-placeholder' END, CASE WHEN length(text) < 24 THEN 'too-short' END], lambda x: x IS NOT NULL))::VARCHAR AS reasons FROM a""")
+def quality_status(spark: SparkSession, d: str) -> DataFrame:
+    """Quality status and sorted reasons of every record."""
+    a = audit.judged(plain_records(spark, d).join(staged(spark, d), "staged_path", "left"))
+    return a.select("record_id", "quality", F.concat(F.lit("["), F.array_join(F.array_sort("reasons"), ", "), F.lit("]")).alias("reasons"))
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    return audit.judged(plain_records(spark, d).join(staged(spark, d), "staged_path", "left")).withColumn("sp", split_name("split"))
+
+
+@query(_AUD + """ SELECT count(*) AS records, count(*) FILTER (quality = 'accepted') AS accepted, count(*) FILTER (quality = 'warning') AS warning, count(*) FILTER (quality = 'quarantine') AS quarantined,
+ count(*) FILTER (sp = 'train') AS train, count(*) FILTER (sp = 'val') AS val, count(*) FILTER (sp = 'test') AS test, count(DISTINCT CASE WHEN sp = 'train' THEN group_id END) AS train_groups,
+ CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes, round(coalesce(count(*) FILTER (lower(trim(validation_status)) = 'passed') * 1.0 / nullif(count(*) FILTER (lower(trim(validation_status)) IN ('passed', 'failed')), 0), 1.0), 6) AS parser_rate FROM a""")
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counters by status and split, groups, bytes and the rate at which the validator passed."""
+    return audit.summary(_audited(spark, d))
+
+
+@query(_AUD + """ SELECT source_id, count(*) AS records, count(*) FILTER (quality = 'accepted') AS accepted, count(*) FILTER (quality = 'warning') AS warning, count(*) FILTER (quality = 'quarantine') AS quarantined FROM a GROUP BY source_id""")
+def source_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by quality per source."""
+    q = F.col("quality")
+    return _audited(spark, d).groupBy("source_id").agg(
+        F.count("*").alias("records"), F.count_if(q == "accepted").alias("accepted"), F.count_if(q == "warning").alias("warning"), F.count_if(q == "quarantine").alias("quarantined")
+    )
+
+
+@query(_AUD + """, x AS (SELECT unnest(list_filter([CASE WHEN lic IS NULL OR lic NOT IN ('MIT','Apache-2.0','BSD-2-Clause','BSD-3-Clause','CC-BY-3.0','LicenseRef-User-Owned-Private') THEN 'disallowed-license' END,
+  CASE WHEN lower(trim(validation_status)) = 'failed' THEN 'validation-failed' END, CASE WHEN text IS NULL THEN 'missing-staged-file' END,
+  CASE WHEN contains(text, chr(65533)) THEN 'encoding-damage' END, CASE WHEN lower(trim(validation_status)) = 'pending' OR validation_status IS NULL THEN 'validation-pending' END,
+  CASE WHEN contains(text, '...') THEN 'ellipsis-placeholder' END, CASE WHEN length(text) < 24 THEN 'too-short' END], lambda x: x IS NOT NULL)) AS reason FROM a) SELECT reason, count(*) AS n FROM x GROUP BY reason""")
+def reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Records per reason."""
+    return _audited(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {REC}, g AS (SELECT trim(group_id) AS group_id, {SPLIT_SQL.format(c="split")} AS sp FROM rec WHERE nullif(trim(group_id), '') IS NOT NULL)
+SELECT group_id, array_to_string(list_sort(list(DISTINCT sp)), ',') AS splits FROM g WHERE sp IS NOT NULL GROUP BY group_id HAVING count(DISTINCT sp) > 1""")
+def group_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Groups that lie in more than one split."""
+    g = plain_records(spark, d).select(trimmed(F.col("group_id")).alias("group_id"), split_name("split").alias("sp")).where("group_id is not null and sp is not null")
+    return audit.leaks(g, "group_id", "sp")
+
+
+@query(_DUP.replace("SELECT r.record_id, r.source_id", f"SELECT r.record_id, {SPLIT_SQL.format(c='r.split')} AS sp, r.source_id") + " SELECT h AS content_hash, array_to_string(list_sort(list(DISTINCT sp)), ',') AS splits FROM n WHERE sp IS NOT NULL GROUP BY h HAVING count(DISTINCT sp) > 1")
+def content_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised texts that lie in more than one split."""
+    x = _hashed(spark, d).select("content_hash", split_name("split").alias("sp")).where("sp is not null")
+    return audit.leaks(x, "content_hash", "sp")
+
+
+_LINE = f"record_id || ':' || coalesce({SPLIT_SQL.format(c='split')}, '') || ':' || coalesce(license, '')"
+
+
+@query(f"WITH {REC} SELECT {I.multiset_fingerprint_sql(_LINE)} AS fingerprint, count(*) AS records FROM rec")
+def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint of the lines record:split:license, whatever their order."""
+    r = plain_records(spark, d).select(F.concat_ws(":", F.col("record_id"), F.coalesce(split_name("split"), F.lit("")), F.coalesce("license", F.lit(""))).alias("line"))
+    return r.agg(I.multiset_fingerprint(F.col("line")).alias("fingerprint"), F.count("*").alias("records"))
+
+
+@query(f"""WITH {REC} SELECT source_id, coalesce(lower(trim(validation_status)), 'unknown') AS status, count(*) AS n FROM rec GROUP BY 1, 2""")
+def validation_status_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Validation statuses per source."""
+    r = plain_records(spark, d).select("source_id", F.coalesce(F.lower(F.trim("validation_status")), F.lit("unknown")).alias("status"))
+    return r.groupBy("source_id", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {REC}, c AS (SELECT coalesce(nullif(trim(group_id), ''), record_id) AS unit, * FROM rec), {STG},
+ n AS (SELECT c.*, sha256({_N}) AS h, strlen(text) AS size FROM c JOIN stg s ON s.staged_path = c.staged_path WHERE text IS NOT NULL),
+ u AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY source_id NULLS FIRST, original_path NULLS FIRST, record_id) AS rn FROM n)
+SELECT source_id, {I.hash_split_sql("unit")} AS split, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM u WHERE rn = 1 GROUP BY 1, 2""")
+def flagship_corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Unique records and bytes per source and split: normalise, drop exact duplicates, split by group."""
+    t = one_per_key(table(spark, d, "staged_files", "staged_path", "text").where("text is not null"), "staged_path", "text")
+    h = t.select("staged_path", F.sha2(T.normalize_code(F.col("text")), 256).alias("content_hash"), F.octet_length("text").alias("size"))
+    x = plain_records(spark, d).join(h, "staged_path")
+    first = dedup.first_wins(x, "content_hash", ["source_id", "original_path", "record_id"], "record_id").where("not duplicate")
+    u = F.coalesce(trimmed(F.col("group_id")), F.col("record_id"))
+    return first.groupBy("source_id", I.hash_split(u).alias("split")).agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
+
+
+@query()
+def unbalanced_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts whose brackets outside strings and comments do not pair up. No SQL: it needs a state machine."""
+    s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").endswith(".gd") & F.col("text").isNotNull())
+    return s.where(S.unbalanced_udf("text")).select("staged_path").distinct()

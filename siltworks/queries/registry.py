@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("corpus",)
+MODULES = ("corpus", "registry_ops")
 
 
 def _each():
