@@ -6,7 +6,6 @@ import hashlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,15 +54,6 @@ def simhash_of(tokens: list[str], n: int = 5) -> int:
     return int.from_bytes(np.packbits(votes >= 0).tobytes(), "big", signed=True)
 
 
-def simhash64(c) -> Column:
-    """simhash_of over an array column, in Arrow batches."""
-
-    def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: simhash_of(list(t)) if t is not None else None).astype("Int64")
-
-    return F.pandas_udf(run, "long")(c)
-
-
 def multiset_fingerprint(line: Column) -> Column:
     """Aggregate: SHA-256 over the number of lines and two sums of 60-bit parts of their SHA-256. It does
     not depend on order and is combined on the map side, so no group of lines is ever gathered."""

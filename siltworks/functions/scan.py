@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.functions.ident import simhash_of
+from siltworks.functions.text import TOKEN
+from siltworks.session import spread
+
 _PART = re.compile(r'"""(?:[^\\]|\\[\s\S])*?(?:"""|\Z)|\'\'\'(?:[^\\]|\\[\s\S])*?(?:\'\'\'|\Z)|"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|\'(?:[^\'\\\n]|\\.)*(?:\'|(?=\n)|\Z)|#[^\n]*')
 
 
@@ -45,13 +49,24 @@ def unbalanced(text: str) -> bool:
     return bool(stack)
 
 
-def dedup_form_udf(c) -> Column:
-    """dedup_form in Arrow batches. Made on demand: a worker that imports this module has no session."""
+_TOKEN = re.compile(TOKEN)
 
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: dedup_form(x) if isinstance(x, str) else None)
 
-    return F.pandas_udf(run, "string")(c)
+def lexical(df: DataFrame, key: str, text: str, form: bool = False, sketch: bool = False) -> DataFrame:
+    """(key, tokens, distinct_tokens, simhash) of the lexical tokens of `text`, of its duplicate-search form
+    where `form` is set; the SimHash only where `sketch` is. One pass in Arrow batches: as a column expression
+    the token array would be built once for every use of it."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, x in zip(pdf[key], pdf[text]):
+                t = [w.lower() for w in _TOKEN.findall(dedup_form(x) if form else x)]
+                rows.append((k, len(t), len(set(t)), simhash_of(t) if sketch else 0))
+            yield pd.DataFrame(rows, columns=[key, "tokens", "distinct_tokens", "simhash"])
+
+    x = df.where(F.col(text).isNotNull()).select(key, text)
+    return spread(x).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, tokens long, distinct_tokens long, simhash long")
 
 
 def unbalanced_udf(c) -> Column:

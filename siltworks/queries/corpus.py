@@ -158,8 +158,8 @@ def hash_freshness(spark: SparkSession, d: str) -> DataFrame:
  CAST(len(list_distinct(list_transform(regexp_extract_all(text, '{T.TOKEN}'), lambda x: lower(x)))) AS BIGINT) AS distinct_tokens FROM stg WHERE text IS NOT NULL""")
 def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Lexical tokens and distinct ones of every staged text."""
-    s = staged(spark, d).where("text is not null").select("staged_path", T.lexical_tokens(F.col("text")).alias("t"))
-    return s.select("staged_path", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"))
+    x = S.lexical(table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null"), "staged_path", "text")
+    return one_per_key(x, "staged_path", "tokens", "distinct_tokens")
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(title, '{T.TOKEN}'), lambda x: lower(x)) AS w FROM documents WHERE title IS NOT NULL),
@@ -176,10 +176,9 @@ def simhash_near_first_match(spark: SparkSession, d: str) -> DataFrame:
     """For every record the first earlier one whose SimHash lies within three bits in its bucket and whose
     token count is within a fifth. No SQL: the sketch votes over 64 lanes of hashed shingles; it is tested
     against brute force."""
-    s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("text").rlike(r"\S"))
-    k = s.select("staged_path", S.dedup_form_udf("text").alias("f")).select("staged_path", T.lexical_tokens(F.col("f")).alias("t"))
-    k = k.select("staged_path", F.size("t").alias("tokens"), I.simhash64("t").alias("simhash")).where("tokens > 0")
-    k = k.groupBy("staged_path").agg(F.min(F.struct("tokens", "simhash")).alias("b")).select("staged_path", "b.*")
+    s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").isNotNull() & F.col("text").rlike(r"\S"))
+    k = S.lexical(s, "staged_path", "text", form=True, sketch=True).where("tokens > 0")
+    k = one_per_key(k, "staged_path", "tokens", "simhash")
     r = plain_records(spark, d).select("record_id", "staged_path").join(k, "staged_path").drop("staged_path")
     return dedup.near_first_match(r, "record_id")
 
