@@ -72,9 +72,9 @@ def stable_split_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {REC}, u AS (SELECT DISTINCT coalesce(nullif(trim(source_id), ''), 'none') AS unit FROM rec),
- s AS (SELECT unit, {I.hash_split_sql("unit")} AS h, row_number() OVER (ORDER BY sha256(unit), unit) AS rn FROM u),
+ s AS (SELECT unit, {I.hash_split_sql("unit")} AS h, row_number() OVER (PARTITION BY {I.hash_split_sql("unit")} ORDER BY sha256(unit), unit) AS rn FROM u),
  k AS (SELECT count(*) n, count(*) FILTER (h = 'val') v, count(*) FILTER (h = 'test') t FROM s)
-SELECT unit, CASE WHEN n >= 3 AND v = 0 AND rn = 1 THEN 'val' WHEN n >= 3 AND t = 0 AND rn = 2 THEN 'test' ELSE h END AS split FROM s, k""")
+SELECT unit, CASE WHEN h = 'train' AND n >= 3 AND v = 0 AND rn = 1 THEN 'val' WHEN h = 'train' AND n >= 3 AND t = 0 AND rn = 2 THEN 'test' ELSE h END AS split FROM s, k""")
 def forced_split(spark: SparkSession, d: str) -> DataFrame:
     """Hash split of sources; where a split stays empty and there are three units or more, the first unit
     in hash order goes to val, the second to test."""
