@@ -123,9 +123,11 @@ def deal(roots: DataFrame, targets: list[tuple[str, float]]) -> DataFrame:
     largest first, where most is missing. What is then missing per split is dealt over the rest: within
     a band of sizes (a power of two) roots lie in hash order on a line of length sum(n), and the split
     of a root is where its midpoint falls among the cumulated shares. Running sums are taken per hash
-    bucket and then within it, so no band is gathered into one task.
+    bucket and then within it, so no band is gathered into one task. Without targets no root gets a split.
     """
     spark = roots.sparkSession
+    if not targets:
+        return roots.select("root", "n", F.lit(0).alias("band"), F.lit(None).cast("string").alias("split"))
     total = roots.agg(F.sum("n")).first()[0] or 0
     names, want = [t[0] for t in targets], [max(0.0, t[1]) for t in targets]
     s = sum(want) or 1.0

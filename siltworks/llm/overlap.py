@@ -35,8 +35,9 @@ SHARE = 0.5
 COVERED, COVERED_EXACT = 0.5, 0.25
 #: Shortest unit, and shortest in JSON.
 UNIT, UNIT_JSON = 8, 4
-#: Evaluation characters for which one automaton is built.
-SHARD_CHARS = 4_000_000
+#: Evaluation characters for which one automaton is built, and training characters scanned with it in one
+#: task; where more are routed to a shard, its automaton is built once per block of them.
+SHARD_CHARS, BLOCK_CHARS = 4_000_000, 32_000_000
 
 _QUOTED = r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
 _COMMENT = r"(?m)" + _QUOTED + r"|(?:^|(?<=\s))(?:#|//|;)[^\n]*+"
@@ -183,13 +184,18 @@ def class_pairs(spark: SparkSession, d: str, classes: DataFrame) -> DataFrame:
         .select("cls", units(nameless(F.col("text"))).alias("u"), units(plain(F.col("text"))).alias("x")),
         "texts",
     )
-    chars = texts.agg(F.sum(F.aggregate("u", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
+    size = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    chars = texts.agg(F.sum(size)).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, int(chars // SHARD_CHARS) + 1)
     shard = F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int")
     ev = texts.join(pairs.select(F.col("e").alias("cls")).distinct(), "cls").select(F.col("cls").alias("e"), "u", "x").withColumn("shard", shard)
     wanted = pairs.withColumn("shard", shard).groupBy("shard", "t").agg(F.collect_set("e").alias("es"))
-    tr = texts.join(wanted, F.col("cls") == F.col("t")).select("shard", "t", "es", "u", "x").toDF("shard", "t", "es", "tu", "tx")
-    return ev.groupBy("shard").cogroup(tr.groupBy("shard")).applyInPandas(_covered, "e string, t string, covered double, exact double")
+    tr = texts.withColumn("size", size).join(wanted, F.col("cls") == F.col("t"))
+    blocks = tr.groupBy("shard").agg(F.ceil(F.sum("size") / BLOCK_CHARS).alias("blocks"))
+    tr = tr.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("t", F.lit(1)), F.col("blocks")))
+    tr = tr.select("shard", "block", "t", "es", "u", "x").toDF("shard", "block", "t", "es", "tu", "tx")
+    ev = ev.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "e", "u", "x")
+    return ev.groupBy("shard", "block").cogroup(tr.groupBy("shard", "block")).applyInPandas(_covered, "e string, t string, covered double, exact double")
 
 
 def links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

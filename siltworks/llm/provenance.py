@@ -27,8 +27,8 @@ GENERATED_DIRS = "build dist generated __generated__ gen .godot .import .mono ex
 GENERATED_NAME = r"(?i)(?:\.min\.(?:js|css|gd|json)|\.(?:gen|generated|g|pb|designer|bundle|chunk)\.[a-z]+|_(?:pb|pb2|gen|generated|autogen)(?:_\d+)?\.[a-z]+)$"
 #: A mined pattern needs so many marked files, in so many projects, and this share of all its files.
 MINED_FILES, MINED_PROJECTS, MINED_SHARE = 20, 3, 0.9
-#: From this length on a line without blanks is not written by hand; share of the text it must make up.
-DENSE_LINE, DENSE_SHARE = 300, 0.5
+#: From this length on a line with so few blanks is not written by hand; share of the text it must make up.
+DENSE_LINE, DENSE_BLANKS, DENSE_SHARE = 300, 0.12, 0.5
 #: A table saved as code: rows at least, and share of the lines.
 TABLE_ROWS, TABLE_SHARE = 20, 0.8
 
@@ -76,7 +76,7 @@ def text_mark(text: Column) -> Column:
     dense = F.aggregate(
         lines,
         F.lit(0),
-        lambda a, x: a + F.when((F.length(x) >= DENSE_LINE) & (F.length(F.regexp_replace(x, r"[^\s]+", "")) < F.length(x) * 0.06), F.length(x)).otherwise(0),
+        lambda a, x: a + F.when((F.length(x) >= DENSE_LINE) & (F.length(F.regexp_replace(x, r"[^\s]+", "")) < F.length(x) * DENSE_BLANKS), F.length(x)).otherwise(0),
     )
     bare = F.regexp_replace(F.regexp_replace(t, r'"[A-Za-z0-9+/=]{120,}+"', ""), r"(?:-?(?:0x)?[0-9a-fA-F]++(?:\.\d++)?,\s*+){40,}+", "")
     full = F.filter(lines, lambda x: F.trim(x) != "")
@@ -87,7 +87,7 @@ def text_mark(text: Column) -> Column:
         .when(json & t.rlike(_JSON_MADE), "generated")
         .when(~json & (head.rlike(_VENDORED) | first.rlike(_VENDORED)), "vendored")
         .when(code & (F.length(bare) < F.length(t) * (1 - DENSE_SHARE)), "data")
-        .when(~json & (dense >= F.length(t) * DENSE_SHARE), "minified")
+        .when(~json & (dense > 0) & (dense >= F.length(t) * DENSE_SHARE), "minified")
         .when(code & (rows >= TABLE_ROWS) & (rows >= F.size(full) * TABLE_SHARE), "data")
     )
 
