@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.paths import canonical_path
+from siltworks.session import spread
 from siltworks.sources.tables import records, table
 
 #: Share of a template's tokens that must be found in order.
@@ -235,7 +236,7 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d, "staged_path", "project_root", "license", "attribution").withColumn("project", canonical_path(F.col("project_root")))
     r = named_columns(r, ["record_id", "staged_path", "project"], ["license", "attribution"])
     t = table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null and text is not null")
-    t = t.select("staged_path", top_comment(F.col("text")).alias("top"), end_comment(F.col("text")).alias("bottom"))
+    t = spread(t).select("staged_path", top_comment(F.col("text")).alias("top"), end_comment(F.col("text")).alias("bottom"))
     t = t.withColumn("bottom", F.when(F.col("bottom") == F.col("top"), "").otherwise(F.col("bottom"))).where("top != '' or bottom != ''")
     t = named_columns(t, ["staged_path"], ["top", "bottom"]).where("size(top_names) > 0 or size(bottom_names) > 0")
     t = t.groupBy("staged_path").agg(F.min(F.struct("top_names", "bottom_names", "top_coverage", "bottom_coverage", "top_altered", "bottom_altered")).alias("c"))

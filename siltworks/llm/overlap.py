@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.session import stored
+from siltworks.session import spread, stored
 from siltworks.sources.tables import records, split_name, table
 
 #: Share of the larger text's distinct units that both must have.
@@ -73,7 +73,7 @@ def units(norm: Column) -> Column:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """staged_path and text, blank texts left out."""
-    return table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").isNotNull() & F.col("text").rlike(r"\S"))
+    return spread(table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").isNotNull() & F.col("text").rlike(r"\S")))
 
 
 def members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

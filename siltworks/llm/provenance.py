@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.paths import canonical_path
-from siltworks.session import stored
+from siltworks.session import spread, stored
 from siltworks.sources.tables import records, table
 
 #: Folders and endings that hold third-party or generated files wherever they occur.
@@ -164,7 +164,7 @@ def marks(spark: SparkSession, d: str) -> DataFrame:
     """record_id, project, path, by_declaration, by_path, by_text, by_mining and mark, the first of them."""
     base = stored(_base(spark, d), "files")
     t = table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null")
-    judged = t.select("staged_path", text_mark(F.col("text")).alias("by_text")).where("by_text is not null").groupBy("staged_path").agg(F.min("by_text").alias("by_text"))
+    judged = spread(t).select("staged_path", text_mark(F.col("text")).alias("by_text")).where("by_text is not null").groupBy("staged_path").agg(F.min("by_text").alias("by_text"))
     attr = base.where(F.col("original_path").rlike(r"(?:^|/)\.gitattributes$"))
     texts = t.join(attr.select("staged_path"), "staged_path", "left_semi")
     files = base.select("record_id", "project", F.col("original_path").alias("path"), "staged_path").join(texts, "staged_path", "left").drop("staged_path")
