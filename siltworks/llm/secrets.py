@@ -148,7 +148,7 @@ def spans(text: str, enc) -> list[tuple[int, int, str]]:
                 add(m.start("v"), m.start("v") + len(v), "comment")
         for m in NOTED.finditer(text):
             why, v = m["why"], m["v"][1:-1]
-            if _NAMING.search(why) and not _DENIED.search(why) and len(why) < 80 and re.search(r"\d", v) and _granting(v, enc):
+            if _NAMING.search(why) and not _DENIED.search(why) and len(why) < 80 and _granting(v, enc):
                 add(m.start("v") + 1, m.end("v") - 1, "noted")
     if any(w in low for w in ("authorization", "x-auth", "api-key", "private-token", "x-access", "cookie:", "cookie\"", "cookie'", "cookie=")):
         for m in HEADER.finditer(text):
