@@ -77,22 +77,24 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(record_id, ev, cls) of every record with text and a split, and the classes
-    (cls, n, ev, tr, h): one row per distinct normalised text with its distinct unit hashes."""
+    """The records with text and a split (record_id, staged_path, source_id, split, text_id, cls), and the
+    classes (cls, text_id, n, ev, tr, h): one row per distinct normalised text with its unit hashes."""
     r = records(spark, d, "staged_path", "split", "source_id").select("record_id", "staged_path", "source_id", split_name("split").alias("split"))
     r = r.where("split is not null and staged_path is not null")
     # Hashes are taken where the text is read: no text is shuffled.
     p = _texts(spark, d).select("staged_path", "text", plain(F.col("text")).alias("p")).select(
         "staged_path",
-        F.md5("p").alias("cls"),
+        F.md5("p").alias("text_id"),
         F.array_sort(F.array_distinct(F.transform(units(nameless(F.col("text"))), lambda x: F.xxhash64(x)))).alias("h"),
     )
-    one = p.groupBy("staged_path").agg(F.min(F.struct("cls", "h")).alias("b"))
-    m = stored(r.join(one, "staged_path").select("record_id", "staged_path", "source_id", "split", "b.cls", "b.h"), "members")
-    classes = m.groupBy("cls").agg(
+    one = p.groupBy("staged_path").agg(F.min(F.struct("text_id", "h")).alias("b"))
+    m = stored(r.join(one, "staged_path").select("record_id", "staged_path", "source_id", "split", "b.text_id", "b.h"), "members")
+    # Classes get a short number: it is what every posting carries. It is fixed once the table is written.
+    classes = m.groupBy("text_id").agg(
         F.first("h").alias("h"), F.max(F.col("split") != "train").alias("ev"), F.max(F.col("split") == "train").alias("tr"), F.min("staged_path").alias("at")
     )
-    return m.drop("h"), stored(classes.withColumn("n", F.size("h")), "classes")
+    classes = stored(classes.withColumns({"n": F.size("h"), "cls": F.monotonically_increasing_id()}), "classes")
+    return stored(m.drop("h").join(classes.select("text_id", "cls"), "text_id"), "membership"), classes
 
 
 def routed(classes: DataFrame) -> DataFrame:
@@ -184,18 +186,19 @@ def class_pairs(spark: SparkSession, d: str, classes: DataFrame) -> DataFrame:
         .select("cls", units(nameless(F.col("text"))).alias("u"), units(plain(F.col("text"))).alias("x")),
         "texts",
     )
-    size = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    chars = texts.agg(F.sum(size)).first()[0] or 0
+    sizes = texts.select("cls", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("size"))
+    chars = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, int(chars // SHARD_CHARS) + 1)
     shard = F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int")
-    ev = texts.join(pairs.select(F.col("e").alias("cls")).distinct(), "cls").select(F.col("cls").alias("e"), "u", "x").withColumn("shard", shard)
-    wanted = pairs.withColumn("shard", shard).groupBy("shard", "t").agg(F.collect_set("e").alias("es"))
-    tr = texts.withColumn("size", size).join(wanted, F.col("cls") == F.col("t"))
-    blocks = tr.groupBy("shard").agg(F.ceil(F.sum("size") / BLOCK_CHARS).alias("blocks"))
-    tr = tr.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("t", F.lit(1)), F.col("blocks")))
-    tr = tr.select("shard", "block", "t", "es", "u", "x").toDF("shard", "block", "t", "es", "tu", "tx")
-    ev = ev.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "e", "u", "x")
-    return ev.groupBy("shard", "block").cogroup(tr.groupBy("shard", "block")).applyInPandas(_covered, "e string, t string, covered double, exact double")
+    # Shards and blocks are settled over ids and sizes; texts are sent on once, to where they are scanned.
+    wanted = pairs.withColumn("shard", shard).groupBy("shard", "t").agg(F.collect_set("e").alias("es")).join(sizes, F.col("t") == F.col("cls")).drop("cls")
+    blocks = wanted.groupBy("shard").agg(F.ceil(F.sum("size") / BLOCK_CHARS).alias("blocks"))
+    wanted = wanted.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("t", F.lit(1)), F.col("blocks")).alias("block"), "t", "es")
+    own = pairs.select("e").distinct().withColumn("shard", shard).join(blocks, "shard")
+    own = own.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "e")
+    ev = own.join(texts, F.col("e") == F.col("cls")).select("shard", "block", "e", "u", "x")
+    tr = wanted.join(texts, F.col("t") == F.col("cls")).select("shard", "block", "t", "es", "u", "x").toDF("shard", "block", "t", "es", "tu", "tx")
+    return ev.groupBy("shard", "block").cogroup(tr.groupBy("shard", "block")).applyInPandas(_covered, "e long, t long, covered double, exact double")
 
 
 def links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +237,7 @@ def classes_of(spark: SparkSession, d: str) -> DataFrame:
     the splits."""
     m, k = links(spark, d)
     n = k.select(F.explode(F.array_distinct(F.array("e", "t"))).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    return m.join(n, "cls", "left").select("record_id", F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return m.join(n, "cls", "left").select("record_id", F.col("text_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 QUERIES = {"p1_found": found, "p1_report": report, "p1_classes": classes_of}
