@@ -221,11 +221,13 @@ def top_grade(f: DataFrame, labels: DataFrame) -> tuple[list[float], list[float]
     """(weights, means, deviations) of a logistic classifier of the highest grade over the same terms,
     fitted on at most LABEL_ROWS labelled documents by Newton's method with a ridge."""
     g = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("y"))
-    z = f.join(g, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS).selectExpr("y", *[f"CAST({t} AS DOUBLE) AS t{i}" for i, t in enumerate(design())]).toPandas()
+    z = f.join(g, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS).select("y", "de", *FEATURES).toPandas()
     y = (z["y"].to_numpy() >= 3.5).astype(float)
     if len(z) < MIN_LABELS or y.min() == y.max():
         return None
-    x = z.drop(columns="y").to_numpy()
+    x, de = z[FEATURES].to_numpy(float), z[["de"]].to_numpy(float)
+    x = np.c_[x, x * x]
+    x = np.c_[x, de, de * x]  # the terms of design(), in its order
     mean, dev = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - mean) / dev, np.ones(len(x))]
     ridge = RIDGE * np.eye(a.shape[1])
