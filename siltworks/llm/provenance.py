@@ -4,8 +4,10 @@ Declared paths come from repository attribute files (linguist-generated, linguis
 the precedence of their format: a pattern counts for its own folder, a deeper file beats a higher one, a
 later line an earlier one, and an unset attribute takes a mark back. Projects without such a file get
 equivalent patterns: folder names and file endings that are marked in general use, and such as are mined
-from the files that the declarations and the texts mark. Texts are judged by what opens them and by
-their make-up. Everything is built-in column expressions over the scan; only verdicts are shuffled.
+from the files that the declarations and the texts mark. Texts are judged by their comments and by their
+make-up: in the opening comment any wording of a mark counts, in comments further down only one that
+speaks of the file, since there most comments speak of the next line. Everything is built-in column
+expressions over the scan; only verdicts are shuffled.
 
 Defined cases: null or blank texts can still be told by their path; a null path by the text alone; code
 under addons/ is the source's own where sources.allow_addons is true, else third-party; ties of repeated
@@ -45,7 +47,34 @@ _VENDORED = (
     r"|\bimported (?:unchanged )?from https?://|\btaken (?:unchanged |verbatim )?from https?://)"
     r"|\A\W*(?!Godot\b|Version\b|Tested\b|Requires\b|Engine\b)[A-Z]\w*,? (?i:version |v)?\d+\.\d+\.\d+\b"
 )
-_JSON_MADE = r"""\A\s*\{\s*(?:"[^"]*"\s*:\s*"[^"]*"\s*,\s*){0,4}"(?:[_$@]?generat(?:or|ed)(?:_?[bB]y|_?[wW]ith|_from)?|\$?_?tool|autogenerated|generated_by)"\s*:\s*(?:"[^"]+"|true)"""
+#: The comments of a text, and the long strings, in which comment signs are no comments.
+_COMMENTS = (
+    r"(?m)^[ \t]*+/\*(?s:.*?)\*/[^\n]*+|^[ \t]*+<!--(?s:.*?)-->[^\n]*+|^[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+"
+    r"|\"\"\"(?s:.*?)\"\"\"|'{3}(?s:.*?)'{3}|(?<=[=(+,:]\s{0,2})`[^`]*+`"
+)
+_COMMENT = r"^[ \t]*(?:#|//|;|/\*|\*|<!--)"
+_FILE = r"(?:(?:the|this) (?:whole )?)?(?:file|code|script|class|module|source)s?"
+_THIS = r"(?:this (?:whole )?(?:file|code|script|class|module|source|table|list|data)|these (?:files|scripts|classes|tables))"
+_IS = r"(?: (?:was|is|are|has been|have been))?"
+_MADE = r"(?:generated|written|created|built|produced|exported)"
+#: A tool by name, and not 'by the spawner when a level starts'.
+_MAKER = r"(?:by|from|with|using) (?!(?:the|a|an|its|our|each|every|this|that|hand)\b)\S(?![^\n]*\b(?:run-?time|start-?up|when|whenever|once|each|every|per|while|during)\b)"
+_GENERATED_BELOW = (
+    rf"(?im)^\W*@generated\b|<auto-?generated\b|^\W*(?:{_FILE}{_IS} )?(?:auto-?|automatically |machine[- ])?generated {_MAKER}|^\W*(?:{_FILE}{_IS} )?{_MADE} automatically {_MAKER}"
+    rf"|^\W*(?:{_FILE}{_IS} )?automatically {_MADE} {_MAKER}|^\W*(?:{_FILE}{_IS} )?automatically {_MADE}\b[^\n]*\b(?:edit|change|modify)\b[^\n]*\binstead\b"
+    rf"|^\W*(?:{_FILE}{_IS} )?(?:auto-?|automatically |machine[- ])generated\b(?:\W*$|\s*[-.,;:!(][^\n]*\b(?:do not|don't|never) (?:edit|modify|change|touch)\b)"
+    rf"|\b{_THIS}{_IS} (?:(?:auto-?|automatically |machine[- ])(?:{_MADE})\b|(?:{_MADE}) automatically\b|generated (?:by|from|with|using) \S)"
+    rf"|\b{_MADE} by \S+[^\n]*\b(?:do not|don't|never) (?:edit|modify|change|touch)(?: (?:by hand|manually|directly|it|this file|this script|this))*\W*$"
+    rf"|^\W*(?:please )?(?:do not|don't|never) (?:edit|modify|change|touch) this (?:file|script)(?: (?:by hand|manually|directly))?\W*$"
+    r"|\bdiese[rs]? (?:datei|skript|code|klasse|quelltext)\b[^\n]*\b(?:erzeugt|erstellt|generiert)\b|^\W*(?:automatisch|maschinell) (?:erzeugt|erstellt|generiert)\b"
+    r"|\bce (?:fichier|script|code)\b[^\n]*\bgénéré\b|^\W*généré(?:e)? automatiquement\b|\best[ea] (?:archivo|fichero|arquivo|script|código)\b[^\n]*\b(?:generado|creado|gerado)\b|^\W*(?:generado|creado) automáticamente\b"
+    r"|^\W*gerado automaticamente\b|\bquesto (?:file|script|codice)\b[^\n]*\bgenerato\b|^\W*generato automaticamente\b"
+)
+_VENDORED_BELOW = (
+    rf"(?im)^\W*(?:{_FILE}{_IS} )?(?:copied|imported|taken) (?:unchanged|verbatim|unmodified|as is|over) from\b|\b{_THIS}{_IS} (?:copied|imported|taken|vendored) (?:from|in)\b|^\W*(?:{_FILE}{_IS} )?vendored (?:from|in)\b"
+    rf"|^\W*(?:{_THIS}{_IS} )?(?:an? )?(?:bundled|vendored|unmodified|verbatim) copy\b|^\W*upstream ?: ?(?:https?://|git@)|\b{_THIS}{_IS} third[- ]party\b"
+)
+_JSON_MAKER = r"""\"(?:[_$@]?generat(?:or|ed)(?:_?[bB]y|_?[wW]ith|_from)?|\$?_?tool|autogenerated|generated_by)\"\s*:\s*(?:\"[^\"]+\"|true\b)"""
 
 
 def _dirs(path: Column) -> Column:
@@ -66,12 +95,25 @@ def path_mark(path: Column, own_addons: Column) -> Column:
     )
 
 
+def _json_made(t: Column) -> Column:
+    """Whether a member of the outermost object names the maker. Escapes go first, so that a string ends at
+    its quote; then makers become one sign and all else but brackets goes. Valid JSON is not needed."""
+    x = F.regexp_replace(t, "(?s)\\\\.|\\x01", "")
+    x = F.regexp_replace(F.regexp_replace(x, _JSON_MAKER, "\x01"), r'"[^"]*+"', "")
+    x = F.regexp_replace(x, r"[^{}\[\]\x01]++", "")
+    step = lambda a, c: F.struct(
+        (a["depth"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("depth"), (a["made"] | ((c == "\x01") & (a["depth"] == 1))).alias("made")
+    )
+    return x.startswith("{") & F.aggregate(F.split(x, ""), F.struct(F.lit(0).alias("depth"), F.lit(False).alias("made")), step, lambda a: a["made"])
+
+
 def text_mark(text: Column) -> Column:
     """generated, vendored, minified, data or null by the text."""
     t = F.regexp_replace(text, "^﻿", "")
-    head = F.regexp_extract(t, r"\A(?:[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+\n|[ \t\r]*+\n)*+(?:[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+)?", 0)
+    head = F.regexp_extract(t, r"\A(?:[ \t]*+/\*(?s:.*?)\*/[^\n]*+\n|[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+\n|[ \t\r]*+\n)*+(?:[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+)?", 0)
     first = F.regexp_replace(head, r"\A[\s#/;*]+", "")
     json = t.rlike(r"\A\s*[{\[]")
+    notes = F.array_join(F.filter(F.regexp_extract_all(t, F.lit(_COMMENTS), F.lit(0)), lambda x: x.rlike(_COMMENT)), "\n")
     lines = F.split(t, "\n")
     dense = F.aggregate(
         lines,
@@ -84,8 +126,10 @@ def text_mark(text: Column) -> Column:
     code = ~json & t.rlike(r"(?m)^\s*(?:extends|class_name|const|static|var|func|let|window\.|module|export|!?\(?function|'use strict')")
     return (
         F.when(~json & head.rlike(_GENERATED), "generated")
-        .when(json & t.rlike(_JSON_MADE), "generated")
+        .when(json & t.rlike(_JSON_MAKER) & _json_made(t), "generated")
         .when(~json & (head.rlike(_VENDORED) | first.rlike(_VENDORED)), "vendored")
+        .when(~json & notes.rlike(_GENERATED_BELOW), "generated")
+        .when(~json & notes.rlike(_VENDORED_BELOW), "vendored")
         .when(code & (F.length(bare) < F.length(t) * (1 - DENSE_SHARE)), "data")
         .when(~json & (dense > 0) & (dense >= F.length(t) * DENSE_SHARE), "minified")
         .when(code & (rows >= TABLE_ROWS) & (rows >= F.size(full) * TABLE_SHARE), "data")

@@ -131,6 +131,25 @@ def test_text_marks(spark):
     assert marks(spark, None) is None
 
 
+def test_marks_below_the_head(spark):
+    top = "extends Node2D\n\nvar a = 1\nvar b := [1, 2]\n\n"
+    rest = "\n\nfunc _ready():\n\tpass\n"
+    for t, want in {
+        **{top + x + rest: "generated" for x in (
+            "# @generated by lvlpack", "# Code generated by protogd. DO NOT EDIT.", "# Autogenerated from pillar.proto", "# <auto-generated> sheetgen </auto-generated>", "# produced by lvlpack 0.9, do not modify by hand", "# This file was created automatically by sheetgen; changes will be lost.",
+            "# Automatically written on export - edit the cave sheet instead", "# Diese Datei wurde von sheetgen erzeugt. Nicht von Hand bearbeiten.", "# Do not edit this file by hand!", "\t# @generated",
+        )},
+        "let a = 1;\n/*\n Code generated by protogd. DO NOT EDIT.\n*/\nlet b;\n": "generated", "/*\n  generated by protogd\n*/\nlet b;\n": "generated", "let a = 1;\n/* a */\n/*\n  This file is copied from TweenKit.\n*/\n": "vendored",
+        '{"a": {"b": [1]}, "c": "x", "d": "x", "e": "x", "f": "x", "g": "x", "h": 2,\n "_generator": "z 3.3"}': "generated", '{"a": [1, 2], "generated": true,}': "generated", '{"a": "say \\"{", "$tool": "z"}': "generated",
+        '{"a": {"_generator": "z 3.3"}}': None, '{"a": "\\"tool\\": \\"z\\"", "b": 1}': None, '[{"_generator": "z 3.3"}]': None,
+        **{top + x + rest: None for x in (
+            "# do not edit the yard scene by hand while this runs", "# the raft list is generated once per level, see mirror", "# generates the pale jewel at runtime, seed decides the layout", "# generated by the spawner", "# speed of the boss, do not change", "# automatically created when a player joins",
+            "# names are auto-generated names", "# changes are lost on reload", "# copied from https://a.test/snippet", 'var head := """\n# @generated by me\n"""',
+        )},
+    }.items():
+        assert marks(spark, t) == want, t
+
+
 def test_path_marks(spark):
     q = lambda p, own: spark.createDataFrame([(p, own)], "p string, o boolean").select(provenance.path_mark(F.col("p"), F.col("o"))).first()[0]
     assert q("x/thirdparty/a/b.gd", None) == "vendored" and q("x/addons/x/b.gd", False) == "vendored" and q("x/addons/x/b.gd", True) is None
