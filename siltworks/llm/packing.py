@@ -2,12 +2,14 @@
 
 A document longer than the capacity is cut into full pieces and a rest; everything else stays whole. What
 matters for the packing is only how many items there are of each size, at most as many numbers as the
-capacity has tokens, so the plan is made over this histogram, exact for any number of documents. It is
-made by bin completion: around the largest item left, fillings are enumerated, larger items first and
-without those another filling dominates; a branch is cut when its waste exceeds what the incumbent
-allows; incumbents start from a best-fit packing. One step of the plan is a filling and how often it is
-used, and each step uses up a size. Documents are then numbered within their size, in two steps so that
-no size is gathered into one task, and step and place follow from that number.
+capacity has tokens, so the plan is made over this histogram, for any number of documents. It is made by
+bin completion, a branch and bound: around the largest item left all fillings that no other dominates are
+branches, each as often as it can be used, half as often and so on down to once; a branch is cut when its
+waste exceeds what the incumbent allows, and the search goes back to the branches left. The first incumbent
+is the best of a best-fit packing and a few greedy descents. The plan is optimal when it meets the lower bound or the search ends by itself; a
+search that spends its budget leaves the best plan found. One step of the plan is a filling and how often it
+is used. Documents are then numbered within their size, in two steps so that no size is gathered into one
+task, and step and place follow from that number.
 
 Defined cases: null and blank texts have no tokens and no container; a repeated doc_id counts once, by its
 least token count; repeated texts under other ids are items of their own; profiles without a positive
@@ -16,9 +18,10 @@ capacity have no containers.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +32,10 @@ from siltworks.llm import tokens
 from siltworks.session import spread, stored
 from siltworks.sources.tables import table
 
-#: Fillings tried around one largest item, nodes of the enumeration for one item, nodes of the search.
-FILLINGS, ENUM_NODES, SEARCH_NODES = 4, 2_000, 20_000
+#: Nodes of the enumeration until the fillings found so far are tried, fullest first; nodes of one search.
+ENUM_NODES, SEARCH_NODES = 2_000, 2_000_000
+#: For the first incumbent only: fillings at hand, nodes of their enumeration, steps of all descents.
+FILLINGS, NEAR_NODES, DESCENT_STEPS = 4, 2_000, 20_000
 #: Hash buckets in which the items of one size are numbered.
 BUCKETS = 256
 
@@ -82,10 +87,9 @@ def best_fit(hist: dict[int, int], cap: int) -> list[Step]:
     return plan
 
 
-def fillings(sizes: list[int], left: dict[int, int], room: int, least_fill: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill `room`, fullest first, each as a falling row of sizes. A filling is
-    dominated if another one, found before, has the same sum with fewer and larger items, or if an item
-    left out would still fit."""
+def near_fillings(sizes: list[int], left: dict[int, int], room: int, least_fill: int) -> list[tuple[int, ...]]:
+    """A few full ways to fill `room`, fullest first, each as a falling row of sizes: of one sum the first
+    found, with the largest items."""
     out: list[tuple[int, tuple[int, ...]]] = []
     sums: set[int] = set()
     nodes = 0
@@ -93,7 +97,7 @@ def fillings(sizes: list[int], left: dict[int, int], room: int, least_fill: int)
     def go(i: int, room_left: int, row: tuple[int, ...], used: int) -> bool:
         nonlocal nodes
         nodes += 1
-        if nodes > ENUM_NODES:
+        if nodes > NEAR_NODES:
             return True
         i = min(i, bisect_right(sizes, room_left))
         if not i or not room_left:
@@ -109,7 +113,7 @@ def fillings(sizes: list[int], left: dict[int, int], room: int, least_fill: int)
             if left[s] - same > 0:
                 if go(i, room_left - s, (*row, s), same + 1):
                     return True
-                if nodes > ENUM_NODES:
+                if nodes > NEAR_NODES:
                     return True
             i -= 1
             if i and sizes[i - 1] * 8 < room_left and len(out) >= FILLINGS:
@@ -121,17 +125,9 @@ def fillings(sizes: list[int], left: dict[int, int], room: int, least_fill: int)
     return [r for _, r in out[:FILLINGS]]
 
 
-def plan(hist: dict[int, int], cap: int) -> list[Step]:
-    """Containers of capacity cap for hist(size -> count): fillings with how often each is used."""
-    hist = {int(s): int(n) for s, n in hist.items() if n > 0}
-    full = hist.pop(cap, 0)
-    head: list[Step] = [({cap: 1}, full)] if full else []
-    if not hist:
-        return head
-    total = sum(s * n for s, n in hist.items())
-    bound = -(-total // cap)
-    best = best_fit(hist, cap)
-    best_n = sum(t for _, t in best)
+def descents(hist: dict[int, int], cap: int, best: list[Step], bound: int) -> list[Step]:
+    """The best of `best` and a few descents without a way back, as an incumbent for the search."""
+    total, best_n = sum(s * n for s, n in hist.items()), sum(t for _, t in best)
     spent = 0
 
     def dive(skip: int) -> list[Step] | None:
@@ -149,7 +145,7 @@ def plan(hist: dict[int, int], cap: int) -> list[Step]:
             left[s] -= 1
             if not left[s]:
                 sizes.pop()
-            ways = fillings(sizes, left, cap - s, 0) or [()]
+            ways = near_fillings(sizes, left, cap - s, 0) or [()]
             left[s] += 1
             if left[s] == 1:
                 sizes.append(s)
@@ -172,16 +168,177 @@ def plan(hist: dict[int, int], cap: int) -> list[Step]:
                 if not left[x]:
                     del left[x]
                     sizes.remove(x)
-            if spent > SEARCH_NODES:
+            if spent > DESCENT_STEPS:
                 return None
         return steps
 
     for skip in range(FILLINGS):
-        if best_n <= bound or spent > SEARCH_NODES:
+        if best_n <= bound or spent > DESCENT_STEPS:
             break
         got = dive(skip)
         if got is not None and sum(t for _, t in got) < best_n:
             best, best_n = got, sum(t for _, t in got)
+    return best
+
+
+def lower_bound(hist: dict[int, int], cap: int) -> int:
+    """Containers that are needed at least (Martello and Toth's L2): items above half the capacity share
+    none, and those from k on fit only beside the ones that leave k."""
+    best = -(-sum(s * n for s, n in hist.items()) // cap)
+    half = [(s, n) for s, n in hist.items() if 2 * s > cap]
+    large = sum(n for _, n in half)
+    for k in {0} | {s for s in hist if 2 * s <= cap} | {cap - s + 1 for s, _ in half}:
+        room = sum((cap - s) * n for s, n in half if s <= cap - k)
+        small = sum(s * n for s, n in hist.items() if k <= s and 2 * s <= cap)
+        best = max(best, large + max(0, -(-(small - room) // cap)))
+    return best
+
+
+class Spent(Exception):
+    """The search has used up its nodes."""
+
+
+class Search:
+    """Bin completion over a histogram. `left` and `sizes` are the items of the present branch; a branch
+    that is gone back to finds them as it left them."""
+
+    def __init__(self, hist: dict[int, int], cap: int, best_n: int, nodes: int) -> None:
+        self.left, self.sizes, self.cap, self.nodes = dict(hist), sorted(hist), cap, nodes
+        self.total, self.best_n, self.waste = sum(s * n for s, n in hist.items()), best_n, 0
+
+    def allowed(self) -> int:
+        """The waste that is left to a plan with one container less than the incumbent."""
+        return (self.best_n - 1) * self.cap - self.total - self.waste
+
+    def take(self, fill: dict[int, int], times: int) -> None:
+        for s, k in fill.items():
+            self.left[s] = self.left.get(s, 0) - k * times
+            if not self.left[s]:
+                del self.left[s], self.sizes[bisect_left(self.sizes, s)]
+            elif self.left[s] == -k * times:  # it had been used up and comes back
+                insort(self.sizes, s)
+
+    def fits(self, fill: dict[int, int], lo: int, hi: int) -> bool:
+        """Whether an item of a size from lo to hi is left beside the filling."""
+        return any(self.left[x] > fill.get(x, 0) for x in self.sizes[bisect_left(self.sizes, lo) : bisect_right(self.sizes, hi)])
+
+    def dominated(self, fill: dict[int, int], top: int, room: int) -> bool:
+        """Whether an item left out would still fit, or could take the place of one or two smaller ones."""
+        if self.fits(fill, 1, room):
+            return True
+        rest = [s for s, k in fill.items() for _ in range(min(2, k - (s == top)))]
+        if any(self.fits(fill, s + 1, s + room) for s in rest if room):
+            return True
+        return len(rest) <= 16 and any(self.fits(fill, x + y, x + y + room) for i, x in enumerate(rest) for y in rest[:i])
+
+    def fillings(self, top: int) -> Iterator[tuple[int, dict[int, int]] | None]:
+        """Every undominated filling around an item of size `top` with the room it leaves, larger items
+        first; None for each node that gives no filling."""
+        sizes, fill = list(self.sizes), {top: 1}
+        under = [0, *accumulate(s * self.left[s] for s in sizes)]  # tokens of all sizes below the i-th
+
+        def go(i: int, room: int) -> Iterator[tuple[int, dict[int, int]] | None]:
+            self.nodes -= 1
+            if self.nodes < 0:
+                raise Spent
+            i = min(i, bisect_right(sizes, room))
+            ends = room <= self.allowed() and not self.dominated(fill, top, room)
+            yield (room, dict(fill)) if ends else None
+            while i and room - under[i] <= self.allowed():
+                i -= 1
+                s = sizes[i]
+                before = fill.get(s, 0)
+                for k in range(min(self.left[s] - before, room // s), 0, -1):
+                    fill[s] = before + k
+                    yield from go(i, room - k * s)
+                fill[s] = before
+                if not before:
+                    del fill[s]
+
+        return go(len(sizes), self.cap - top)
+
+    def branches(self, top: int, least: tuple) -> Iterator[tuple[tuple, dict[int, int], int, int]]:
+        """Fillings with how often to use each. Those of an enumeration's first nodes come fullest first,
+        the rest as they are found. Of fillings around one size only falling rows are made: below `least`
+        the same plan comes in another order."""
+        found: list = []
+        all_ways = self.fillings(top)
+        n = 0
+
+        def made(batch: list) -> Iterator[tuple[tuple, dict[int, int], int, int]]:
+            for key, fill in sorted(batch, key=lambda x: x[0]):
+                times = most = min(self.left[s] // k for s, k in fill.items())
+                if key[0] and most > 1 and len(self.sizes) > 2:
+                    times = most // 2  # waste is not repeated at first while other sizes could change what fits
+                tried = set()
+                for t in (times, most, *(most >> j for j in range(1, most.bit_length()))):
+                    if t not in tried and key[0] * t <= self.allowed():
+                        tried.add(t)
+                        yield key, fill, t, key[0]
+
+        for way in all_ways:
+            n += 1
+            if way is not None:
+                key = (way[0], sum(way[1].values()), tuple(sorted(way[1].items(), reverse=True)))
+                if key >= least:
+                    found.append((key, way[1]))
+            if found and (n >= ENUM_NODES or not found[-1][0][0]):
+                batch, found = found, []
+                yield from made(batch)
+        yield from made(found)
+
+    def run(self, bound: int) -> list[Step] | None:
+        """The best plan below the incumbent, or None. Ends at the bound, when all branches are done, or
+        when the nodes are spent."""
+        best: list[Step] | None = None
+        steps: list[Step] = []
+        used, stack, lost = 0, [self.branches(self.sizes[-1], ())], []
+        try:
+            while stack and self.best_n > bound:
+                got = next(stack[-1], None)
+                if got is None:
+                    stack.pop()
+                    if steps:
+                        fill, times = steps.pop()
+                        self.take(fill, -times)
+                        self.waste -= lost.pop()
+                        used -= times
+                    continue
+                key, fill, times, room = got
+                self.nodes -= 1
+                if self.nodes < 0:
+                    raise Spent
+                top = self.sizes[-1]
+                self.take(fill, times)
+                steps.append((fill, times))
+                lost.append(room * times)
+                self.waste += room * times
+                used += times
+                if not self.sizes:
+                    if used < self.best_n:
+                        best, self.best_n = list(steps), used
+                    stack.append(iter(()))
+                elif self.allowed() < 0:
+                    stack.append(iter(()))
+                else:
+                    stack.append(self.branches(self.sizes[-1], key if self.sizes[-1] == top else ()))
+        except Spent:
+            pass
+        return best
+
+
+def plan(hist: dict[int, int], cap: int, nodes: int = SEARCH_NODES) -> list[Step]:
+    """Containers of capacity cap for hist(size -> count): fillings with how often each is used."""
+    hist = {int(s): int(n) for s, n in hist.items() if n > 0}
+    full = hist.pop(cap, 0)
+    head: list[Step] = [({cap: 1}, full)] if full else []
+    if not hist:
+        return head
+    bound = lower_bound(hist, cap)
+    best = descents(hist, cap, best_fit(hist, cap), bound)
+    best_n = sum(t for _, t in best)
+    if best_n > bound:
+        best = Search(hist, cap, best_n, nodes).run(bound) or best
     return head + best
 
 

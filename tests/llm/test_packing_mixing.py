@@ -49,6 +49,42 @@ def test_plan_against_brute_force():
     assert worse <= 6
 
 
+def test_plan_is_optimal():
+    """No instance is off the optimum while the budget lasts, repeated sizes among them."""
+    rnd = random.Random(11)
+    for n in range(400):
+        cap = rnd.randrange(10, 60)
+        sizes = [rnd.randrange(1 + cap // 8, 1 + cap * 2 // 3) for _ in range(rnd.randrange(5, 11))]
+        sizes += rnd.choices(sizes, k=n % 3)
+        hist = {s: sizes.count(s) for s in sizes}
+        plan = packing.plan(hist, cap)
+        used = {}
+        for fill, times in plan:
+            assert sum(s * k for s, k in fill.items()) <= cap
+            for s, k in fill.items():
+                used[s] = used.get(s, 0) + k * times
+        assert used == hist
+        best = least_bins(sorted(sizes, reverse=True), cap)
+        assert sum(t for _, t in plan) == best >= packing.lower_bound(hist, cap)
+
+
+def test_search_goes_back():
+    """Instances in which greedy descents end one container above the bound, which only other branches meet."""
+    for seed in (316, 317, 319, 329, 333, 335, 344, 350, 391):
+        rnd = random.Random(seed)
+        cap, n = rnd.choice([60, 100, 150]), rnd.randrange(24, 50)
+        sizes = [rnd.randrange(cap // 8, cap * 6 // 10) for _ in range(n)]
+        hist = {s: sizes.count(s) for s in sizes}
+        plan = packing.plan(hist, cap)
+        used = {}
+        for fill, times in plan:
+            assert sum(s * k for s, k in fill.items()) <= cap
+            for s, k in fill.items():
+                used[s] = used.get(s, 0) + k * times
+        assert used == hist
+        assert sum(t for _, t in plan) == packing.lower_bound(hist, cap), seed
+
+
 def test_packed_rows(spark, small):
     p = packing.packed(spark, small).toPandas()
     caps = dict(packing.profiles(spark, small))
