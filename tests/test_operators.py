@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltworks.functions import ident, scan, text
 from siltworks.functions.paths import canonical_path, trimmed
 from siltworks.operators import dedup, joins, packing, splits
+from siltworks.queries import text_ops
 from siltworks.sources import files
 from siltworks.sources.tables import one_per_key, split_name
 
@@ -54,6 +55,47 @@ def test_fingerprint_ignores_order(spark):
     assert a == b != c
 
 
+def leaks(prompts, corpus, n=16, rare=2):
+    """Brute force: present, distinctive and their ratio for each prompt."""
+    cut = lambda x: {x[i : i + n] for i in range(len(x) - n + 1)}
+    plain = lambda x: " ".join(x.split()).lower()
+    held = [cut(x) for x in {plain(x) for x in corpus}]
+    out = {}
+    for k, x in prompts.items():
+        c = [sum(g in h for h in held) for g in cut(plain(x))]
+        few = [y for y in c if y <= rare]
+        out[k] = (sum(y > 0 for y in few), len(few), round(sum(y > 0 for y in few) / len(few), 6) if few else 0.0)
+    return out
+
+
+def test_leaks_in_bodies(spark, small, tmp_path):
+    body = "func spill_lantern(oil):\n\treturn oil * 3 + wick\n"
+    rows = [
+        (1, "Quiet harbour", "intro words\n" + body + "closing words", "train"), (2, "Other", "nothing of that kind stands here", "Train"), (3, "Third", "NOTHING of that  kind stands here", "train"), (4, "Prompt", body.upper(), "test"), (5, "Short", "abc", "test"), (6, "None", None, "test"),
+        (7, "Free", "wholly new wording with ä and 🌑 in it", "TEST"), (8, "Dev", body, "val"), (9, "Blank", " ", "test"), (10, "Kind", "of that kind stands here, too", "test"),
+        *[(20 + i, "Common", f"{i} a common header of many files {i}", "train") for i in range(3)], (30, "Header", "a common header of many files", "test"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, title string, text string, split string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["present"], r["distinctive"], r["leak"]) for r in text_ops.text_leak_index(spark, str(tmp_path)).collect()}
+    want = leaks({k: x for k, _, x, s in rows if s.lower() == "test" and x is not None}, [x for _, _, x, s in rows if s.lower() == "train"])
+    assert got == want and got[4][2] == 1.0 and got[7][2] == 0.0 and got[5] == (0, 0, 0.0) and got[30][1] == 0
+    docs = {r["doc_id"]: (r["text"], split_name_of(r["split"])) for r in spark.read.parquet(small + "/documents.parquet").collect() if r["text"] is not None}
+    got = {r["doc_id"]: (r["present"], r["distinctive"], r["leak"]) for r in text_ops.text_leak_index(spark, small).collect()}
+    assert got == leaks({k: x for k, (x, s) in docs.items() if s == "test"}, [x for x, s in docs.values() if s == "train"])
+
+
+def split_name_of(x):
+    return (x or "").strip().lower()
+
+
+def test_byte_ids_of_texts(spark, tmp_path):
+    rows = [(1, "aä<eos>\n<task></task>"), (2, ""), (3, None), (4, "<eos"), (5, "🌑" * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["ids"] for r in text_ops.text_byte_token_ids(spark, str(tmp_path)).collect()}
+    raw = lambda x: [13 + b for b in x.encode()]
+    assert got == {1: [*raw("aä"), 2, *raw("\n"), 4, 5], 2: [], 4: raw("<eos"), 5: raw("🌑" * 5000)}
+
+
 def test_scanner():
     assert scan.strip_comments('a = "# no" # yes\nb') == 'a = "# no" \nb'
     assert scan.dedup_form("x  =  1 # c\n\n  y") == "x = 1\ny"
