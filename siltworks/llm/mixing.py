@@ -9,10 +9,11 @@ documents that returns one number per source. Rates become whole repeats by syst
 hash order, so the sums keep to the rates.
 
 The size of the mixture is the largest at which every source that has documents can supply its share
-within its repeats. Targets of sources without documents cannot be met: their share is spread over the
+within its repeats; if no source has a cap, it is the least at which each could give all its documents once.
+Targets of sources without documents cannot be met: their share is spread over the
 others in proportion, and the report shows both.
 
-Defined cases: null and blank texts have no tokens; a null max_repeats is no cap and counts as FREE_REPEATS;
+Defined cases: null and blank texts have no tokens; a null max_repeats is no cap;
 a target of zero or null chooses nothing; sources without a target are not used; without any usable
 target the result is empty; a repeated doc_id counts once.
 """
@@ -34,8 +35,8 @@ from siltworks.sources.tables import table
 
 #: Hashed features of the classifier, and its smoothing.
 FEATURES, SMOOTH = 4096, 0.5
-#: Repeats allowed where no cap is given.
-FREE_REPEATS = 8
+#: One labelled document in SAMPLE trains the classifier, more of a source that has few: about LEAST_ROWS, or all.
+SAMPLE, LEAST_ROWS = 16, 64
 #: Most rounds of the gradient; it ends earlier when the shares are met to TOLERANCE.
 ROUNDS, TOLERANCE = 40, 1e-4
 #: Hash buckets along which rates are rounded.
@@ -81,8 +82,10 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     src = table(spark, d, "documents", "doc_id", "text", "source").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     s = spelled(F.col("source"))
     x = src.select("doc_id", "text", F.when(s.isin(known), s).alias("source"))
-    # One labelled document in sixteen, by hash, trains the classifier: a sample that grows with the data.
-    x = x.withColumn("needs", F.col("source").isNull() | (F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0))
+    # Labelled documents train the classifier, chosen by hash: a sample that grows with the data and leaves no source out.
+    n = x.where("source is not null").groupBy("source").agg(F.count("*").alias("n")).collect()  # of the fixed list
+    step = F.coalesce(*[F.when(F.col("source") == r["source"], max(1, min(SAMPLE, r["n"] // LEAST_ROWS))) for r in n], F.lit(1))
+    x = x.withColumn("needs", F.col("source").isNull() | (F.pmod(F.xxhash64("doc_id"), step) == 0))
     out = spread(x).mapInPandas(_read(tokens.folder(spark)), "doc_id long, source string, tokens long, f array<int>")
     return stored(out.groupBy("doc_id").agg(F.min(F.struct("source", "tokens", "f")).alias("b")).select("doc_id", "b.*").where("tokens > 0"), "documents")
 
@@ -96,7 +99,7 @@ def posteriors(docs: DataFrame, sources: list[str]) -> DataFrame:
     lab = docs.where("source is not null and f is not null")
     # FEATURES numbers per source at most.
     sums = lab.select(cls.alias("c"), F.explode("f").alias("u")).groupBy("c", "u").agg(F.count("*").alias("n")).collect()
-    prior = lab.groupBy(cls.alias("c")).agg(F.count("*").alias("n")).collect()
+    prior = docs.where("source is not null").groupBy(cls.alias("c")).agg(F.count("*").alias("n")).collect()  # not of the sample, which differs by source
     names = [*sources, ""]
     m = np.full((len(names), FEATURES), SMOOTH)
     for r in sums:
@@ -129,7 +132,7 @@ def posteriors(docs: DataFrame, sources: list[str]) -> DataFrame:
 def fitted(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, float, float]]]:
     """(doc_id, tokens, source, rate), and the goals as (source, share aimed at, cap)."""
     docs = documents(spark, d)
-    g = {r["source"]: (float(r["target_share"]), float(r["max_repeats"] if r["max_repeats"] is not None else FREE_REPEATS)) for r in goals(spark, d).collect()}
+    g = {r["source"]: (float(r["target_share"]), float(r["max_repeats"] if r["max_repeats"] is not None else math.inf)) for r in goals(spark, d).collect()}
     have = {r["source"]: r["t"] for r in docs.where(F.col("source").isin(list(g))).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     sources = sorted(s for s in g if have.get(s) and g[s][1] > 0)
     empty = spark.createDataFrame([], "doc_id long, tokens long, source string, rate double")
@@ -138,7 +141,8 @@ def fitted(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, floa
     share = np.array([g[s][0] for s in sources])
     share = share / share.sum()
     cap = np.array([g[s][1] for s in sources])
-    size = float(min(have[s] * c / w for s, c, w in zip(sources, cap, share)))
+    whole = [have[s] / w for s, w in zip(sources, share)]
+    size = float(min((n * c for n, c in zip(whole, cap) if c < math.inf), default=max(whole)))
     goal = share * size
     x = stored(posteriors(docs, sources), "members")
     total = np.array([have[s] for s in sources], dtype=float)

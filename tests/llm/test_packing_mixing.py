@@ -117,6 +117,30 @@ def test_mix_keeps_caps_and_shares(spark, tmp_path):
     assert s["gone"]["tokens"] == 0
 
 
+def test_no_cap_and_few_documents(spark, tmp_path):
+    docs = [(i, "stone river tower " * 12, "a") for i in range(5)] + [(100 + i, "signal node scene " * 12, "b") for i in range(300)]
+    docs += [(1000 + i, "token shard split " * 12, "c") for i in range(3)] + [(5000, "token shard split " * 12, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a",), ("b",), ("c",)], "id string").write.parquet(str(tmp_path / "sources.parquet"))
+    spark.createDataFrame([("a", 0.4, None), ("b", 0.4, 1), ("c", 0.2, None)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    d = mixing.documents(spark, str(tmp_path)).toPandas()
+    assert d[d.source.isin(["a", "c"])].f.notna().all()
+    m = mixing.mixed(spark, str(tmp_path)).toPandas()
+    t = (m.tokens * m.repeats).groupby(m.source.fillna("c")).sum() / (m.tokens * m.repeats).sum()
+    assert abs(t["a"] - 0.4) < 0.02 and abs(t["b"] - 0.4) < 0.02 and m[m.source == "a"].repeats.min() > 8 and len(m[m.source == "b"]) >= 298
+    members = {r["doc_id"]: r["p"] for r in mixing.posteriors(mixing.documents(spark, str(tmp_path)), ["a", "b", "c"]).collect()}
+    assert max(range(3), key=lambda i: members[5000][i]) == 2
+
+
+def test_no_cap_at_all(spark, tmp_path):
+    docs = [(i, "stone river tower " * 12, "a") for i in range(10)] + [(100 + i, "signal node scene " * 12, "b") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a",), ("b",)], "id string").write.parquet(str(tmp_path / "sources.parquet"))
+    spark.createDataFrame([("a", 0.5, None), ("b", 0.5, None)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    m = mixing.mixed(spark, str(tmp_path)).toPandas()
+    assert set(m[m.source == "b"].repeats) == {1} and len(m[m.source == "b"]) == 40 and m[m.source == "a"].repeats.min() >= 3
+
+
 def test_grades_held_out(spark, tmp_path):
     """Half of the labels train; the others must be met, but for the raters' own errors."""
     import os
