@@ -84,8 +84,9 @@ _DENIED = re.compile(r"(?i)\bnot?\s+(?:a|an|the|our|real)\b|\bno\s+\w+\b|example
 _NAMING = re.compile(r"(?i)(?<![A-Za-z])(?:" + _NAME_END + r")(?![A-Za-z])")
 #: A text with none of these, in lower case, binds no value to a credential's name.
 _ROOTS = [w for w in WORDS if w not in ("pat", "pass")] + [k + j + "key" for k in KEY_OF for j in ("_", "-", ".", " ", "")]
-_ROOTS += ["_pass", "-pass", ".pass", "/pass", "pass:", "pass=", "pass =", 'pass"', "pass'"]
-_SHORT = re.compile(r"(?<![a-z])pat(?![a-z])|[a-z](?:Pass|Pat)(?![a-z])")
+#: The two words that are common in code as well, and such of them as are bound to something.
+_SHORT = re.compile(_HEAD + r"(?i:pass|pat)")
+_BOUND = re.compile(r"(?i:pass|pat)(?:[_\-]?(?:(?i:" + "|".join(TAIL) + r")|\d+))?[\"'\]]*\s*[:=,]")
 _FORMS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "k_live_", "k_test_", "AKIA", "ASIA", "AIza", "xox", "npm_", "hf_", "SG.", "_live_", "_pat_", "_prod_", "_key_", "_secret_", "ptk-", "eyJ")
 _PIECE = re.compile(_LIT)
 
@@ -118,14 +119,23 @@ def _joined(raw: str) -> str:
     return "".join(x[1:-1] for x in _PIECE.findall(raw))
 
 
+def _short_named(text: str) -> bool:
+    """Whether one of the two short words is bound to a value or stands in a comment, all that patterns match."""
+    for m in _SHORT.finditer(text):
+        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        if _BOUND.match(text, m.start()) or "//" in line or any(c in line for c in "#;*"):
+            return True
+    return False
+
+
 def spans(text: str, enc) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every credential's value, in order, none inside another."""
     if not text:
         return []
     hits: list[tuple[int, int, str]] = []
     add = lambda a, b, kind: hits.append((a, b, kind))
-    low = text.lower()
-    if any(w in low for w in _ROOTS) or ("pat" in low or "Pass" in text) and (_SHORT.search(text) or _SHORT.search(low)):
+    low = text.casefold().replace("\u0131", "i")  # what (?i) takes as equal
+    if any(w in low for w in _ROOTS) or ("pat" in low or "pass" in low) and _short_named(text):
         for m in NAMED.finditer(text):
             raw, a = m["v"], m.start("v")
             pieces = list(_PIECE.finditer(raw))
@@ -150,7 +160,7 @@ def spans(text: str, enc) -> list[tuple[int, int, str]]:
             why, v = m["why"], m["v"][1:-1]
             if _NAMING.search(why) and not _DENIED.search(why) and len(why) < 80 and _granting(v, enc):
                 add(m.start("v") + 1, m.end("v") - 1, "noted")
-    if any(w in low for w in ("authorization", "x-auth", "api-key", "private-token", "x-access", "cookie:", "cookie\"", "cookie'", "cookie=")):
+    if any(w in low for w in ("authorization", "x-auth", "api-key", "private-token", "x-access", "cookie")):
         for m in HEADER.finditer(text):
             v = m["v"]
             if not PLACEHOLDER.match(v) and (_random(v, enc) or KNOWN.search(v)):
@@ -173,13 +183,16 @@ def spans(text: str, enc) -> list[tuple[int, int, str]]:
             v = m[g]
             if v and not PLACEHOLDER.match(v) and (g == "v" or _random(v, enc, 16)):
                 add(*m.span(g), "address")
-        for m in QUERY.finditer(text):
-            if not PLACEHOLDER.match(m["v"]) and _random(m["v"], enc):
-                add(*m.span("v"), "address")
         for m in HOOK.finditer(text):
             last = max(m["v"].split("/"), key=len)
             if len(last) >= 16 and _random(last, enc):
                 add(*m.span("v"), "address")
+    if any(w in low for w in ("sig=", "signature=", "sign=", "token=", "key=", "auth=", "secret=", "password=", "passwd=", "pwd=")):
+        whole = "://" in text
+        for m in QUERY.finditer(text):
+            # Without an address in the text, the value must not be an expression of code.
+            if not PLACEHOLDER.match(m["v"]) and _random(m["v"], enc) and (whole or re.fullmatch(r"[\w%~+/=\-]+", m["v"]) and re.search(r"\d", m["v"])):
+                add(*m.span("v"), "address")
     if any(w in low for w in ("login", "log_in", "sign_in", "signin", "authenticate", "credentials", "basic_auth", "set_password", "unlock_with")):
         for m in CALL.finditer(text):
             if _granting(m["v"][1:-1], enc):

@@ -116,6 +116,17 @@ def test_verdict_tells_wrong_extension_from_corruption():
     assert syntax.verdict('[gd_scene format=3]\n\n[node name="A"]\n', "gdscript")[1] == "godot_cfg"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('const PASS := "k9!xQ2vv7"', ["k9!xQ2vv7"]), ('pass2 = "k9!xQ2vv7"', ["k9!xQ2vv7"]), ("# wifi pass is Xk29vQzt81", ["Xk29vQzt81"]), ('var PASS_OLD\t= "k9!xQ2vv7"', ["k9!xQ2vv7"]), ('cookie = "sid=Zk3vQ9xTr71bWm"', ["Zk3vQ9xTr71bWm"]),
+        ('var a := "/v1/list?token=Zk3vQ9xTr71bWm"', ["Zk3vQ9xTr71bWm"]), ("func a():\n\tpass\n", []), ("a;key=t.getKey9x(e,Qz),b=2", []), ("# the ball may pass here\nvar a = 1", []),
+    ],
+)
+def test_no_gate_hides_a_credential(text, want):
+    assert hits(text) == want
+
+
 def marks(spark, text):
     return spark.createDataFrame([(text,)], "t string").select(provenance.text_mark(F.col("t"))).first()[0]
 
