@@ -11,7 +11,10 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import warnings
+from functools import wraps
+from json.scanner import py_make_scanner
 
 Fault = tuple[int, str] | None
 
@@ -31,6 +34,39 @@ def _refuse(x: str):
     raise ValueError(f"{x} is no JSON")
 
 
+def any_depth(parse):
+    """Parse again with room for any nesting where the usual depth of calls doesn't do. The parsers are Python
+    throughout, so a deep call takes memory in proportion to the text, and no C stack."""
+
+    @wraps(parse)
+    def run(text: str) -> Fault:
+        try:
+            return parse(text)
+        except RecursionError:
+            usual = sys.getrecursionlimit()
+            sys.setrecursionlimit(usual + 100 * len(text))
+            try:
+                return parse(text)
+            finally:
+                sys.setrecursionlimit(usual)
+
+    return run
+
+
+@any_depth
+def _json_deep(text: str) -> Fault:
+    """json_strict by the reader that is written in Python; the one in C has a fixed depth."""
+    d = json.JSONDecoder(parse_constant=_refuse)
+    d.scan_once = py_make_scanner(d)
+    try:
+        d.decode(text)
+    except json.JSONDecodeError as e:
+        return e.lineno, e.msg
+    except ValueError as e:
+        return 1, str(e)
+    return None
+
+
 def json_strict(text: str) -> Fault:
     """RFC 8259: one value, no comments, no trailing comma, no NaN."""
     try:
@@ -41,7 +77,7 @@ def json_strict(text: str) -> Fault:
     except ValueError as e:
         return 1, str(e)
     except RecursionError:
-        return None  # nested deeper than this reader goes; nothing was found wrong
+        return _json_deep(text)
 
 
 # ---------------------------------------------------------------- Godot configuration
@@ -92,8 +128,6 @@ class _Cfg:
         raise Bad(f"unexpected {v}", self.i)
 
     def items(self, close: str, depth: int) -> None:
-        if depth > 200:
-            raise Bad("nested too deeply", self.i)
         while self.peek() != close:
             self.value(depth + 1)
             if self.peek() == ":" and (close == "}" or close == ")"):
@@ -108,6 +142,7 @@ class _Cfg:
         self.tok()
 
 
+@any_depth
 def godot_cfg(text: str) -> Fault:
     """`[section]`, `key=value` with values as the engine writes them, `;` comments."""
     i, n = 0, len(text)
@@ -128,8 +163,6 @@ def godot_cfg(text: str) -> Fault:
             i = max(rest.end(), i + 1)
     except Bad as e:
         return text.count("\n", 0, max(0, e.at)) + 1, str(e)
-    except RecursionError:
-        return None
     return None
 
 
@@ -632,6 +665,7 @@ def _nested(s: str) -> bool:
     return not stack
 
 
+@any_depth
 def gdscript(text: str) -> Fault:
     """Godot 4 GDScript: line structure, indentation and the grammar of every line."""
     starts: list[int] = []
@@ -658,8 +692,6 @@ def gdscript(text: str) -> Fault:
         _gd_blocks(lines, bad >= 0)
     except Bad as e:
         return max(1, e.at), str(e)
-    except RecursionError:
-        return None
     return None
 
 
@@ -1458,6 +1490,7 @@ class _Js:
 _JS_STATEMENTS = set("var const if while with do for return throw break continue debugger try switch function class import export".split())
 
 
+@any_depth
 def javascript(text: str) -> Fault:
     """ECMAScript, scripts and modules."""
     p = None
@@ -1466,8 +1499,6 @@ def javascript(text: str) -> Fault:
         p.program()
     except Bad as e:
         return text.count("\n", 0, max(0, e.at)) + 1, str(e)
-    except RecursionError:
-        return None
     return None
 
 

@@ -127,6 +127,20 @@ def test_no_gate_hides_a_credential(text, want):
     assert hits(text) == want
 
 
+@pytest.mark.parametrize("n", [300, 6000])
+def test_deep_nesting_is_parsed(n):
+    js = "let a = " + "[" * n + "]" * n + ";\n"
+    chain = "if (a) {}\n" + "else if (a) {}\n" * n
+    gd = "var a = " + "[" * n + "]" * n + "\n"
+    cfg = "[a]\nb=" + "[" * n + "]" * n + "\n"
+    js_on = "[" * 20 * n + "]" * 20 * n
+    assert G.javascript(js) is None and G.javascript(js + "let = = 1;\n") is not None
+    assert G.javascript(chain) is None and G.javascript(chain + "let = = 1;\n") is not None
+    assert G.gdscript(gd) is None and G.gdscript(gd + "var = = 1\n") is not None
+    assert G.godot_cfg(cfg) is None and G.godot_cfg(cfg + "c=[1\n") is not None
+    assert G.json_strict(js_on) is None and G.json_strict(js_on[:-1] + ",]") is not None
+
+
 def marks(spark, text):
     return spark.createDataFrame([(text,)], "t string").select(provenance.text_mark(F.col("t"))).first()[0]
 
