@@ -27,8 +27,9 @@ from siltworks.llm import tokens
 from siltworks.session import spread
 from siltworks.sources.tables import table
 
-#: Characters per subword at or under which a value is unnatural.
-UNNATURAL = 2.6
+#: Characters per subword at or under which a value is unnatural; the same for a value that a person has made
+#: up from words, with a digit or a sign in it, and is bound to a credential's name.
+UNNATURAL, UNNATURAL_NAMED = 2.6, 4.0
 #: Words that name a credential by themselves, and kinds of key that do.
 WORDS = (
     "token secret password passwort passwd passphrase kennwort wachtwoord contrasena senha pwd passcode "
@@ -80,6 +81,7 @@ PLACEHOLDER = re.compile(
     r"(?i)^(?:|[x*.\-_#?0 ]+|(.)\1*|<.*>|\[.*\]|\$.*|%.*%?|.*%[sdv]|.*\$\{.*|.*\{\{?\w*\}?\}.*|(?:res|user|uid|file)://.*|0x[0-9a-f]{1,8}"
     r"|(?:[a-z]+[_\-. ])*(?:your|replace|change|changeme|placeholder|example|dummy|insert|redacted|todo|fixme|sample|none|null|nil|undefined|true|false|enter|goes|here|not|set|unset|empty|hidden|secret|masked|removed)(?:[_\-. ][a-z]+)*)$"
 )
+_JOIN = re.compile(r"\s*,?\s*\]\s*\.\s*join\b")
 _DENIED = re.compile(r"(?i)\bnot?\s+(?:a|an|the|our|real)\b|\bno\s+\w+\b|example|placeholder")
 _NAMING = re.compile(r"(?i)(?<![A-Za-z])(?:" + _NAME_END + r")(?![A-Za-z])")
 #: A text with none of these, in lower case, binds no value to a credential's name.
@@ -87,8 +89,13 @@ _ROOTS = [w for w in WORDS if w not in ("pat", "pass")] + [k + j + "key" for k i
 #: The two words that are common in code as well, and such of them as are bound to something.
 _SHORT = re.compile(_HEAD + r"(?i:pass|pat)")
 _BOUND = re.compile(r"(?i:pass|pat)(?:[_\-]?(?:(?i:" + "|".join(TAIL) + r")|\d+))?[\"'\]]*\s*[:=,]")
+#: Words, perhaps numbered: what names a thing, and may be a password, but no key or token.
+_NUMBERED = re.compile(r"[A-Za-z]+(?:[_\-./ ][A-Za-z]+)*[_\-./ ]?\d{1,3}")
+_CHOSEN = re.compile(r"(?i)pass|pwd|kennwort|wachtwoord|contrasena|senha|cred")
 _FORMS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "k_live_", "k_test_", "AKIA", "ASIA", "AIza", "xox", "npm_", "hf_", "SG.", "_live_", "_pat_", "_prod_", "_key_", "_secret_", "ptk-", "eyJ")
 _PIECE = re.compile(_LIT)
+#: A member of a list: a literal, or what stands between two.
+_MEMBER = re.compile(r"\s*(?:(?:#|//)[^\n]*\n\s*)*(?:(?P<lit>" + _LIT + r")|(?P<sign>[+,]))")
 
 
 def per_subword(v: str, enc) -> float:
@@ -103,15 +110,35 @@ def _random(v: str, enc, least: int = 8) -> bool:
     return per_subword(v, enc) <= UNNATURAL
 
 
-def _granting(v: str, enc) -> bool:
-    """A value that, bound to a credential's name, would grant access."""
+def _granting(v: str, enc, name: str) -> bool:
+    """A value that, bound to a credential's name, would grant access. Subwords judge every value but a number."""
     if PLACEHOLDER.match(v) or re.search(r"\s", v) or len(v) < 5 or v.startswith(("/", "./", "../")) or "://" in v:
         return False
     if _NAMING.fullmatch(v) or re.fullmatch(r"[A-Za-z]+(?:[_\-./][A-Za-z]+)*", v) and not _random(v, enc, 10):
         return False  # another name, not a value
     if re.fullmatch(r"[\d.,:]+", v):
         return len(re.sub(r"\D", "", v)) >= 6
-    return bool(re.search(r"\d|[^\w\s\-./]", v)) or _random(v, enc)
+    if _NUMBERED.fullmatch(v) and not _CHOSEN.search(name):
+        return _random(v, enc, 10) and per_subword(v, enc) <= UNNATURAL - 0.6  # an item's id
+    return bool(re.search(r"\d|[^\w\s\-./]", v)) and per_subword(v, enc) <= UNNATURAL_NAMED or _random(v, enc)
+
+
+def _row(text: str, at: int) -> list[list[re.Match]]:
+    """The literals of the list whose inside begins at `at`, those joined by a plus together."""
+    out: list[list[re.Match]] = []
+    plus = False
+    while m := _MEMBER.match(text, at):
+        if m["lit"]:
+            lit = _PIECE.match(text, m.start("lit"))
+            if plus and out:
+                out[-1].append(lit)
+            else:
+                out.append([lit])
+            plus = False
+        else:
+            plus = m["sign"] == "+"
+        at = m.end()
+    return out
 
 
 def _joined(raw: str) -> str:
@@ -129,7 +156,7 @@ def _short_named(text: str) -> bool:
 
 
 def spans(text: str, enc) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every credential's value, in order, none inside another."""
+    """(start, end, kind) of every credential's value, in order; what overlaps is one."""
     if not text:
         return []
     hits: list[tuple[int, int, str]] = []
@@ -139,26 +166,31 @@ def spans(text: str, enc) -> list[tuple[int, int, str]]:
         for m in NAMED.finditer(text):
             raw, a = m["v"], m.start("v")
             pieces = list(_PIECE.finditer(raw))
-            list_of = len(pieces) > 1 and "+" not in raw[pieces[0].end() : pieces[1].start()]
-            if list_of and not (m["open"] == "[" and re.match(r"\s*,?\s*\]\s*\.\s*join\b", text[m.end("v") :])):
-                pieces = pieces[:1]
-                raw = pieces[0][0]
             if m["arg"] and not m["q"]:
                 continue
+            if m["open"] == "[" and m["op"] != "==" and not _JOIN.match(text, a + len(raw)):
+                for group in _row(text, a):  # every member is a value of its own
+                    if _granting("".join(x[0][1:-1] for x in group), enc, m["name"]):
+                        add(group[0].start() + 1, group[-1].end() - 1, "named")
+                continue
+            if len(pieces) > 1 and "+" not in raw[pieces[0].end() : pieces[1].start()] and m["open"] != "[":
+                pieces = pieces[:1]
+                raw = pieces[0][0]
             if m["op"] and m["op"] == "==" and not _random(_joined(raw), enc):
                 continue
-            if _granting(_joined(raw), enc):
+            if _granting(_joined(raw), enc, m["name"]):
                 add(a + pieces[0].start() + 1, a + pieces[-1].end() - 1, "named")
         for m in BARE.finditer(text):
-            if _granting(m["v"], enc):
+            if _granting(m["v"], enc, m["name"]):
                 add(*m.span("v"), "setting")
         for m in TOLD.finditer(text):
             v = m["v"].rstrip(".,;)")
-            if not PLACEHOLDER.match(v) and "(" not in v and re.search(r"\d|[^\w\-./]", v) and (_random(v, enc) or _granting(v, enc) and re.search(r"\d", v)):
+            if not PLACEHOLDER.match(v) and "(" not in v and re.search(r"\d|[^\w\-./]", v) and (_random(v, enc) or _granting(v, enc, m["name"]) and re.search(r"\d", v)):
                 add(m.start("v"), m.start("v") + len(v), "comment")
         for m in NOTED.finditer(text):
             why, v = m["why"], m["v"][1:-1]
-            if _NAMING.search(why) and not _DENIED.search(why) and len(why) < 80 and _granting(v, enc):
+            name = _NAMING.search(why)
+            if name and not _DENIED.search(why) and len(why) < 80 and _granting(v, enc, name[0]):
                 add(m.start("v") + 1, m.end("v") - 1, "noted")
     if any(w in low for w in ("authorization", "x-auth", "api-key", "private-token", "x-access", "cookie")):
         for m in HEADER.finditer(text):
@@ -195,7 +227,7 @@ def spans(text: str, enc) -> list[tuple[int, int, str]]:
                 add(*m.span("v"), "address")
     if any(w in low for w in ("login", "log_in", "sign_in", "signin", "authenticate", "credentials", "basic_auth", "set_password", "unlock_with")):
         for m in CALL.finditer(text):
-            if _granting(m["v"][1:-1], enc):
+            if _granting(m["v"][1:-1], enc, "password"):
                 add(m.start("v") + 1, m.end("v") - 1, "call")
     if "PRIVATE KEY" in text:
         for m in PEM.finditer(text):
@@ -208,8 +240,9 @@ def spans(text: str, enc) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for h in hits:
         if out and h[0] < out[-1][1]:
-            continue
-        out.append(h)
+            out[-1] = (out[-1][0], max(out[-1][1], h[1]), out[-1][2])  # one value, seen by two rules
+        else:
+            out.append(h)
     return out
 
 
