@@ -29,15 +29,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.llm import tokens
-from siltworks.session import spread, stored
+from siltworks.session import discard, spread, stored
 from siltworks.sources.tables import table
 
 #: Nodes of the enumeration until the fillings found so far are tried, fullest first; nodes of one search.
 ENUM_NODES, SEARCH_NODES = 2_000, 2_000_000
 #: For the first incumbent only: fillings at hand, nodes of their enumeration, steps of all descents.
 FILLINGS, NEAR_NODES, DESCENT_STEPS = 4, 2_000, 20_000
-#: Hash buckets in which the items of one size are numbered.
-BUCKETS = 256
+#: Hash buckets in which the items of one size are numbered, and rows for which there is one at least.
+BUCKETS, BUCKET_ROWS = 256, 1_000_000
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -205,6 +205,7 @@ class Search:
     def __init__(self, hist: dict[int, int], cap: int, best_n: int, nodes: int) -> None:
         self.left, self.sizes, self.cap, self.nodes = dict(hist), sorted(hist), cap, nodes
         self.total, self.best_n, self.waste = sum(s * n for s, n in hist.items()), best_n, 0
+        self.spent = False
 
     def allowed(self) -> int:
         """The waste that is left to a plan with one container less than the incumbent."""
@@ -323,23 +324,33 @@ class Search:
                 else:
                     stack.append(self.branches(self.sizes[-1], key if self.sizes[-1] == top else ()))
         except Spent:
-            pass
+            self.spent = True
         return best
 
 
-def plan(hist: dict[int, int], cap: int, nodes: int = SEARCH_NODES) -> list[Step]:
-    """Containers of capacity cap for hist(size -> count): fillings with how often each is used."""
+def planned(hist: dict[int, int], cap: int, nodes: int = SEARCH_NODES) -> tuple[list[Step], int, bool]:
+    """(fillings with how often each is used, containers needed at least, whether fewer are impossible) for
+    hist(size -> count) and containers of capacity cap. A search that ends by itself without a better plan
+    proves the one it began with."""
     hist = {int(s): int(n) for s, n in hist.items() if n > 0}
     full = hist.pop(cap, 0)
     head: list[Step] = [({cap: 1}, full)] if full else []
     if not hist:
-        return head
+        return head, full, True
     bound = lower_bound(hist, cap)
     best = descents(hist, cap, best_fit(hist, cap), bound)
     best_n = sum(t for _, t in best)
-    if best_n > bound:
-        best = Search(hist, cap, best_n, nodes).run(bound) or best
-    return head + best
+    proven = best_n == bound
+    if not proven:
+        search = Search(hist, cap, best_n, nodes)
+        best = search.run(bound) or best
+        proven = not search.spent
+    return head + best, full + bound, proven
+
+
+def plan(hist: dict[int, int], cap: int, nodes: int = SEARCH_NODES) -> list[Step]:
+    """The fillings of planned()."""
+    return planned(hist, cap, nodes)[0]
 
 
 # ---------------------------------------------------------------- documents
@@ -365,9 +376,9 @@ def items(counts: DataFrame, caps: list[tuple[str, int]]) -> DataFrame:
     ).select("profile", "doc_id", "piece", F.least("cap", F.col("tokens") - F.col("piece") * F.col("cap")).alias("size"))
 
 
-def numbered(x: DataFrame) -> DataFrame:
-    """Items with `rank`, from 0, within their profile and size."""
-    b = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))
+def numbered(x: DataFrame, buckets: int) -> DataFrame:
+    """Items with `rank`, from 0, within their profile and size, numbered in hash buckets and over these."""
+    b = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
     x = x.withColumn("b", b)
     n = x.groupBy("profile", "size", "b").agg(F.count("*").alias("n"))
     off = n.select("profile", "size", "b", (F.sum("n").over(W.partitionBy("profile", "size").orderBy("b")) - F.col("n")).alias("off"))
@@ -387,23 +398,35 @@ def segments(steps: list[Step], profile: str) -> list[tuple]:
     return out
 
 
-def packed(spark: SparkSession, d: str) -> DataFrame:
-    """profile, doc_id, piece, tokens, container: where every document, or piece of one, lies."""
+def _plans(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, int, list[Step], int, bool]]]:
+    """(items, [(profile, capacity, plan, least number of containers, proven)])."""
     caps = profiles(spark, d)
-    x = stored(items(token_counts(spark, d), caps), "items") if caps else None
-    schema = "profile string, size long, lo long, hi long, per long, base long"
-    if x is None:
-        return spark.createDataFrame([], "profile string, doc_id long, piece long, tokens long, container long")
+    if not caps:
+        return spark.createDataFrame([], "profile string, doc_id long, piece long, size long"), []
+    counts = token_counts(spark, d)
+    x = stored(items(counts, caps), "items")
+    discard(counts)
     hist: dict[str, dict[int, int]] = {p: {} for p, _ in caps}
     # At most as many rows as the capacities have tokens.
     for r in x.groupBy("profile", "size").agg(F.count("*").alias("n")).collect():
         hist[r["profile"]][r["size"]] = r["n"]
-    seg = [s for p, c in caps for s in segments(plan(hist[p], c), p)]
-    s = F.broadcast(spark.createDataFrame(seg, schema))  # steps of the plans: bounded by the capacities
-    y = numbered(x).join(s, ["profile", "size"]).where("rank >= lo and rank < hi")
+    return x, [(p, c, *planned(hist[p], c)) for p, c in caps]
+
+
+def _placed(x: DataFrame, plans: list[tuple[str, int, list[Step], int, bool]]) -> DataFrame:
+    spark = x.sparkSession
+    seg = [s for p, _, steps, _, _ in plans for s in segments(steps, p)]
+    s = F.broadcast(spark.createDataFrame(seg, "profile string, size long, lo long, hi long, per long, base long"))  # steps of the plans: bounded by the capacities
+    most = max((hi for _, _, _, hi, _, _ in seg), default=0)  # items of the most frequent size
+    y = numbered(x, max(BUCKETS, most // BUCKET_ROWS + 1)).join(s, ["profile", "size"]).where("rank >= lo and rank < hi")
     return y.select("profile", "doc_id", "piece", F.col("size").alias("tokens"), (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).alias("container"))
 
 
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    """profile, doc_id, piece, tokens, container: where every document, or piece of one, lies."""
+    return _placed(*_plans(spark, d))
+
+
 def fill(spark: SparkSession, d: str) -> DataFrame:
     """profile, container, items, tokens, room left."""
     caps = spark.createDataFrame(profiles(spark, d), "profile string, cap long")
@@ -412,14 +435,16 @@ def fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
-    """Per profile: documents, cut documents, containers, the least possible number, share filled."""
-    caps = spark.createDataFrame(profiles(spark, d), "profile string, cap long")
-    p = stored(packed(spark, d), "packed")
+    """Per profile: documents, cut documents, containers, the number that is needed at least, whether it is
+    proven that no plan has fewer containers, and the share filled."""
+    x, plans = _plans(spark, d)
+    p = stored(_placed(x, plans), "packed")
+    discard(x)
     docs = p.groupBy("profile", "doc_id").agg(F.count("*").alias("pieces")).groupBy("profile").agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") > 1).alias("cut"))
     c = p.groupBy("profile").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
-    least = F.ceil(F.col("tokens") / F.col("cap"))
-    return docs.join(c, "profile").join(F.broadcast(caps), "profile").select(
-        "profile", "documents", "cut", "containers", least.alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * F.col("cap")), 6).alias("filled")
+    least = spark.createDataFrame([(n, c, b, ok) for n, c, _, b, ok in plans], "profile string, cap long, least_containers long, proven boolean")
+    return docs.join(c, "profile").join(F.broadcast(least), "profile").select(
+        "profile", "documents", "cut", "containers", "least_containers", "proven", F.round(F.col("tokens") / (F.col("containers") * F.col("cap")), 6).alias("filled")
     )
 
 

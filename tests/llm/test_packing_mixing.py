@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from siltworks.llm import level, mixing, packing
@@ -115,6 +117,30 @@ def test_mix_keeps_caps_and_shares(spark, tmp_path):
     assert abs(t["a"] / t.sum() - 0.375) < 0.02
     s = {r["source"]: r for r in mixing.shares(spark, str(tmp_path)).collect()}
     assert s["gone"]["tokens"] == 0
+    total = (m.tokens * m.repeats).sum()
+    assert abs(sum(r["share"] for r in s.values()) - 1) < 1e-4
+    for k in ("a", "b"):
+        assert abs(s[k]["expected_tokens"] - s[k]["goal"] * total) <= 3 * m.tokens.max()
+    a = {r["source"]: r["accuracy"] for r in mixing.accuracy(spark, str(tmp_path)).collect()}
+    assert min(a.values()) > 0.9
+
+
+def test_rounding_is_within_a_document(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(10, 900), s, [1.0], rnd.random() * 2.5) for i, s in enumerate(["a"] * 700 + ["b"] * 40)]
+    r = spark.createDataFrame(rows, "doc_id long, tokens long, source string, p array<double>, rate double")
+    got = mixing.rounded(r).toPandas()
+    assert ((got.repeats - got.rate).abs() < 1).all()
+    for s in "ab":
+        want = sum(n * q for _, n, k, _, q in rows if k == s)
+        assert abs((got.tokens * got.repeats)[got.source == s].sum() - want) <= 900
+
+
+def test_projected_gradient_steps():
+    import numpy as np
+
+    p = np.array([[1.0, 0.0], [0.5, 0.5]])
+    assert np.allclose(mixing._rates(p, np.array([1.0, 1.0]), np.array([[3.0, 0.2], [-0.5, 0.0]])), [0.5, 0.75])
 
 
 def test_no_cap_and_few_documents(spark, tmp_path):
@@ -147,7 +173,7 @@ def test_grades_held_out(spark, tmp_path):
 
     big = "/root/testdata/sf0.01"
     if not os.path.isdir(big):
-        return
+        pytest.skip("no test tables here")
     lab = spark.read.parquet(big + "/level_labels.parquet")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     spark.read.parquet(big + "/documents.parquet").write.parquet(str(tmp_path / "documents.parquet"))
