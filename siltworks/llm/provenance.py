@@ -2,9 +2,11 @@
 
 Declared paths come from repository attribute files (linguist-generated, linguist-vendored), read with
 the precedence of their format: a pattern counts for its own folder, a deeper file beats a higher one, a
-later line an earlier one, and an unset attribute takes a mark back. Projects without such a file get
-equivalent patterns: folder names and file endings that are marked in general use, and such as are mined
-from the files that the declarations and the texts mark. Texts are judged by their comments and by their
+later line an earlier one. What a project's files say goes before all else: an attribute that is unset
+there takes back that mark, whether a path, a text or a mined pattern gave it. Below that lie the patterns
+of DEFAULT_ATTRIBUTES, in the same format and through the same globs, and, for projects without attribute
+files, patterns mined from this data: folder names and compound endings under which nearly all files of
+several projects are marked. Texts are judged by their comments and by their
 make-up: in the opening comment any wording of a mark counts, in comments further down only one that
 speaks of the file, since there most comments speak of the next line. Everything is built-in column
 expressions over the scan; only verdicts are shuffled.
@@ -16,19 +18,73 @@ rows are harmless, since a file is a case if any of its texts is.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.paths import canonical_path
-from siltworks.session import spread, stored
+from siltworks.session import discard, spread, stored
 from siltworks.sources.tables import records, table
 
-#: Folders and endings that hold third-party or generated files wherever they occur.
-VENDORED_DIRS = "thirdparty third_party third-party 3rdparty vendor vendored vendors node_modules bower_components external externals extern jspm_packages site-packages Pods".split()
-GENERATED_DIRS = "build dist generated __generated__ gen .godot .import .mono exported out bin obj target".split()
-GENERATED_NAME = r"(?i)(?:\.min\.(?:js|css|gd|json)|\.(?:gen|generated|g|pb|designer|bundle|chunk)\.[a-z]+|_(?:pb|pb2|gen|generated|autogen)(?:_\d+)?\.[a-z]+)$"
+#: The patterns of general use, as an attribute file at the root of every project.
+DEFAULT_ATTRIBUTES = """
+**/thirdparty/** linguist-vendored
+**/third_party/** linguist-vendored
+**/third-party/** linguist-vendored
+**/3rdparty/** linguist-vendored
+**/vendor/** linguist-vendored
+**/vendored/** linguist-vendored
+**/vendors/** linguist-vendored
+**/node_modules/** linguist-vendored
+**/bower_components/** linguist-vendored
+**/external/** linguist-vendored
+**/externals/** linguist-vendored
+**/extern/** linguist-vendored
+**/jspm_packages/** linguist-vendored
+**/site-packages/** linguist-vendored
+**/Pods/** linguist-vendored
+**/build/** linguist-generated
+**/dist/** linguist-generated
+**/generated/** linguist-generated
+**/__generated__/** linguist-generated
+**/gen/** linguist-generated
+**/.godot/** linguist-generated
+**/.import/** linguist-generated
+**/.mono/** linguist-generated
+**/exported/** linguist-generated
+**/out/** linguist-generated
+**/bin/** linguist-generated
+**/obj/** linguist-generated
+**/target/** linguist-generated
+*.min.js linguist-generated
+*.min.css linguist-generated
+*.min.gd linguist-generated
+*.min.json linguist-generated
+*.gen.* linguist-generated
+*.generated.* linguist-generated
+*.g.* linguist-generated
+*.pb.* linguist-generated
+*.designer.* linguist-generated
+*.bundle.* linguist-generated
+*.chunk.* linguist-generated
+*_pb.* linguist-generated
+*_pb2.* linguist-generated
+*_gen.* linguist-generated
+*_generated.* linguist-generated
+*_autogen.* linguist-generated
+*_pb_[0-9]*.* linguist-generated
+*_pb2_[0-9]*.* linguist-generated
+*_gen_[0-9]*.* linguist-generated
+*_generated_[0-9]*.* linguist-generated
+*_autogen_[0-9]*.* linguist-generated
+"""
+#: Files of a project whose paths are matched in one task; attribute files up to which their list is broadcast.
+BLOCK_FILES, BROADCAST_FILES = 50_000, 100_000
 #: A mined pattern needs so many marked files, in so many projects, and this share of all its files.
-MINED_FILES, MINED_PROJECTS, MINED_SHARE = 20, 3, 0.9
+MINED_FILES, MINED_PROJECTS, MINED_SHARE = 5, 3, 0.9
 #: From this length on a line with so few blanks is not written by hand; share of the text it must make up.
 DENSE_LINE, DENSE_BLANKS, DENSE_SHARE = 300, 0.12, 0.5
 #: A table saved as code: rows at least, and share of the lines.
@@ -83,15 +139,14 @@ def _dirs(path: Column) -> Column:
 
 
 def path_mark(path: Column, own_addons: Column) -> Column:
-    """generated, vendored or null by the path."""
-    d = _dirs(F.substring_index(path, "#", 1))
-    inside = F.slice(d, 2, F.greatest(F.size(d) - 1, F.lit(0)))  # the first folder is the project's
-    low = lambda xs: F.array(*[F.lit(x.lower()) for x in xs])
+    """generated, vendored or null by the default patterns; the first folder is the project's."""
+    p = F.lower(F.regexp_replace(F.substring_index(path, "#", 1), r"\\+", "/"))
+    inside = F.regexp_replace(p, "^[^/]*/", "")
+    union = lambda mark: "|".join(r.lower() for _, r, m, _ in attribute_rules(DEFAULT_ATTRIBUTES, "") if m == mark)
     return (
-        F.when(F.arrays_overlap(inside, low(VENDORED_DIRS)), "vendored")
-        .when(F.array_contains(inside, "addons") & ~F.coalesce(own_addons, F.lit(False)), "vendored")
-        .when(F.arrays_overlap(inside, low(GENERATED_DIRS)), "generated")
-        .when(F.substring_index(path, "#", 1).rlike(GENERATED_NAME), "generated")
+        F.when(inside.rlike(union("vendored")), "vendored")
+        .when(inside.rlike("(?:^|/)addons/") & ~F.coalesce(own_addons, F.lit(False)), "vendored")
+        .when(inside.rlike(union("generated")), "generated")
     )
 
 
@@ -164,35 +219,54 @@ def glob_regex(glob: str, folder: str) -> str:
     return "^" + lead + out + "$"
 
 
-def _rules(pdf):
-    """(project, depth, line, regex, mark, on) of every marking line of attribute files."""
-    import pandas as pd
+def attribute_rules(text: str, folder: str) -> Iterator[tuple[int, str, str, bool]]:
+    """(line, regex, mark, on) of every marking line of an attribute file in `folder`."""
+    for n, line in enumerate(text.splitlines()):
+        parts = line.split()
+        if len(parts) < 2 or parts[0].startswith("#"):
+            continue
+        for a in parts[1:]:
+            name, _, value = a.lstrip("-!").partition("=")
+            if name in ("linguist-generated", "linguist-vendored"):
+                yield n, glob_regex(parts[0], folder), name[9:], not (a[0] in "-!" or value.lower() in ("false", "0"))
+
+
+def _rules(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = [
+        (project, len([x for x in folder.split("/") if x]), *rule)
+        for project, folder, text in zip(pdf["project"], pdf["folder"], pdf["text"])
+        for rule in attribute_rules(text or "", folder)
+    ]
+    return pd.DataFrame(rows, columns=["project", "depth", "line", "regex", "mark", "on"])
 
+
+def _declare(files: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
+    """record_id, mark, unset of a block of files: per attribute the deepest file's last matching line decides."""
+    order = [(re.compile(r), m, on) for r, m, on in rules.sort_values(["depth", "line"], ascending=False)[["regex", "mark", "on"]].itertuples(index=False)]
     rows = []
-    for project, folder, text in zip(pdf["project"], pdf["folder"], pdf["text"]):
-        depth = len([x for x in folder.split("/") if x])
-        for n, line in enumerate((text or "").splitlines()):
-            parts = line.split()
-            if len(parts) < 2 or parts[0].startswith("#"):
-                continue
-            for a in parts[1:]:
-                name = a.lstrip("-!").partition("=")[0]
-                if name in ("linguist-generated", "linguist-vendored"):
-                    on = not (a[0] in "-!" or a.partition("=")[2].lower() in ("false", "0"))
-                    rows.append((project, depth, n, glob_regex(parts[0], folder), name[9:], on))
-    return pd.DataFrame(rows, columns=["project", "depth", "line", "regex", "mark", "on"])
+    for k, path in zip(files["record_id"], files["path"]):
+        said: dict[str, bool] = {}
+        for r, m, on in order:
+            if m not in said and r.search(path):
+                said[m] = on
+        if said:
+            rows.append((k, min((m for m, on in said.items() if on), default=None), [m for m, on in sorted(said.items()) if not on]))
+    return pd.DataFrame(rows, columns=["record_id", "mark", "unset"])
 
 
 def declared(files: DataFrame) -> DataFrame:
-    """files(record_id, project, path, text): (record_id, mark) of files that their project's attribute
-    files mark; per mark the deepest file's last matching line decides."""
+    """files(record_id, project, path, text): (record_id, mark, unset) of files of which their project's
+    attribute files say something: the mark that is set, if any, and those that are taken back. A project is
+    matched in blocks of its files, the patterns being sent to each."""
     attr = files.where(F.col("path").rlike(r"(?:^|/)\.gitattributes$") & F.col("text").isNotNull()).select(
         "project", F.regexp_replace("path", r"/?\.gitattributes$", "").alias("folder"), "text"
     )
     rules = attr.mapInPandas(lambda it: map(_rules, it), "project string, depth int, line int, regex string, mark string, on boolean")
-    hit = files.select("record_id", "project", "path").join(rules, "project").where(F.expr("path rlike regex"))
-    last = hit.groupBy("record_id", "mark").agg(F.max_by("on", F.struct("depth", "line")).alias("on"))
-    return last.where("on").groupBy("record_id").agg(F.min("mark").alias("mark"))
+    f = files.where("project is not null and path is not null").select("record_id", "project", "path")
+    blocks = f.groupBy("project").agg(F.ceil(F.count("*") / BLOCK_FILES).alias("blocks")).join(rules.select("project").distinct(), "project")
+    f = f.join(blocks, "project").select("project", F.pmod(F.xxhash64("record_id"), F.col("blocks")).alias("block"), "record_id", "path")
+    r = rules.join(blocks, "project").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return f.groupBy("project", "block").cogroup(r.groupBy("project", "block")).applyInPandas(_declare, "record_id string, mark string, unset array<string>")
 
 
 # ---------------------------------------------------------------- the operator
@@ -204,35 +278,55 @@ def _base(spark: SparkSession, d: str) -> DataFrame:
     return r.join(F.broadcast(s), "source_id", "left").withColumn("project", canonical_path(F.col("project_root")))  # sources is a fixed list
 
 
+def _said(spark: SparkSession, d: str, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record_id, by_declaration, unset) and the projects that have attribute files. Only those files' texts
+    are looked up; where there are none, nothing is read."""
+    attr = stored(base.where(F.col("original_path").rlike(r"(?:^|/)\.gitattributes$")).select("record_id", "project", F.col("original_path").alias("path"), "staged_path"), "attributes")
+    n = attr.count()
+    if not n:
+        return spark.createDataFrame([], "record_id string, by_declaration string, unset array<string>"), spark.createDataFrame([], "project string")
+    at = attr.select("staged_path").distinct()
+    at = F.broadcast(at) if n <= BROADCAST_FILES else at
+    texts = table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null and text is not null").join(at, "staged_path", "left_semi")
+    texts = attr.join(texts.groupBy("staged_path").agg(F.min("text").alias("text")), "staged_path").select("record_id", "text")
+    files = base.select("record_id", "project", F.col("original_path").alias("path")).join(texts, "record_id", "left")
+    # original_path begins with the project's folder; an attribute file's patterns count from there.
+    files = files.withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
+    return declared(files).withColumnRenamed("mark", "by_declaration"), attr.select("project").where("project is not null").distinct()
+
+
 def marks(spark: SparkSession, d: str) -> DataFrame:
-    """record_id, project, path, by_declaration, by_path, by_text, by_mining and mark, the first of them."""
+    """record_id, project, path, by_declaration, unset, by_path, by_text, by_mining and mark, the first of
+    them that is not taken back."""
     base = stored(_base(spark, d), "files")
     t = table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null")
     judged = spread(t).select("staged_path", text_mark(F.col("text")).alias("by_text")).where("by_text is not null").groupBy("staged_path").agg(F.min("by_text").alias("by_text"))
-    attr = base.where(F.col("original_path").rlike(r"(?:^|/)\.gitattributes$"))
-    texts = t.join(attr.select("staged_path"), "staged_path", "left_semi")
-    files = base.select("record_id", "project", F.col("original_path").alias("path"), "staged_path").join(texts, "staged_path", "left").drop("staged_path")
-    own = declared(files).withColumnRenamed("mark", "by_declaration")
+    own, projects = _said(spark, d, base)
     x = (
         base.withColumn("by_path", path_mark(F.col("original_path"), F.col("allow_addons")))
         .join(judged, "staged_path", "left")
         .join(own, "record_id", "left")
+        .join(projects.withColumn("declares", F.lit(True)), "project", "left")
     )
     x = stored(x, "marked")
+    discard(base)
     m = mined(x)
     parts = F.explode_outer(patterns(F.col("original_path")))
-    by = x.select("record_id", parts.alias("pattern")).join(m.select("pattern", F.col("mark").alias("by_mining")), "pattern").groupBy("record_id").agg(F.min("by_mining").alias("by_mining"))
+    bare = x.where("declares is null").select("record_id", parts.alias("pattern"))  # projects that declare nothing
+    by = bare.join(m.select("pattern", F.col("mark").alias("by_mining")), "pattern").groupBy("record_id").agg(F.min("by_mining").alias("by_mining"))
     out = x.join(by, "record_id", "left")
+    gone = lambda c: F.when(~F.coalesce(F.array_contains("unset", F.col(c)), F.lit(False)), F.col(c))
     return out.select(
         "record_id",
         "source_id",
         "project",
         F.col("original_path").alias("path"),
         "by_declaration",
+        "unset",
         "by_path",
         "by_text",
         "by_mining",
-        F.coalesce("by_declaration", "by_path", "by_text", "by_mining").alias("mark"),
+        F.coalesce("by_declaration", gone("by_path"), gone("by_text"), gone("by_mining")).alias("mark"),
     )
 
 
@@ -246,9 +340,9 @@ def patterns(path: Column) -> Column:
 
 
 def mined(x: DataFrame) -> DataFrame:
-    """Patterns under which nearly all files are marked by declaration or text, in several projects.
-    addons is left out: whose code it holds is the source's matter."""
-    k = F.coalesce("by_declaration", "by_text")
+    """Patterns under which nearly all files are marked, in several projects. addons is left out: whose code
+    it holds is the source's matter."""
+    k = F.coalesce("by_declaration", "by_text", "by_path")
     e = x.select(F.explode(patterns(F.col("original_path"))).alias("pattern"), "project", k.alias("k")).where("pattern != 'dir:addons'")
     per = e.groupBy("pattern", "project").agg(F.count("*").alias("n"), F.count("k").alias("m"), F.min("k").alias("k"))
     g = per.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count_if(F.col("m") > 0).alias("projects"), F.min("k").alias("mark"))
@@ -277,5 +371,14 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     return g.join(old, "project", "left")
 
 
-QUERIES = {"p5_found": found, "p5_handwritten": handwritten, "p5_report": report}
+def origins(spark: SparkSession, d: str) -> DataFrame:
+    """Per origin of a mark (declaration, path, text, mining): records that have it, those that have it from
+    nowhere else, and the records whose mark it gave."""
+    by = ("by_declaration", "by_path", "by_text", "by_mining")
+    has = F.filter(F.array(*[F.when(F.col(c).isNotNull(), c[3:]) for c in by]), lambda c: c.isNotNull())
+    x = marks(spark, d).where("mark is not null").select(has.alias("has")).select("has", F.explode("has").alias("origin"))
+    return x.groupBy("origin").agg(F.count("*").alias("records"), F.count_if(F.size("has") == 1).alias("alone"), F.count_if(F.col("origin") == F.col("has")[0]).alias("first"))
+
+
+QUERIES = {"p5_found": found, "p5_handwritten": handwritten, "p5_report": report, "p5_origins": origins}
 SQL: dict[str, str] = {}

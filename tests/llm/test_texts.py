@@ -186,8 +186,26 @@ def test_attribute_files(spark):
         ("a", "P", ".gitattributes", "*.gd linguist-generated\nsrc/** -linguist-generated\nlib/* linguist-vendored=true\n"), ("b", "P", "lib/.gitattributes", "own.gd -linguist-vendored\n"), ("c", "P", "x.gd", None), ("d", "P", "src/y.gd", None),
         ("e", "P", "lib/z.js", None), ("f", "P", "lib/own.gd", None), ("g", "Q", "x.gd", None), ("h", "P", "lib/deep/z.js", None),
     ]
-    got = {r["record_id"]: r["mark"] for r in provenance.declared(spark.createDataFrame(rows, "record_id string, project string, path string, text string")).collect()}
-    assert got == {"b": "vendored", "c": "generated", "e": "vendored", "f": "generated"}
+    got = {r["record_id"]: (r["mark"], r["unset"]) for r in provenance.declared(spark.createDataFrame(rows, "record_id string, project string, path string, text string")).collect()}
+    assert got == {"b": ("vendored", []), "c": ("generated", []), "d": (None, ["generated"]), "e": ("vendored", []), "f": ("generated", ["vendored"])}
+
+
+def test_marks_by_origin(spark, tmp_path):
+    """An unset attribute takes back what path and text say; mined patterns reach projects that declare nothing."""
+    made = "# Code generated by protogd. DO NOT EDIT.\nvar a = 1\n"
+    files = [("p0/.gitattributes", "gen/** -linguist-generated\nown/** linguist-vendored\n"), ("p0/gen/a.gd", "extends Node\n"), ("p0/gen/b.gd", made), ("p0/own/c.gd", "extends Node\n"), ("p0/tweenkit/d.gd", "extends Node\n")]
+    for i in range(1, 5):
+        files += [(f"p{i}/lib/tweenkit/{j}.gd", made) for j in range(5)]
+    files += [("p5/src/tweenkit/x.gd", "extends Node\n"), ("p5/src/y.gd", "extends Node\n")]
+    rows = [(f"r{i}", "s", p, "staged/" + p, p.split("/")[0], "project_gd") for i, (p, _) in enumerate(files)]
+    spark.createDataFrame(rows, "record_id string, source_id string, original_path string, staged_path string, project_root string, kind string").write.parquet(str(tmp_path / "records.parquet"))
+    spark.createDataFrame([("staged/" + p, t) for p, t in files], "staged_path string, text string").write.parquet(str(tmp_path / "staged_files.parquet"))
+    spark.createDataFrame([("s", False)], "id string, allow_addons boolean").write.parquet(str(tmp_path / "sources.parquet"))
+    m = {r["path"]: (r["mark"], r["by_mining"]) for r in provenance.marks(spark, str(tmp_path)).collect()}
+    assert m["p0/gen/a.gd"][0] is None and m["p0/gen/b.gd"][0] is None and m["p0/own/c.gd"][0] == "vendored"
+    assert m["p0/tweenkit/d.gd"] == (None, None) and m["p5/src/tweenkit/x.gd"] == ("generated", "generated") and m["p5/src/y.gd"][0] is None
+    o = {r["origin"]: r["records"] for r in provenance.origins(spark, str(tmp_path)).collect()}
+    assert o["declaration"] == 1 and o["text"] == 20
 
 
 @pytest.mark.parametrize(
