@@ -15,7 +15,7 @@ same normalised text are one class before anything is joined, and pairs are expa
 because the query asks for record pairs.
 
 Defined cases: null, empty and blank texts are no text; records without a known split are in none;
-texts that have no unit (only very short lines) are compared by their whole normalised text.
+texts that have no unit (nothing but comments) are compared by their whole normalised text.
 """
 
 from __future__ import annotations
@@ -26,15 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.session import spread, stored
+from siltworks.session import discard, spread, stored
 from siltworks.sources.tables import records, split_name, table
 
 #: Share of the larger text's distinct units that both must have.
 SHARE = 0.5
 #: Coverage of the evaluation text's characters by passages found in the training text: names dropped, names kept.
 COVERED, COVERED_EXACT = 0.5, 0.25
-#: Shortest unit, and shortest in JSON.
-UNIT, UNIT_JSON = 8, 4
+#: Characters beyond which a line is cut, at places that its content gives.
+LONG = 160
 #: Evaluation characters for which one automaton is built, and training characters scanned with it in one
 #: task; where more are routed to a shard, its automaton is built once per block of them.
 SHARD_CHARS, BLOCK_CHARS = 4_000_000, 32_000_000
@@ -42,33 +42,47 @@ SHARD_CHARS, BLOCK_CHARS = 4_000_000, 32_000_000
 _QUOTED = r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
 _COMMENT = r"(?m)" + _QUOTED + r"|(?:^|(?<=\s))(?:#|//|;)[^\n]*+"
 _NAME = _QUOTED + r"""|(?<![.\w$"])[A-Za-z_]\w*+(?!\()"""
+_JSON = r"^\s*(?:\{|\[\s*(?:[\"\d\-{\[\]]|true\b|false\b|null\b))"  # and not the [section] of a configuration
 _CODE = r"(?m)^[ \t]*(?:func|var|const|let|function|extends|static|class_name|class|signal)\b"
 
 
 def plain(text: Column) -> Column:
     """Comments gone, line ends as LF, no other white space; JSON on one line."""
-    t = F.regexp_replace(F.regexp_replace(text, "﻿", ""), "\r\n?", "\n")
-    json = F.ltrim(F.regexp_replace(t, r"^\s+", "")).rlike(r"^[\[{]")
-    t = F.regexp_replace(t, _COMMENT, "$1")
-    return F.when(json, F.regexp_replace(t, r"\s+", "")).otherwise(F.regexp_replace(t, r"[^\S\n]+", ""))
+    return _plain(_bare(text))
 
 
 def nameless(text: Column) -> Column:
     """plain(), in code also without the names that are not called or reached by a dot."""
-    t = F.regexp_replace(F.regexp_replace(text, "﻿", ""), "\r\n?", "\n")
-    t = F.regexp_replace(t, _COMMENT, "$1")
-    return F.when(text.rlike(_CODE), F.regexp_replace(F.regexp_replace(t, _NAME, "$1"), r"[^\S\n]+", "")).otherwise(plain(text))
+    return _nameless(_bare(text), text.rlike(_CODE))
+
+
+def _bare(text: Column) -> Column:
+    """Comments gone, line ends as LF."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "﻿", ""), "\r\n?", "\n"), _COMMENT, "$1")
+
+
+def _plain(bare: Column) -> Column:
+    return F.when(bare.rlike(_JSON), F.regexp_replace(bare, r"\s+", "")).otherwise(F.regexp_replace(bare, r"[^\S\n]+", ""))
+
+
+def _nameless(bare: Column, code: Column) -> Column:
+    return F.when(code, F.regexp_replace(F.regexp_replace(bare, _NAME, "$1"), r"[^\S\n]+", "")).otherwise(_plain(bare))
 
 
 def units(norm: Column) -> Column:
-    """The units of a normalised text, in order."""
-    json = norm.rlike(r"^[\[{]")
+    """The units of a normalised text, in order: its lines, a line of more than LONG characters in pieces;
+    JSON in pieces. None is too short to be one."""
+    json = norm.rlike(_JSON)
     lines = F.flatten(
-        F.transform(F.split(norm, "\n"), lambda x: F.when(F.length(x) > 160, F.split(x, r"(?<=[;{}7Kz])")).otherwise(F.array(x)))
-    )
-    return F.when(json, F.filter(F.split(norm, r"(?<=[,{}\[\]])"), lambda x: F.length(x) >= UNIT_JSON)).otherwise(
-        F.filter(lines, lambda x: F.length(x) >= UNIT)
+        F.transform(F.split(norm, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[;{}7Kz])")).otherwise(F.array(x)))
     )
+    return F.filter(F.when(json, F.split(norm, r"(?<=[,{}\[\]])")).otherwise(lines), lambda x: x != "")
+
+
+def normalised(t: DataFrame, *keep: str) -> DataFrame:
+    """t(text, ...) -> keep, p (plain) and q (nameless); comments are taken out once for both."""
+    b = t.select(*keep, _bare(F.col("text")).alias("b"), F.col("text").rlike(_CODE).alias("code"))
+    return b.select(*keep, _plain(F.col("b")).alias("p"), _nameless(F.col("b"), F.col("code")).alias("q"))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -82,19 +96,19 @@ def members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = records(spark, d, "staged_path", "split", "source_id").select("record_id", "staged_path", "source_id", split_name("split").alias("split"))
     r = r.where("split is not null and staged_path is not null")
     # Hashes are taken where the text is read: no text is shuffled.
-    p = _texts(spark, d).select("staged_path", "text", plain(F.col("text")).alias("p")).select(
-        "staged_path",
-        F.md5("p").alias("text_id"),
-        F.array_sort(F.array_distinct(F.transform(units(nameless(F.col("text"))), lambda x: F.xxhash64(x)))).alias("h"),
+    p = normalised(_texts(spark, d), "staged_path").select(
+        "staged_path", F.md5("p").alias("text_id"), F.array_sort(F.array_distinct(F.transform(units(F.col("q")), lambda x: F.xxhash64(x)))).alias("h")
     )
     one = p.groupBy("staged_path").agg(F.min(F.struct("text_id", "h")).alias("b"))
     m = stored(r.join(one, "staged_path").select("record_id", "staged_path", "source_id", "split", "b.text_id", "b.h"), "members")
     # Classes get a short number: it is what every posting carries. It is fixed once the table is written.
     classes = m.groupBy("text_id").agg(
-        F.first("h").alias("h"), F.max(F.col("split") != "train").alias("ev"), F.max(F.col("split") == "train").alias("tr"), F.min("staged_path").alias("at")
+        F.min("h").alias("h"), F.max(F.col("split") != "train").alias("ev"), F.max(F.col("split") == "train").alias("tr"), F.min("staged_path").alias("at")
     )
     classes = stored(classes.withColumns({"n": F.size("h"), "cls": F.monotonically_increasing_id()}), "classes")
-    return stored(m.drop("h").join(classes.select("text_id", "cls"), "text_id"), "membership"), classes
+    out = stored(m.drop("h").join(classes.select("text_id", "cls"), "text_id"), "membership")
+    discard(m)
+    return out, classes
 
 
 def routed(classes: DataFrame) -> DataFrame:
@@ -105,13 +119,18 @@ def routed(classes: DataFrame) -> DataFrame:
     shared = post.join(df.select("u", "df"), "u").groupBy("cls", "n", "ev", "tr").agg(F.sort_array(F.collect_list(F.struct("df", "u"))).alias("s"))
     keep = F.size("s") - F.ceil(F.col("n") * SHARE).cast("int") + 1
     pre = stored(
-        shared.withColumn("_k", keep).where("_k > 0").select("cls", "n", "ev", "tr", F.explode(F.slice("s", 1, F.col("_k"))).alias("x")).select("cls", "n", "ev", "tr", "x.u"),
+        shared.withColumns({"_k": keep, "m": F.size("s")}).where("_k > 0").select("cls", "n", "m", "ev", "tr", F.posexplode(F.slice("s", 1, F.col("_k"))).alias("at", "x")).select("cls", "n", "m", "at", "ev", "tr", "x.u"),
         "prefix",
     )
-    e = pre.where("ev").select("u", F.col("cls").alias("e"), F.col("n").alias("ne"))
-    t = pre.where("tr").select("u", F.col("cls").alias("t"), F.col("n").alias("nt"))
+    e = pre.where("ev").select("u", F.col("cls").alias("e"), F.col("n").alias("ne"), (F.col("m") - F.col("at")).alias("me"))
+    t = pre.where("tr").select("u", F.col("cls").alias("t"), F.col("n").alias("nt"), (F.col("m") - F.col("at")).alias("mt"))
     near = (F.col("e") != F.col("t")) & (F.col("ne") >= F.col("nt") * SHARE) & (F.col("nt") >= F.col("ne") * SHARE)
-    return e.join(t, "u").where(near).select("e", "t").distinct()
+    # At the first unit that two texts have in common, both must still have enough units from there on; so a
+    # common unit late in both prefixes, as a unit of nearly all texts is, makes no pair by itself.
+    enough = F.least("me", "mt") >= F.greatest("ne", "nt") * SHARE
+    out = stored(e.join(t, "u").where(near & enough).select("e", "t").distinct(), "pairs")
+    discard(pre)
+    return out
 
 
 def _merged(spans: list[tuple[int, int]]) -> int:
@@ -174,23 +193,19 @@ def _covered(key, ev: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
 
 def class_pairs(spark: SparkSession, d: str, classes: DataFrame) -> DataFrame:
     """(e, t, covered, exact): pairs of different classes that are near-same."""
-    pairs = stored(routed(classes), "pairs")
+    pairs = routed(classes)
     need = pairs.select(F.col("e").alias("cls")).union(pairs.select("t")).distinct()
-    at = classes.select("cls", "at").join(need, "cls")
-    # Only texts that are in some pair are normalised again and sent on.
-    texts = stored(
-        _texts(spark, d)
-        .join(at, F.col("staged_path") == F.col("at"))
-        .groupBy("cls")
-        .agg(F.min("text").alias("text"))
-        .select("cls", units(nameless(F.col("text"))).alias("u"), units(plain(F.col("text"))).alias("x")),
-        "texts",
-    )
+    at = classes.select("cls", "at", "text_id").join(need, "cls")
+    # Only texts that are in some pair are normalised again and sent on; of several texts of one path, that
+    # which the class was made of.
+    again = normalised(_texts(spark, d).join(at, F.col("staged_path") == F.col("at")), "cls", "text_id").where(F.md5("p") == F.col("text_id"))
+    texts = stored(again.groupBy("cls").agg(F.min(F.struct("q", "p")).alias("b")).select("cls", units(F.col("b.q")).alias("u"), units(F.col("b.p")).alias("x")), "texts")
     sizes = texts.select("cls", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("size"))
     chars = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, int(chars // SHARD_CHARS) + 1)
     shard = F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int")
-    # Shards and blocks are settled over ids and sizes; texts are sent on once, to where they are scanned.
+    # Shards and blocks are settled over ids and sizes; texts are sent on once, to where they are scanned. The
+    # set of a training text holds at most the evaluation texts of one shard, of SHARD_CHARS together.
     wanted = pairs.withColumn("shard", shard).groupBy("shard", "t").agg(F.collect_set("e").alias("es")).join(sizes, F.col("t") == F.col("cls")).drop("cls")
     blocks = wanted.groupBy("shard").agg(F.ceil(F.sum("size") / BLOCK_CHARS).alias("blocks"))
     wanted = wanted.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("t", F.lit(1)), F.col("blocks")).alias("block"), "t", "es")

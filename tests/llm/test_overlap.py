@@ -73,3 +73,15 @@ def test_prefix_filter_loses_no_pair(spark):
         for b, hb, _, tb, *_ in rows:
             if ea and tb and a != b and len(set(ha) & set(hb)) >= overlap.SHARE * max(len(ha), len(hb)):
                 assert (a, b) in got
+
+
+def test_short_lines_and_two_texts_of_a_path(spark, tmp_path):
+    """Texts of lines under eight characters, lightly edited; a path delivered with two texts has one of them, for all steps."""
+    lines = [f"v{i}={i}" for i in range(40)]
+    items = [("train", "\n".join(lines)), ("val", "\n".join(lines[:18] + ["zz=1"] + lines[19:])), ("train", "\n".join(f"k{i}={i}" for i in range(40)))]
+    d = tables(spark, tmp_path, items)
+    spark.createDataFrame([("s/2.gd", "\n".join(lines))], "staged_path string, text string").write.mode("append").parquet(str(tmp_path / "staged_files.parquet"))
+    got = {(r[0], r[1]) for r in overlap.found(spark, d).collect()}
+    assert ("r000", "r001") in got
+    cls = {r["record_id"]: r["class_id"] for r in overlap.classes_of(spark, d).collect()}
+    assert (("r001", "r002") in got) == (cls["r002"] == cls["r000"])
