@@ -2,9 +2,10 @@
 
 What a record says about its terms comes from four places: its license, its attribution, the comment at
 the very top or end of its text, and its project's license file. Each statement is matched against
-templates of licence wordings: an inverted index over the templates' rarest token shingles proposes
-candidates, a token alignment confirms them, gives the share of the template that is there and what was
-left out or put in. Wordings of one licence are one name, "or later" included; choices name each choice.
+templates of licence wordings, names and whole grants, conditions and standard notices: an inverted index
+over the templates' rarest token shingles proposes candidates. A name must then stand there word by word; a
+text is aligned token by token, which gives the share of it that is there and what was left out or put in,
+clause by clause. Wordings of one licence are one name, "or later" included; choices name each choice.
 
 Defined cases: null, empty and filler statements name nothing; a license file in a folder of its own or
 one that speaks of assets only does not count; of several audits of a project the latest with a value
@@ -15,7 +16,9 @@ permission; a record without text has no comment.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,46 +27,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.paths import canonical_path
+from siltworks.llm.licence_texts import DISCLAIMERS, NAMES, PRIVATE, TEXTS
 from siltworks.session import spread
 from siltworks.sources.tables import records, table
 
-#: Share of a template's tokens that must be found in order.
-COVERAGE = 0.85
-#: Tokens of a template's index shingle.
-SHINGLE = 2
-PRIVATE = "Private"
-
-#: Wordings by licence.
-TEMPLATES: dict[str, list[str]] = {
-    "MIT": [
-        "MIT License", "The MIT License (MIT)", "MIT/Expat licence", "Expat License", "license MIT", "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "Apache-2.0": ["Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache Software License 2.0", "ASL 2.0", "Apache 2"],
-    "BSD-2-Clause": ["BSD-2-Clause", "BSD 2-Clause License", "Simplified BSD License", "two-clause BSD license", "FreeBSD License"],
-    "BSD-3-Clause": [
-        "BSD-3-Clause", "BSD 3-Clause License", "New BSD License", "Modified BSD License", "Revised BSD License", "three-clause BSD license",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
-    ],
-    "MPL-2.0": ["MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2"],
-    "GPL-3.0": ["GPL-3.0", "GPL v3", "GNU GPL version 3", "GNU General Public License v3", "GNU General Public License 3.0", "GPL version 3", "GPL 3"],
-    "GPL-2.0": ["GPL-2.0", "GPL v2", "GNU GPL version 2", "GNU General Public License v2", "GPL version 2", "GPL 2"],
-    "LGPL-3.0": ["LGPL-3.0", "LGPL v3", "GNU Lesser General Public License v3", "GNU LGPL version 3"],
-    "LGPL-2.1": ["LGPL-2.1", "LGPL v2.1", "GNU Lesser General Public License v2.1", "GNU LGPL version 2.1"],
-    "AGPL-3.0": ["AGPL-3.0", "AGPL v3", "GNU Affero General Public License v3", "GNU AGPL version 3"],
-    "CC-BY-3.0": ["CC-BY-3.0", "Creative Commons Attribution 3.0", "CC-BY 3.0 Unported", "Attribution 3.0 Unported"],
-    "CC-BY-4.0": ["CC-BY-4.0", "Creative Commons Attribution 4.0", "Attribution 4.0 International"],
-    "CC-BY-SA-3.0": ["CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike 3.0"],
-    "CC-BY-SA-4.0": ["CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0"],
-    "CC-BY-NC-4.0": ["CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0"],
-    "CC0-1.0": ["CC0-1.0", "CC0 1.0 Universal", "CC0"],
-    "Unlicense": ["The Unlicense", "This is free and unencumbered software released into the public domain"],
-    "ISC": ["ISC License", "license ISC"],
-    "Zlib": ["zlib License", "license Zlib"],
-    "BSL-1.0": ["BSL-1.0", "Boost Software License 1.0"],
-    "OFL-1.1": ["OFL-1.1", "SIL Open Font License 1.1"],
-    PRIVATE: ["LicenseRef-User-Owned-Private", "All rights reserved", "proprietary", "internal use only", "not for redistribution"],
-}
+#: Share of a text's tokens that must be found in order; tokens from which a run of them counts.
+COVERAGE, RUN = 0.8, 2
+#: Tokens of a name's index shingle, and of a text's, of which there are so many for each clause.
+SHINGLE, TEXT_SHINGLE, PER_CLAUSE = 2, 3, 3
+#: Statements whose outcome a worker keeps, by a hash of 16 bytes.
+KEPT = 100_000
+
 #: Spellings that are one token.
 _SAME = {"licence": "license", "licences": "license", "licensed": "license", "licenses": "license", "version": "v", "two": "2", "three": "3", "gplv": "gpl v", "mplv": "mpl v", "lgplv": "lgpl v", "agplv": "agpl v", "cc": "cc"}
 _DROP = {"the", "a", "an", "under", "of"}
@@ -79,36 +53,43 @@ def words(s: str) -> list[str]:
     return [w for w in out if w not in _DROP]
 
 
+def grams(t: list[str], n: int) -> list[tuple[str, ...]]:
+    return [tuple(t[i : i + n]) for i in range(max(1, len(t) - n + 1))]
+
+
 class Index:
-    """Templates by their rarest shingle."""
+    """Names and texts by their rarest shingles."""
 
     def __init__(self) -> None:
-        self.forms: list[tuple[str, list[str]]] = []
-        for name, forms in TEMPLATES.items():
-            seen = set()
-            for f in forms:
-                t = words(f)
-                if tuple(t) not in seen:
-                    seen.add(tuple(t))
-                    self.forms.append((name, t))
-        count: dict[tuple, int] = {}
-        grams = [[tuple(t[i : i + SHINGLE]) for i in range(max(1, len(t) - SHINGLE + 1))] for _, t in self.forms]
-        for g in grams:
-            for x in set(g):
-                count[x] = count.get(x, 0) + 1
+        self.names = list(dict.fromkeys((k, tuple(words(f))) for k, forms in NAMES.items() for f in forms))
+        self.texts = [(k, [words(c) for c in clauses]) for k, texts in TEXTS.items() for clauses in texts]
+        seen = Counter(g for _, t in self.names for g in set(grams(list(t), SHINGLE)))
         self.by: dict[tuple, list[int]] = {}
-        for k, g in enumerate(grams):
-            # Two rare shingles, so that a change to one of them does not hide the template.
-            for x in sorted(set(g), key=lambda x: (count[x], x))[: 2 if len(g) > 3 else 1]:
-                self.by.setdefault(x, []).append(k)
-
-    def candidates(self, t: list[str]) -> dict[int, list[int]]:
-        """Template -> places in t where one of its shingles stands."""
-        out: dict[int, list[int]] = {}
+        for i, (_, t) in enumerate(self.names):
+            g = set(grams(list(t), SHINGLE))
+            # Two rare shingles, so that a change to one of them does not hide the name.
+            for x in sorted(g, key=lambda x: (seen[x], x))[: 2 if len(g) > 3 else 1]:
+                self.by.setdefault(x, []).append(i)
+        seen = Counter(g for _, clauses in self.texts for g in {g for c in clauses for g in grams(c, TEXT_SHINGLE)})
+        self.of_text: dict[tuple, list[int]] = {}
+        for i, (_, clauses) in enumerate(self.texts):
+            # Some of every clause, so that an altered clause hides no text.
+            for x in {x for c in clauses for x in sorted(set(grams(c, TEXT_SHINGLE)), key=lambda x: (seen[x], x))[:PER_CLAUSE]}:
+                self.of_text.setdefault(x, []).append(i)
+
+    def named_at(self, t: list[str]) -> Iterator[tuple[int, int]]:
+        """(name, place in t where one of its shingles stands)."""
         for i in range(len(t)):
             for n in (1, SHINGLE):
-                for k in self.by.get(tuple(t[i : i + n]), ()) if len(t[i : i + n]) == n else ():
-                    out.setdefault(k, []).append(i)
+                if i + n <= len(t):
+                    yield from ((k, i) for k in self.by.get(tuple(t[i : i + n]), ()))
+
+    def texts_at(self, t: list[str]) -> dict[int, tuple[int, int]]:
+        """Text -> first and last place in t where one of its shingles stands."""
+        out: dict[int, tuple[int, int]] = {}
+        for i, g in enumerate(grams(t, TEXT_SHINGLE)):
+            for k in self.of_text.get(g, ()):
+                out[k] = (out[k][0] if k in out else i, i)
         return out
 
 
@@ -117,53 +98,97 @@ def index() -> Index:
     return Index()
 
 
-def align(template: list[str], t: list[str], at: int) -> tuple[float, int, int, str]:
-    """(coverage, first, past last, alterations) of the template around place `at` of the statement."""
-    n = len(template)
-    if n <= 3:
+Hit = tuple[int, int, str, int, float, str]  # first token, past the last, licence, weight, coverage, alterations
+
+
+def name_hits(t: list[str]) -> Iterator[Hit]:
+    """The names that stand in t word by word."""
+    ix = index()
+    for k, at in ix.named_at(t):
+        name, form = ix.names[k]
+        n = len(form)
         for a in range(max(0, at - n + 1), at + 1):
-            if t[a : a + n] == template:
-                return 1.0, a, a + n, ""
-        return 0.0, at, at, ""
-    lo, hi = max(0, at - n), min(len(t), at + n + 2)
-    sm = difflib.SequenceMatcher(None, template, t[lo:hi], autojunk=False)
-    blocks = [b for b in sm.get_matching_blocks() if b.size]
-    got = sum(b.size for b in blocks)
-    if not got:
-        return 0.0, at, at, ""
-    a, b = blocks[0].b + lo, blocks[-1].b + blocks[-1].size + lo
-    span = b - a
-    altered = [f"-{' '.join(template[i:j])}" for tag, i, j, _, _ in sm.get_opcodes() if tag in ("delete", "replace")]
-    altered += [f"+{' '.join(t[lo + i : lo + j])}" for tag, _, _, i, j in sm.get_opcodes() if tag in ("insert", "replace") and a <= lo + i < b]
-    if n < 8 and (got < n or span > n):
-        return 0.0, at, at, ""  # a short name must stand there as it is
-    return got / n, a, b, "; ".join(altered)
-
-
-@lru_cache(maxsize=100_000)
-def named(statement: str) -> tuple[tuple[str, ...], float, str]:
-    """(licences that a statement names, least coverage, alterations)."""
+            if tuple(t[a : a + n]) == form:
+                yield a, a + n, name, n, 1.0, ""
+
+
+def text_hit(name: str, clauses: list[list[str]], t: list[str], lo: int, hi: int) -> Hit | None:
+    """The text aligned, token by token, with t[lo:hi]: what of it is there, clause by clause, and what of it
+    was left out (-) or put in between (+)."""
+    whole = [w for c in clauses for w in c]
+    n = len(whole)
+    ops = difflib.SequenceMatcher(None, whole, t[lo:hi], autojunk=False).get_opcodes()
+    same = [x for x in ops if x[0] == "equal" and x[2] - x[1] >= min(RUN, n)]
+    got = sum(x[2] - x[1] for x in same)
+    if got < COVERAGE * n:
+        return None
+    a, b = lo + same[0][3], lo + same[-1][4]
+    notes, at = [], 0
+    for i, c in enumerate(clauses, 1):
+        out = [" ".join(whole[max(x[1], at) : min(x[2], at + len(c))]) for x in ops if x[0] in ("delete", "replace") and x[1] < at + len(c) and x[2] > at]
+        put = [" ".join(t[lo + x[3] : lo + x[4]]) for x in ops if x[0] in ("insert", "replace") and at <= x[1] < at + len(c) and a <= lo + x[3] and lo + x[4] <= b]
+        if out or put:
+            notes.append(f"{name} {i}: " + " ".join([f"-[{x}]" for x in out] + [f"+[{x}]" for x in put]))
+        at += len(c)
+    return a, b, name, 2 * got - max(n, b - a), got / n, "; ".join(notes)
+
+
+def _named(statement: str) -> tuple[tuple[str, ...], float, str]:
     t = words(statement)
     ix = index()
-    hits: list[tuple[int, int, str, float, str]] = []
-    for k, places in ix.candidates(t).items():
-        name, form = ix.forms[k]
-        for at in places:
-            c, a, b, alt = align(form, t, at)
-            if c >= COVERAGE:
-                hits.append((a, b, name, c, alt))
-    hits.sort(key=lambda h: (h[0] - h[1], -h[3], h[0]))
-    taken: list[tuple[int, int, str, float, str]] = []
+    hits = list(name_hits(t))
+    for k, (first, last) in ix.texts_at(t).items():
+        name, clauses = ix.texts[k]
+        n = sum(map(len, clauses))
+        if len(t) >= COVERAGE * n:
+            h = text_hit(name, clauses, t, max(0, first - n), min(len(t), last + n + TEXT_SHINGLE))
+            hits += [h] if h else []
+    # Of wordings at one place the one that most of the place speaks for.
+    hits.sort(key=lambda h: (-h[3], h[0], h[2]))
+    taken: list[Hit] = []
     for h in hits:
         if all(h[1] <= x[0] or h[0] >= x[1] for x in taken):
             taken.append(h)
     if any(h[1] - h[0] == 1 and h[2] == "MIT" for h in taken) and not re.search(r"(?<![A-Za-z])MIT(?![A-Za-z])", statement):
         taken = [h for h in taken if not (h[1] - h[0] == 1 and h[2] == "MIT")]
     names = tuple(sorted({h[2] for h in taken}))
-    if len(names) > 1 and PRIVATE in names and not re.search(r"(?i)\bor\b|\bdual\b|/", statement):
+    if len(names) > 1 and PRIVATE in names:
         # "Copyright ... All rights reserved" above a licence's name is a phrase, not a second licence.
-        names = tuple(n for n in names if n != PRIVATE)
-    return names, round(min((h[3] for h in taken), default=0.0), 4), "; ".join(h[4] for h in taken if h[4])
+        if not _choice(t, sorted(taken), statement):
+            names = tuple(n for n in names if n != PRIVATE)
+    notes = [h[5] for h in sorted(taken) if h[5]]
+    if any(h[3] >= 20 for h in taken):  # a text, and not just its name: whether its disclaimer is there as it was
+        notes += _disclaimer(t)
+    return names, round(min((h[4] for h in taken), default=0.0), 4), "; ".join(notes)
+
+
+def _choice(t: list[str], taken: list[Hit], statement: str) -> bool:
+    """Whether a statement leaves a choice among what it names: it says dual, or only an "or" or a slash
+    lies between two of them."""
+    gaps = [t[x[1] : y[0]] for x, y in zip(taken, taken[1:])]
+    either = any(len(g) <= 4 and "or" in g and "later" not in g for g in gaps)
+    return either or "dual" in t or "dually" in t or len(t) < 20 and bool(re.search(r"[A-Za-z0-9]\s?/\s?[A-Za-z]", statement))
+
+
+def _disclaimer(t: list[str]) -> list[str]:
+    """What differs in a disclaimer that is there for the most part."""
+    found = [h for h in (text_hit("disclaimer", [words(c)], t, 0, len(t)) for c in DISCLAIMERS) if h]
+    best = max(found, key=lambda h: h[3], default=None)
+    return [best[5]] if best and best[5] else []
+
+
+_outcomes: dict[bytes, tuple[tuple[str, ...], float, str]] = {}
+
+
+def named(statement: str) -> tuple[tuple[str, ...], float, str]:
+    """(licences that a statement names, least coverage, alterations)."""
+    key = hashlib.md5(statement.encode("utf-8", "replace")).digest()
+    out = _outcomes.get(key)
+    if out is None:
+        if len(_outcomes) >= KEPT:
+            _outcomes.clear()
+        out = _outcomes[key] = _named(statement)
+    return out
 
 
 # ---------------------------------------------------------------- statements
