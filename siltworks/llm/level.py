@@ -3,9 +3,11 @@
 Prose is what is left of a text without code blocks, code lines, logs, headings, inline code and markup.
 Words are ranked by frequency over all prose of their language; a document's coverage rank is the size of
 the smallest vocabulary, taken from the top of that ranking, that covers a fixed share of its words.
-Coverage ranks and sentence complexity are calibrated against the labelled grades by ridge least squares:
-the moments are sums in SQL over all labelled documents, and only their matrix reaches the driver. The
-border of the highest grade is drawn by a logistic classifier over the same terms. Scores are SQL again.
+Coverage ranks and sentence complexity are calibrated against the labelled grades by ridge least squares,
+once against the grade and once against being of the highest grade: the moments are sums in SQL over all
+labelled documents, and only their matrix reaches the driver. Scores are SQL again; the highest grade is
+where the second score passes a half. The most frequent words are ranked on every worker; a document whose
+share isn't covered by those gets its ranks by a join with the whole ranking, so no rank has a ceiling.
 
 Defined cases: null and blank texts, and texts without prose, have no grade; several raters of a document
 count by their mean; grades are cut to 1..4; with fewer than MIN_LABELS labelled documents there is no
@@ -24,20 +26,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.operators.packing import offsets
 from siltworks.session import spread, stored
 from siltworks.sources.tables import table
 
 #: Shares of a document's words that the vocabulary must cover.
 COVER = (0.5, 0.8, 0.9)
-#: Ranked words kept per language; a rarer word has the next rank. Bounds what is sent to the workers.
+#: Ranked words per language that are sent to the workers; ranks beyond are joined.
 VOCABULARY = 50_000
 #: Labelled documents that a calibration needs; weight of the ridge.
 MIN_LABELS, RIDGE = 20, 1.0
-#: Fewest words that are prose.
-MIN_WORDS = 5
-#: Labelled documents that the classifier of the highest grade is fitted on at most, the first in the order
-#: of a hash of their ids; and the probability from which a document is of that grade.
-LABEL_ROWS, TOP = 50_000, 0.5
+#: Fewest words that are prose; score from which a document is of the highest grade.
+MIN_WORDS, TOP = 1, 0.5
 FEATURES = ["wps", "lpw", "cps", "longs", "c50", "c80", "c90"]
 
 _FENCES = (("```", "```"), ("~~~", "~~~"), ("[code", "[/code"), ("<pre", "</pre"), ("<code", "</code"), ("{{{", "}}}"))
@@ -140,50 +140,80 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
     return stored(spread(src).mapInPandas(_count, _COUNTS), "prose")
 
 
-def ranking(counts: DataFrame) -> dict[bool, dict[str, int]]:
-    """The VOCABULARY most frequent words of each language with their ranks."""
-    freq = counts.select("de", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("de", F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("c"))
-    freq = stored(freq, "words")
+def frequencies(counts: DataFrame) -> DataFrame:
+    """de, w, c: how often each word occurs in the prose of a language."""
+    return stored(counts.select("de", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("de", F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("c")), "words")
+
+
+def ranking(freq: DataFrame, most: int) -> dict[bool, dict[str, int]]:
+    """The `most` most frequent words of each language with their ranks."""
     return {
-        de: {r["w"]: i for i, r in enumerate(freq.where(F.col("de") == de).orderBy(F.desc("c"), "w").limit(VOCABULARY).select("w").collect(), 1)}
+        de: {r["w"]: i for i, r in enumerate(freq.where(F.col("de") == de).orderBy(F.desc("c"), "w").limit(most).select("w").collect(), 1)}
         for de in (False, True)
     }
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
+def _covered(ranks: np.ndarray, counts: np.ndarray, n: int) -> list[int]:
+    """The ranks up to which a document's words are covered, for each share of COVER."""
+    o = np.argsort(ranks, kind="stable")
+    upto = np.cumsum(counts[o])
+    return [int(ranks[o[np.searchsorted(upto, math.ceil(q * n))]]) for q in COVER]
+
+
+def _features(pdf: pd.DataFrame, cover: list[list[int]]) -> pd.DataFrame:
+    logs = np.log(np.array(cover, dtype=float).reshape(len(pdf), len(COVER)))
+    return pd.DataFrame(
+        {
+            "doc_id": pdf["doc_id"],
+            "de": pdf["de"].astype(float),
+            "n": pdf["n"],
+            "wps": np.log1p(pdf["n"] / pdf["sentences"]),
+            "lpw": pdf["letters"] / pdf["n"],
+            "cps": np.log1p(pdf["commas"] / pdf["sentences"]),
+            "longs": pdf["longs"] / pdf["n"],
+            **{f"c{round(100 * q)}": logs[:, i] for i, q in enumerate(COVER)},
+        }
+    )
+
+
+_SCHEMA = "doc_id long, de double, n long, wps double, lpw double, cps double, longs double, c50 double, c80 double, c90 double"
+
+
+def features(spark: SparkSession, d: str, vocabulary: int = VOCABULARY) -> DataFrame:
     """doc_id, de, n and FEATURES: words per sentence, letters per word, commas per sentence, share of long
     words, and the logarithms of the coverage ranks."""
     counts = counted(spark, d)
-    ranks = spark.sparkContext.broadcast(ranking(counts))  # at most 2 * VOCABULARY words
+    freq = frequencies(counts)
+    ranks = spark.sparkContext.broadcast(ranking(freq, vocabulary))  # at most 2 * vocabulary words
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table_ = ranks.value
+        known = ranks.value
         for pdf in batches:
-            out = {c: [] for c in ("c50", "c80", "c90")}
+            got, over = [], []
             for de, n, words, cs in zip(pdf["de"], pdf["n"], pdf["words"], pdf["counts"]):
-                rk = table_[bool(de)]
+                rk = known[bool(de)]
                 last = len(rk) + 1
-                r = np.fromiter((rk.get(w, last) for w in words), dtype=np.int64, count=len(words))
-                o = np.argsort(r, kind="stable")
-                upto = np.cumsum(np.asarray(cs)[o])
-                for name, q in zip(out, COVER):
-                    out[name].append(math.log(r[o[np.searchsorted(upto, math.ceil(q * n))]]))
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "de": pdf["de"].astype(float),
-                    "n": pdf["n"],
-                    "wps": np.log1p(pdf["n"] / pdf["sentences"]),
-                    "lpw": pdf["letters"] / pdf["n"],
-                    "cps": np.log1p(pdf["commas"] / pdf["sentences"]),
-                    "longs": pdf["longs"] / pdf["n"],
-                    **out,
-                }
-            )
-
-    f = counts.mapInPandas(cover, "doc_id long, de double, n long, wps double, lpw double, cps double, longs double, c50 double, c80 double, c90 double")
-    least = F.min(F.struct("de", "n", *FEATURES)).alias("b")
-    return stored(f.groupBy("doc_id").agg(least).select("doc_id", "b.*"), "features")
+                got.append(_covered(np.fromiter((rk.get(w, last) for w in words), dtype=np.int64, count=len(words)), np.asarray(cs), n))
+                over.append(got[-1][-1] == last)  # the largest share: not covered by the known words
+            yield _features(pdf, got).assign(over=over)
+
+    least = lambda f: F.min(F.struct("de", "n", *FEATURES, *f)).alias("b")
+    out = stored(counts.mapInPandas(cover, _SCHEMA + ", over boolean").groupBy("doc_id").agg(least(["over"])).select("doc_id", "b.*"), "features")
+    if out.where("over").isEmpty():
+        return out.drop("over")
+
+    def cover_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _features(pdf, [_covered(np.array([x["r"] for x in rs]), np.array([x["c"] for x in rs]), n) for n, rs in zip(pdf["n"], pdf["ranks"])])
+
+    rest = out.where("over").select("doc_id")
+    whole = offsets(freq.withColumns({"less": -F.col("c"), "one": F.lit(1).cast("long")}), "de", ["less", "w"], "one", "before").select("de", "w", (F.col("before") + 1).alias("r"))
+    keys = ["doc_id", "de", "n", "sentences", "letters", "commas", "longs"]
+    x = counts.join(rest, "doc_id").select(*keys, F.xxhash64("words", "counts").alias("text"), F.explode(F.arrays_zip("words", "counts")).alias("x")).select(*keys, "text", F.col("x.words").alias("w"), F.col("x.counts").alias("c"))
+    # As many ranks as a text has distinct words.
+    x = x.join(whole, ["de", "w"]).groupBy(*keys, "text").agg(F.collect_list(F.struct("r", "c")).alias("ranks"))
+    deep = x.drop("text").mapInPandas(cover_joined, _SCHEMA).groupBy("doc_id").agg(least([])).select("doc_id", "b.*")
+    return stored(out.where("not over").drop("over").unionByName(deep), "features")
 
 
 def design() -> list[str]:
@@ -192,15 +222,19 @@ def design() -> list[str]:
     return base + ["de"] + [f"de * {x}" for x in base]
 
 
-def calibrate(f: DataFrame, labels: DataFrame) -> tuple[list[float], list[float], list[float]] | None:
-    """(weights, means, deviations) of the terms; the last weight is the constant. None without labels."""
+Model = tuple[list[float], list[float], list[float]]  # weights, the last being the constant; means; deviations
+
+
+def calibrate(f: DataFrame, labels: DataFrame) -> tuple[Model, Model] | None:
+    """Least squares with a ridge over the terms, of the grade and of being of the highest grade. None without
+    labels."""
     terms = design()
     g = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("y"))
-    z = f.join(g, "doc_id").selectExpr("y", *[f"{t} AS t{i}" for i, t in enumerate(terms)])
+    z = f.join(g, "doc_id").selectExpr("y", "CASE WHEN y >= 3.5 THEN 1D ELSE 0D END AS top", *[f"{t} AS t{i}" for i, t in enumerate(terms)])
     k = len(terms)
     sums = [F.sum(f"t{i}").alias(f"s{i}") for i in range(k)] + [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.sum(F.col(f"t{i}") * F.col("y")).alias(f"y{i}") for i in range(k)]
-    m = z.agg(F.count("*").alias("n"), F.sum("y").alias("y"), *sums).first()
+    sums += [F.sum(F.col(f"t{i}") * F.col(c)).alias(f"{c}{i}") for i in range(k) for c in ("y", "top")]
+    m = z.agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("top").alias("top"), *sums).first()
     n = m["n"]
     if n < MIN_LABELS:
         return None
@@ -210,51 +244,27 @@ def calibrate(f: DataFrame, labels: DataFrame) -> tuple[list[float], list[float]
         for j in range(i, k):
             cov[i, j] = cov[j, i] = m[f"p{i}_{j}"] / n - mean[i] * mean[j]
     dev = np.sqrt(np.maximum(np.diag(cov), 1e-18))
-    my = m["y"] / n
-    cy = np.array([m[f"y{i}"] for i in range(k)]) / n - mean * my
     a = cov / np.outer(dev, dev) + RIDGE / n * np.eye(k)
-    w = np.linalg.solve(a, cy / dev)
-    return [*map(float, w), float(my)], list(map(float, mean)), list(map(float, dev))
 
+    def fit(c: str) -> Model:
+        mc = m[c] / n
+        w = np.linalg.solve(a, (np.array([m[f"{c}{i}"] for i in range(k)]) / n - mean * mc) / dev)
+        return [*map(float, w), float(mc)], list(map(float, mean)), list(map(float, dev))
 
-def top_grade(f: DataFrame, labels: DataFrame) -> tuple[list[float], list[float], list[float]] | None:
-    """(weights, means, deviations) of a logistic classifier of the highest grade over the same terms,
-    fitted on at most LABEL_ROWS labelled documents by Newton's method with a ridge."""
-    g = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.avg("grade").alias("y"))
-    z = f.join(g, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS).select("y", "de", *FEATURES).toPandas()
-    y = (z["y"].to_numpy() >= 3.5).astype(float)
-    if len(z) < MIN_LABELS or y.min() == y.max():
-        return None
-    x, de = z[FEATURES].to_numpy(float), z[["de"]].to_numpy(float)
-    x = np.c_[x, x * x]
-    x = np.c_[x, de, de * x]  # the terms of design(), in its order
-    mean, dev = x.mean(0), x.std(0) + 1e-9
-    a = np.c_[(x - mean) / dev, np.ones(len(x))]
-    ridge = RIDGE * np.eye(a.shape[1])
-    ridge[-1, -1] = 0
-    w = np.zeros(a.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T * (p * (1 - p)) @ a + ridge + 1e-9 * np.eye(len(w)), a.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return list(map(float, w)), list(map(float, mean)), list(map(float, dev))
-
-
-def _linear(model: tuple[list[float], list[float], list[float]]) -> str:
+    return fit("y"), fit("top")
+
+
+def _linear(model: Model) -> str:
     w, mean, dev = model
     return f"({w[-1]!r}D) + " + " + ".join(f"({a!r}D) * ({t} - ({m!r}D)) / {s!r}D" for a, t, m, s in zip(w, design(), mean, dev))
 
 
 def graded(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, words, coverage_rank (at 90 %), words_per_sentence, score, top (probability of the highest
-    grade) and grade."""
+    """doc_id, words, coverage_rank (at 90 %), words_per_sentence, score, top (how far it is of the highest
+    grade, from 0 to 1) and grade."""
     f = features(spark, d)
-    labels = table(spark, d, "level_labels", "doc_id", "grade")
-    model, best = calibrate(f, labels), top_grade(f, labels)
-    score = f"least(4D, greatest(1D, {_linear(model)}))" if model else "CAST(NULL AS DOUBLE)"
-    top = f"1 / (1 + exp(-({_linear(best)})))" if best else "CAST(NULL AS DOUBLE)"
+    models = calibrate(f, table(spark, d, "level_labels", "doc_id", "grade"))
+    score, top = (f"least({hi}D, greatest({lo}D, {_linear(m)}))" for m, lo, hi in zip(models, (1, 0), (4, 1))) if models else ("CAST(NULL AS DOUBLE)",) * 2
     x = f.selectExpr("doc_id", "n AS words", "CAST(round(exp(c90)) AS BIGINT) AS coverage_rank", "round(exp(wps) - 1, 4) AS words_per_sentence", f"{score} AS score", f"{top} AS top")
     grade = F.when(F.col("top") >= TOP, 4).otherwise(F.least(F.round("score"), F.lit(3)))
     return x.withColumn("grade", grade.cast("int")).withColumns({"score": F.round("score", 4), "top": F.round("top", 4)})
