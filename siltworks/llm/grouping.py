@@ -25,8 +25,8 @@ from siltworks.sources.tables import records, split_name, table
 
 #: A root above this share of all records is dealt one by one: at most 1 / LARGE_SHARE such roots.
 LARGE_SHARE = 0.002
-#: Hash buckets over which running sums are taken in two steps.
-DEAL_BUCKETS = 512
+#: Hash buckets over which running sums are taken in two steps, and roots for which there is one at least.
+DEAL_BUCKETS, BUCKET_ROOTS = 512, 1_000_000
 
 
 def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +128,9 @@ def deal(roots: DataFrame, targets: list[tuple[str, float]]) -> DataFrame:
     spark = roots.sparkSession
     if not targets:
         return roots.select("root", "n", F.lit(0).alias("band"), F.lit(None).cast("string").alias("split"))
-    total = roots.agg(F.sum("n")).first()[0] or 0
+    sizes = roots.agg(F.sum("n").alias("n"), F.count("*").alias("roots")).first()
+    total = sizes["n"] or 0
+    buckets = max(DEAL_BUCKETS, sizes["roots"] // BUCKET_ROOTS + 1)
     names, want = [t[0] for t in targets], [max(0.0, t[1]) for t in targets]
     s = sum(want) or 1.0
     left = [total * w / s for w in want]
@@ -150,14 +152,14 @@ def deal(roots: DataFrame, targets: list[tuple[str, float]]) -> DataFrame:
     for c, nm in reversed(marks[:-1]):
         case = F.when(F.col("_at") < c, nm).otherwise(case)
     rest = roots.where(~(F.col("n") > LARGE_SHARE * total)).withColumns(
-        {"band": F.floor(F.log2(F.col("n").cast("double"))).cast("int"), "_h": F.xxhash64("root"), "_b": F.pmod(F.xxhash64("root"), F.lit(DEAL_BUCKETS))}
+        {"band": F.floor(F.log2(F.col("n").cast("double"))).cast("int"), "_h": F.xxhash64("root"), "_b": F.pmod(F.xxhash64("root"), F.lit(buckets))}
     )
     sums = rest.groupBy("band", "_b").agg(F.sum("n").alias("_s"))
     wb = W.partitionBy("band").orderBy("_b")
     sums = sums.select("band", "_b", (F.sum("_s").over(wb) - F.col("_s")).alias("_off"), F.sum("_s").over(W.partitionBy("band")).alias("_all"))
     wi = W.partitionBy("band", "_b").orderBy("_h", "root")
     tail = (
-        rest.join(F.broadcast(sums), ["band", "_b"])  # at most 64 bands of DEAL_BUCKETS rows
+        rest.join(sums, ["band", "_b"])  # a row per band and bucket; whether it is sent around is left to the optimizer
         .withColumn("_at", (F.col("_off") + F.sum("n").over(wi) - F.col("n") / 2) / F.col("_all"))
         .select("root", "n", "band", case.alias("split"))
     )
