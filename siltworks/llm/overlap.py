@@ -15,7 +15,7 @@ same normalised text are one class before anything is joined, and pairs are expa
 because the query asks for record pairs.
 
 Defined cases: null, empty and blank texts are no text; records without a known split are in none;
-texts that have no unit (nothing but comments) are compared by their whole normalised text.
+texts that have no unit (fewer than UNIT characters) are compared by their whole normalised text.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from siltworks.sources.tables import records, split_name, table
 SHARE = 0.5
 #: Coverage of the evaluation text's characters by passages found in the training text: names dropped, names kept.
 COVERED, COVERED_EXACT = 0.5, 0.25
-#: Characters beyond which a line is cut, at places that its content gives.
-LONG = 160
+#: Least characters of a unit, and of one in JSON; those beyond which a line is cut, at places that its content gives.
+UNIT, UNIT_JSON, LONG = 8, 4, 160
 #: Evaluation characters for which one automaton is built, and training characters scanned with it in one
 #: task; where more are routed to a shard, its automaton is built once per block of them.
 SHARD_CHARS, BLOCK_CHARS = 4_000_000, 32_000_000
@@ -70,13 +70,16 @@ def _nameless(bare: Column, code: Column) -> Column:
 
 
 def units(norm: Column) -> Column:
-    """The units of a normalised text, in order: its lines, a line of more than LONG characters in pieces;
-    JSON in pieces. None is too short to be one."""
+    """The units of a normalised text, in order: one for every line, a line of more than LONG characters
+    being cut; JSON is cut after each comma and bracket. A line shorter than UNIT is no unit of its own, as it
+    stands in too many texts, but goes on over the lines that follow until it is that long, so that no line is
+    left out and an edit changes only the units that begin just ahead of it."""
     json = norm.rlike(_JSON)
-    lines = F.flatten(
-        F.transform(F.split(norm, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[;{}7Kz])")).otherwise(F.array(x)))
-    )
-    return F.filter(F.when(json, F.split(norm, r"(?<=[,{}\[\]])")).otherwise(lines), lambda x: x != "")
+    pieces = lambda x: F.when(F.length(x) > LONG, F.regexp_replace(x, r"([;{}7Kz])", "$1\n")).otherwise(x)
+    cut = F.when(norm.rlike(r"[^\n]{%d}" % (LONG + 1)), F.array_join(F.transform(F.split(norm, "\n"), pieces), "\n")).otherwise(norm)
+    lines = F.regexp_replace(F.when(json, F.regexp_replace(norm, r"([,{}\[\]])", "$1\n")).otherwise(cut), r"\n\n+", "\n")
+    from_here = lambda n: F.lit(r"(?md)^(?=([^\n][\s\S]{%d}[^\n]*+(?:\n[\s\S]{0,%d}\z)?))" % (n - 1, n - 1))
+    return F.when(json, F.regexp_extract_all(lines, from_here(UNIT_JSON), F.lit(1))).otherwise(F.regexp_extract_all(lines, from_here(UNIT), F.lit(1)))
 
 
 def normalised(t: DataFrame, *keep: str) -> DataFrame:
