@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -52,21 +53,26 @@ def unbalanced(text: str) -> bool:
 _TOKEN = re.compile(TOKEN)
 
 
+def _sha(x: str) -> str:
+    return hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
+
+
 def lexical(df: DataFrame, key: str, text: str, form: bool = False, sketch: bool = False) -> DataFrame:
-    """(key, tokens, distinct_tokens, simhash) of the lexical tokens of `text`, of its duplicate-search form
-    where `form` is set; the SimHash only where `sketch` is. One pass in Arrow batches: as a column expression
+    """(key, sha, form_hash, tokens, distinct_tokens, simhash) of the lexical tokens of `text`, of its
+    duplicate-search form where `form` is set; the SimHash only where `sketch` is. One pass in Arrow batches: as a column expression
     the token array would be built once for every use of it."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for k, x in zip(pdf[key], pdf[text]):
-                t = [w.lower() for w in _TOKEN.findall(dedup_form(x) if form else x)]
-                rows.append((k, len(t), len(set(t)), simhash_of(t) if sketch else 0))
-            yield pd.DataFrame(rows, columns=[key, "tokens", "distinct_tokens", "simhash"])
+                f = dedup_form(x) if form else x
+                t = [w.lower() for w in _TOKEN.findall(f)]
+                rows.append((k, _sha(x), _sha(f), len(t), len(set(t)), simhash_of(t) if sketch else 0))
+            yield pd.DataFrame(rows, columns=[key, "sha", "form_hash", "tokens", "distinct_tokens", "simhash"])
 
     x = df.where(F.col(text).isNotNull()).select(key, text)
-    return spread(x).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, tokens long, distinct_tokens long, simhash long")
+    return spread(x).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, sha string, form_hash string, tokens long, distinct_tokens long, simhash long")
 
 
 def unbalanced_udf(c) -> Column:

@@ -24,13 +24,19 @@ def near_first_match(df: DataFrame, ident: str, distance: int = 3, ratio: float
 
     The bucket is the upper 16 bits of the SimHash, exclusive-or the binary logarithm of the token count.
     Rows with the same SimHash and token count are one class; classes are compared, not rows, so copies
-    cost nothing, and each class contributes its two least ids, which is all that any row can need.
+    cost nothing, and each class stands for itself by its least id, which is all that any row can need.
+    Two classes that differ in at most `distance` bits agree in one of distance + 1 pieces of the lower 48
+    bits, so they are compared only where bucket and such a piece are the same; no bucket is one task.
     """
     bucket = F.shiftrightunsigned("simhash", 48).bitwiseXOR(F.floor(F.log2(F.col("tokens").cast("double"))).cast("long"))
-    c = df.groupBy("simhash", "tokens").agg(F.min(ident).alias("low")).withColumn("bucket", bucket)
+    c = df.groupBy("simhash", "tokens").agg(F.min(ident).alias("low"))
+    width = 48 // (distance + 1)
+    piece = lambda i: F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1))
+    c = c.withColumns({"bucket": bucket, "piece": F.explode(F.array(*[F.struct(F.lit(i).alias("i"), piece(i).alias("v")) for i in range(distance + 1)]))})
     a, b = c.alias("a"), c.alias("b")
     close = (
         (F.col("a.bucket") == F.col("b.bucket"))
+        & (F.col("a.piece") == F.col("b.piece"))
         & (hamming(F.col("a.simhash"), F.col("b.simhash")) <= distance)
         & (F.least("a.tokens", "b.tokens") >= F.greatest("a.tokens", "b.tokens") * ratio)
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions import ident as I
@@ -11,7 +10,8 @@ from siltworks.functions import scan as S
 from siltworks.functions import text as T
 from siltworks.functions.paths import trimmed
 from siltworks.operators import audit, dedup, splits
-from siltworks.sources.tables import SPLIT_SQL, one_per_key, records, split_name, table
+from siltworks.session import discard, stored
+from siltworks.sources.tables import SPLIT_SQL, STG, one_per_key, per_text, split_name, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,20 +29,19 @@ def query(sql: str | None = None):
     return add
 
 
-#: One row per record and one per staged path, as SQL.
-REC = "rec AS (SELECT record_id, min(source_id) source_id, min(group_id) group_id, min(kind) kind, min(original_path) original_path, min(staged_path) staged_path, min(split) split, min(license) license, min(project_root) project_root, min(validation_status) validation_status, min(bytes) bytes FROM records WHERE record_id IS NOT NULL GROUP BY record_id)"
-STG = "stg AS (SELECT staged_path, min(text) text FROM staged_files WHERE staged_path IS NOT NULL GROUP BY staged_path)"
-RECORD_COLUMNS = ("source_id", "group_id", "kind", "original_path", "staged_path", "split", "license", "project_root", "validation_status", "bytes")
+RECORD_COLUMNS = ("source_id", "group_id", "kind", "original_path", "staged_path", "split", "license", "project_root", "validation_status", "validation_error", "content_sha256", "bytes")
+#: plain_records as SQL.
+REC = (
+    f"rec AS (SELECT record_id, {', '.join(RECORD_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingested_at NULLS FIRST, "
+    f"{', '.join(c + ' NULLS FIRST' for c in RECORD_COLUMNS)}) AS rn FROM records WHERE record_id IS NOT NULL) WHERE rn = 1)"
+)
 
 
-def plain_records(spark: SparkSession, d: str) -> DataFrame:
-    """Each record once; every column its least value over the deliveries."""
-    r = table(spark, d, "records", "record_id", *RECORD_COLUMNS).where("record_id is not null")
-    return r.groupBy("record_id").agg(*[F.min(c).alias(c) for c in RECORD_COLUMNS])
-
-
-def staged(spark: SparkSession, d: str) -> DataFrame:
-    return one_per_key(table(spark, d, "staged_files", "staged_path", "text"), "staged_path", "text")
+def plain_records(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """record_id and `cols` of each record: of its deliveries the earliest, and of several at the same time the
+    least in the order of the columns."""
+    cols = cols or RECORD_COLUMNS
+    return one_per_key(table(spark, d, "records", "record_id", "ingested_at", *cols), "record_id", "ingested_at", *cols).drop("ingested_at")
 
 
 _N = T.normalize_code_sql("text")
@@ -52,14 +51,12 @@ _N = T.normalize_code_sql("text")
 SELECT staged_path, length(t) AS chars, CAST(strlen(t) AS BIGINT) AS bytes, length(t) - length(replace(t, chr(10), '')) AS lines, sha256(t) AS sha256 FROM n""")
 def normalize_text_stats(spark: SparkSession, d: str) -> DataFrame:
     """Length, bytes, lines and hash of every normalised staged text."""
-    n = staged(spark, d).where("text is not null").select("staged_path", T.normalize_code(F.col("text")).alias("t"))
-    return n.select(
-        "staged_path",
-        F.length("t").cast("long").alias("chars"),
-        F.octet_length("t").cast("long").alias("bytes"),
-        (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).cast("long").alias("lines"),
-        F.sha2("t", 256).alias("sha256"),
-    )
+    t = T.normalize_code(F.col("text"))
+    facts = F.transform(F.array(t), lambda t: F.struct(  # the text is normalised once for all four
+        F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"),
+        (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long").alias("lines"), F.sha2(t, 256).alias("sha256"),
+    ))[0]
+    return per_text(spark, d, f=facts).select("staged_path", "f.*")
 
 
 @query(f"""WITH {REC} SELECT record_id, coalesce(nullif(trim(group_id), ''), record_id) AS unit,
@@ -68,7 +65,7 @@ def normalize_text_stats(spark: SparkSession, d: str) -> DataFrame:
 def stable_split_by_group(spark: SparkSession, d: str) -> DataFrame:
     """Hash split of every record by its group, else by itself."""
     u = F.coalesce(trimmed(F.col("group_id")), F.col("record_id"))
-    return plain_records(spark, d).select("record_id", u.alias("unit")).withColumns({"fraction": F.round(I.stable_fraction(F.col("unit")), 9), "split": I.hash_split(F.col("unit"))})
+    return plain_records(spark, d, "group_id").select("record_id", u.alias("unit")).withColumns({"fraction": F.round(I.stable_fraction(F.col("unit")), 9), "split": I.hash_split(F.col("unit"))})
 
 
 @query(f"""WITH {REC}, u AS (SELECT DISTINCT coalesce(nullif(trim(source_id), ''), 'none') AS unit FROM rec),
@@ -78,7 +75,7 @@ SELECT unit, CASE WHEN h = 'train' AND n >= 3 AND v = 0 AND rn = 1 THEN 'val' WH
 def forced_split(spark: SparkSession, d: str) -> DataFrame:
     """Hash split of sources; where a split stays empty and there are three units or more, the first unit
     in hash order goes to val, the second to test."""
-    u = plain_records(spark, d).select(F.coalesce(trimmed(F.col("source_id")), F.lit("none")).alias("unit")).distinct()
+    u = plain_records(spark, d, "source_id").select(F.coalesce(trimmed(F.col("source_id")), F.lit("none")).alias("unit")).distinct()
     return splits.forced(u)
 
 
@@ -95,16 +92,11 @@ def exact_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _hashed(spark: SparkSession, d: str) -> DataFrame:
-    # Hashes are made at the scan; texts are not shuffled.
-    h = table(spark, d, "staged_files", "staged_path", "text").where("text is not null").select("staged_path", "text")
-    h = staged_hashes(h)
-    return plain_records(spark, d).join(h, "staged_path")
-
-
-def staged_hashes(t: DataFrame) -> DataFrame:
-    """staged_path and the hash of its least text, normalised."""
-    return one_per_key(t.select("staged_path", "text"), "staged_path", "text").select("staged_path", F.sha2(T.normalize_code(F.col("text")), 256).alias("content_hash"))
+def _hashed(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Records with text: source_id, original_path, `cols` and the hash of the normalised text, made where
+    the text is read."""
+    h = per_text(spark, d, content_hash=F.sha2(T.normalize_code(F.col("text")), 256))
+    return plain_records(spark, d, "source_id", "original_path", "staged_path", *cols).join(h, "staged_path")
 
 
 @query(_DUP + ", c AS (SELECT h, count(*) AS size, min(first_id) AS first_id, count(DISTINCT source_id) AS sources FROM k GROUP BY h) SELECT h AS content_hash, size, first_id, sources FROM c WHERE size > 1")
@@ -120,9 +112,9 @@ def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
 SELECT source, path, reason FROM short UNION ALL SELECT * FROM dup UNION ALL SELECT source, path, reason FROM skipped""")
 def skip_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Everything left out, with the reason: too short, duplicate of, and what the scan had skipped."""
-    r = plain_records(spark, d)
-    s = staged(spark, d).where("text is not null")
-    short = r.join(s, "staged_path").where(F.length(T.stripped(F.col("text"))) < 20).select(F.col("source_id").alias("source"), F.col("original_path").alias("path"), F.lit("too-short").alias("reason"))
+    r = plain_records(spark, d, "source_id", "original_path", "staged_path")
+    s = per_text(spark, d, short=F.length(T.stripped(F.col("text"))) < 20).where("short")
+    short = r.join(s, "staged_path").select(F.col("source_id").alias("source"), F.col("original_path").alias("path"), F.lit("too-short").alias("reason"))
     x = dedup.first_wins(_hashed(spark, d), "content_hash", ["source_id", "original_path", "record_id"], "record_id").where("duplicate")
     first = r.select(F.col("record_id").alias("first_id"), F.coalesce("source_id", F.lit("")).alias("fs"), F.coalesce("original_path", F.lit("")).alias("fp"))
     dup = x.join(first, "first_id").select(F.col("source_id").alias("source"), F.col("original_path").alias("path"), F.concat(F.lit("duplicate:"), "fs", F.lit(":"), "fp").alias("reason"))
@@ -139,14 +131,11 @@ def content_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {REC}, {STG} SELECT count(*) AS records, count(*) FILTER (h IS NULL) AS without_hash, count(*) FILTER (lower(h) = sha256(text)) AS fresh,
- count(*) FILTER (h IS NOT NULL AND lower(h) <> sha256(text)) AS stale FROM (SELECT r.record_id, min(x.content_sha256) h, min(s.text) text FROM rec r
- JOIN records x USING (record_id) JOIN stg s ON s.staged_path = r.staged_path WHERE s.text IS NOT NULL GROUP BY r.record_id)""")
+ count(*) FILTER (h IS NOT NULL AND lower(h) <> sha256(text)) AS stale FROM (SELECT r.record_id, r.content_sha256 AS h, s.text FROM rec r JOIN stg s ON s.staged_path = r.staged_path)""")
 def hash_freshness(spark: SparkSession, d: str) -> DataFrame:
     """How many delivered hashes are those of the staged text, stale or missing."""
-    r = table(spark, d, "records", "record_id", "staged_path", "content_sha256").where("record_id is not null")
-    r = r.groupBy("record_id").agg(F.min("staged_path").alias("staged_path"), F.min("content_sha256").alias("h"))
-    s = staged(spark, d).where("text is not null").select("staged_path", F.sha2("text", 256).alias("now"))
-    x = r.join(s, "staged_path")
+    r = plain_records(spark, d, "staged_path", "content_sha256").withColumnRenamed("content_sha256", "h")
+    x = r.join(per_text(spark, d, now=F.sha2("text", 256)), "staged_path")
     same = F.lower("h") == F.col("now")
     return x.agg(F.count("*").alias("records"), F.count_if(F.col("h").isNull()).alias("without_hash"), F.count_if(same).alias("fresh"), F.count_if(~same).alias("stale"))
 
@@ -159,16 +148,7 @@ def hash_freshness(spark: SparkSession, d: str) -> DataFrame:
 def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Lexical tokens and distinct ones of every staged text."""
     x = S.lexical(table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null"), "staged_path", "text")
-    return one_per_key(x, "staged_path", "tokens", "distinct_tokens")
-
-
-@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(title, '{T.TOKEN}'), lambda x: lower(x)) AS w FROM documents WHERE title IS NOT NULL),
- g AS (SELECT unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) AS shingle FROM t WHERE len(w) > 0)
-SELECT shingle, count(*) AS n FROM g GROUP BY shingle""")
-def shingle_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """How often every shingle of three tokens occurs in the titles."""
-    t = table(spark, d, "documents", "title").where("title is not null").select(F.explode(T.shingles(T.lexical_tokens(F.col("title")), 3)).alias("shingle"))
-    return t.groupBy("shingle").agg(F.count("*").alias("n"))
+    return one_per_key(x, "staged_path", "sha", "tokens", "distinct_tokens").drop("sha")
 
 
 @query()
@@ -178,39 +158,45 @@ def simhash_near_first_match(spark: SparkSession, d: str) -> DataFrame:
     against brute force."""
     s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").isNotNull() & F.col("text").rlike(r"\S"))
     k = S.lexical(s, "staged_path", "text", form=True, sketch=True).where("tokens > 0")
-    k = one_per_key(k, "staged_path", "tokens", "simhash")
-    r = plain_records(spark, d).select("record_id", "staged_path").join(k, "staged_path").drop("staged_path")
+    k = one_per_key(k, "staged_path", "sha", "tokens", "simhash")
+    r = plain_records(spark, d, "staged_path").join(k, "staged_path").select("record_id", "tokens", "simhash")
     return dedup.near_first_match(r, "record_id")
 
 
-_Q = "CASE WHEN lower(trim(validation_status)) = 'failed' THEN 'quarantine' WHEN lic IS NULL OR lic NOT IN ('MIT','Apache-2.0','BSD-2-Clause','BSD-3-Clause','CC-BY-3.0','LicenseRef-User-Owned-Private') THEN 'quarantine' WHEN text IS NULL THEN 'quarantine' WHEN contains(text, chr(65533)) THEN 'quarantine' WHEN lower(trim(validation_status)) = 'pending' OR validation_status IS NULL OR contains(text, '...') OR length(text) < 24 THEN 'warning' ELSE 'accepted' END"
-_AUD = f"""WITH {REC}, {STG}, q AS (SELECT r.*, s.text, trim(r.license) AS lic FROM rec r LEFT JOIN stg s ON s.staged_path = r.staged_path),
- a AS (SELECT *, {_Q} AS quality, {SPLIT_SQL.format(c="split")} AS sp FROM q)"""
+_AUD = f"""{REC}, {STG}, code AS (SELECT staged_path, text, {audit.masked_sql("text")} AS c FROM stg), frag AS (SELECT staged_path, strlen(text) AS bytes, {audit.fragments_sql("text", "c")} AS found FROM code),
+ src AS (SELECT id, max(license) AS declared FROM sources GROUP BY id), q AS (SELECT r.* EXCLUDE (bytes), f.bytes, f.found, coalesce(nullif(r.license, ''), nullif(src.declared, ''), 'UNKNOWN') AS lic FROM rec r LEFT JOIN frag f ON f.staged_path = r.staged_path LEFT JOIN src ON src.id = r.source_id),
+ a AS (SELECT *, {audit.quality_sql("reasons")} AS quality FROM (SELECT *, {audit.reasons_sql()} AS reasons, {SPLIT_SQL.format(c="split")} AS sp FROM q))"""
 
 
-@query(_AUD + """ SELECT record_id, quality, list_sort(list_filter([CASE WHEN lic IS NULL OR lic NOT IN ('MIT','Apache-2.0','BSD-2-Clause','BSD-3-Clause','CC-BY-3.0','LicenseRef-User-Owned-Private') THEN 'disallowed-license' END,
-  CASE WHEN lower(trim(validation_status)) = 'failed' THEN 'validation-failed' END, CASE WHEN text IS NULL THEN 'missing-staged-file' END,
-  CASE WHEN contains(text, chr(65533)) THEN 'encoding-damage' END, CASE WHEN lower(trim(validation_status)) = 'pending' OR validation_status IS NULL THEN 'validation-pending' END,
-  CASE WHEN contains(text, '...') THEN 'ellipsis-placeholder' END, CASE WHEN length(text) < 24 THEN 'too-short' END], lambda x: x IS NOT NULL))::VARCHAR AS reasons FROM a""")
-def quality_status(spark: SparkSession, d: str) -> DataFrame:
-    """Quality status and sorted reasons of every record."""
-    a = audit.judged(plain_records(spark, d).join(staged(spark, d), "staged_path", "left"))
-    return a.select("record_id", "quality", F.concat(F.lit("["), F.array_join(F.array_sort("reasons"), ", "), F.lit("]")).alias("reasons"))
+def _audited(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Records with reasons, quality, sp (their split in one spelling) and the bytes of their text."""
+    r = plain_records(spark, d, "source_id", "staged_path", "split", "license", "validation_status", *cols).withColumn("sp", split_name("split"))
+    s = table(spark, d, "sources", "id", "license").groupBy(F.col("id").alias("source_id")).agg(F.max("license").alias("declared"))
+    facts = per_text(spark, d, found=audit.fragment_reasons(F.col("text")), bytes=F.octet_length("text"))
+    return audit.judged(r.join(F.broadcast(s), "source_id", "left").join(facts, "staged_path", "left"))  # sources is a fixed list
 
 
-def _audited(spark: SparkSession, d: str) -> DataFrame:
-    return audit.judged(plain_records(spark, d).join(staged(spark, d), "staged_path", "left")).withColumn("sp", split_name("split"))
+@query(f"WITH {_AUD} SELECT staged_path, array_to_string(found, ', ') AS reasons FROM frag")
+def fragment_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks against a text by itself: placeholders, stubs, damage, length, brackets, another language."""
+    return per_text(spark, d, reasons=F.array_join(audit.fragment_reasons(F.col("text")), ", "))
 
 
-@query(_AUD + """ SELECT count(*) AS records, count(*) FILTER (quality = 'accepted') AS accepted, count(*) FILTER (quality = 'warning') AS warning, count(*) FILTER (quality = 'quarantine') AS quarantined,
+@query(f"WITH {_AUD} SELECT record_id, quality, array_to_string(list_sort(reasons), ', ') AS reasons FROM a")
+def quality_status(spark: SparkSession, d: str) -> DataFrame:
+    """Quality status and sorted reasons of every record."""
+    return _audited(spark, d).select("record_id", "quality", F.array_join(F.array_sort("reasons"), ", ").alias("reasons"))
+
+
+@query(f"""WITH {_AUD} SELECT count(*) AS records, count(*) FILTER (quality = 'accepted') AS accepted, count(*) FILTER (quality = 'warning') AS warning, count(*) FILTER (quality = 'quarantine') AS quarantined,
  count(*) FILTER (sp = 'train') AS train, count(*) FILTER (sp = 'val') AS val, count(*) FILTER (sp = 'test') AS test, count(DISTINCT CASE WHEN sp = 'train' THEN group_id END) AS train_groups,
- CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes, round(coalesce(count(*) FILTER (lower(trim(validation_status)) = 'passed') * 1.0 / nullif(count(*) FILTER (lower(trim(validation_status)) IN ('passed', 'failed')), 0), 1.0), 6) AS parser_rate FROM a""")
+ CAST(sum(coalesce(bytes, 0)) AS BIGINT) AS bytes, round(coalesce(count(*) FILTER (lower(trim(validation_status)) = 'passed') * 1.0 / nullif(count(*) FILTER (lower(trim(validation_status)) IN ('passed', 'failed')), 0), 1.0), 6) AS parser_rate FROM a""")
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counters by status and split, groups, bytes and the rate at which the validator passed."""
-    return audit.summary(_audited(spark, d))
+    return audit.summary(_audited(spark, d, "group_id"))
 
 
-@query(_AUD + """ SELECT source_id, count(*) AS records, count(*) FILTER (quality = 'accepted') AS accepted, count(*) FILTER (quality = 'warning') AS warning, count(*) FILTER (quality = 'quarantine') AS quarantined FROM a GROUP BY source_id""")
+@query(f"""WITH {_AUD} SELECT source_id, count(*) AS records, count(*) FILTER (quality = 'accepted') AS accepted, count(*) FILTER (quality = 'warning') AS warning, count(*) FILTER (quality = 'quarantine') AS quarantined FROM a GROUP BY source_id""")
 def source_quality(spark: SparkSession, d: str) -> DataFrame:
     """Counts by quality per source."""
     q = F.col("quality")
@@ -219,27 +205,48 @@ def source_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(_AUD + """, x AS (SELECT unnest(list_filter([CASE WHEN lic IS NULL OR lic NOT IN ('MIT','Apache-2.0','BSD-2-Clause','BSD-3-Clause','CC-BY-3.0','LicenseRef-User-Owned-Private') THEN 'disallowed-license' END,
-  CASE WHEN lower(trim(validation_status)) = 'failed' THEN 'validation-failed' END, CASE WHEN text IS NULL THEN 'missing-staged-file' END,
-  CASE WHEN contains(text, chr(65533)) THEN 'encoding-damage' END, CASE WHEN lower(trim(validation_status)) = 'pending' OR validation_status IS NULL THEN 'validation-pending' END,
-  CASE WHEN contains(text, '...') THEN 'ellipsis-placeholder' END, CASE WHEN length(text) < 24 THEN 'too-short' END], lambda x: x IS NOT NULL)) AS reason FROM a) SELECT reason, count(*) AS n FROM x GROUP BY reason""")
+@query(f"WITH {_AUD}, x AS (SELECT unnest(reasons) AS reason FROM a) SELECT reason, count(*) AS n FROM x GROUP BY reason")
 def reason_counts(spark: SparkSession, d: str) -> DataFrame:
     """Records per reason."""
     return _audited(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _final(spark: SparkSession, d: str) -> DataFrame:
+    """Audited records with what the whole corpus says of them: `first_id` of their normalised text,
+    `near_duplicate_of`, `leaking`, and the quality and reasons that follow."""
+    base = stored(_audited(spark, d, "group_id", "original_path"), "audited")
+    keys = S.lexical(table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null and text is not null"), "staged_path", "text", form=True, sketch=True)
+    keys = one_per_key(keys, "staged_path", "sha", "form_hash", "tokens", "simhash")
+    x = stored(base.join(keys, "staged_path", "left"), "sketched")
+    discard(base)
+    order = [F.struct(F.col(c).isNotNull(), F.col(c)) for c in ("source_id", "original_path", "record_id")]
+    by_text = x.where("form_hash is not null").groupBy("form_hash").agg(F.min_by("record_id", F.struct(*order)).alias("first_id"), (F.count_distinct("sp") > 1).alias("text_leaks"))
+    by_group = x.withColumn("g", trimmed(F.col("group_id"))).where("g is not null").groupBy("g").agg((F.count_distinct("sp") > 1).alias("group_leaks")).where("group_leaks")
+    near = dedup.near_first_match(x.where("tokens > 0").select("record_id", "tokens", "simhash"), "record_id")
+    y = x.join(by_text, "form_hash", "left").join(by_group, trimmed(x["group_id"]) == F.col("g"), "left").join(near, "record_id", "left")
+    return audit.escalated(y)
+
+
+@query()
+def audit_status_final(spark: SparkSession, d: str) -> DataFrame:
+    """Quality and reasons after duplicates and leaks: a later copy of a normalised text and whatever leaks
+    between splits are quarantined, a near duplicate is warned of where nothing else was. Of equal texts the
+    first by source, path and id stays. No SQL: a near duplicate needs the sketch; tested against a fixture."""
+    return _final(spark, d).select("record_id", "quality", F.array_join("reasons", ", ").alias("reasons"), F.when(F.col("first_id") != F.col("record_id"), F.col("first_id")).alias("duplicate_of"), "near_duplicate_of")
+
+
 @query(f"""WITH {REC}, g AS (SELECT trim(group_id) AS group_id, {SPLIT_SQL.format(c="split")} AS sp FROM rec WHERE nullif(trim(group_id), '') IS NOT NULL)
 SELECT group_id, array_to_string(list_sort(list(DISTINCT sp)), ',') AS splits FROM g WHERE sp IS NOT NULL GROUP BY group_id HAVING count(DISTINCT sp) > 1""")
 def group_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Groups that lie in more than one split."""
-    g = plain_records(spark, d).select(trimmed(F.col("group_id")).alias("group_id"), split_name("split").alias("sp")).where("group_id is not null and sp is not null")
+    g = plain_records(spark, d, "group_id", "split").select(trimmed(F.col("group_id")).alias("group_id"), split_name("split").alias("sp")).where("group_id is not null and sp is not null")
     return audit.leaks(g, "group_id", "sp")
 
 
 @query(_DUP.replace("SELECT r.record_id, r.source_id", f"SELECT r.record_id, {SPLIT_SQL.format(c='r.split')} AS sp, r.source_id") + " SELECT h AS content_hash, array_to_string(list_sort(list(DISTINCT sp)), ',') AS splits FROM n WHERE sp IS NOT NULL GROUP BY h HAVING count(DISTINCT sp) > 1")
 def content_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Normalised texts that lie in more than one split."""
-    x = _hashed(spark, d).select("content_hash", split_name("split").alias("sp")).where("sp is not null")
+    x = _hashed(spark, d, "split").select("content_hash", split_name("split").alias("sp")).where("sp is not null")
     return audit.leaks(x, "content_hash", "sp")
 
 
@@ -249,14 +256,14 @@ _LINE = f"record_id || ':' || coalesce({SPLIT_SQL.format(c='split')}, '') || ':'
 @query(f"WITH {REC} SELECT {I.multiset_fingerprint_sql(_LINE)} AS fingerprint, count(*) AS records FROM rec")
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint of the lines record:split:license, whatever their order."""
-    r = plain_records(spark, d).select(F.concat_ws(":", F.col("record_id"), F.coalesce(split_name("split"), F.lit("")), F.coalesce("license", F.lit(""))).alias("line"))
+    r = plain_records(spark, d, "split", "license").select(F.concat_ws(":", F.col("record_id"), F.coalesce(split_name("split"), F.lit("")), F.coalesce("license", F.lit(""))).alias("line"))
     return r.agg(I.multiset_fingerprint(F.col("line")).alias("fingerprint"), F.count("*").alias("records"))
 
 
 @query(f"""WITH {REC} SELECT source_id, coalesce(lower(trim(validation_status)), 'unknown') AS status, count(*) AS n FROM rec GROUP BY 1, 2""")
 def validation_status_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Validation statuses per source."""
-    r = plain_records(spark, d).select("source_id", F.coalesce(F.lower(F.trim("validation_status")), F.lit("unknown")).alias("status"))
+    r = plain_records(spark, d, "source_id", "validation_status").select("source_id", F.coalesce(F.lower(F.trim("validation_status")), F.lit("unknown")).alias("status"))
     return r.groupBy("source_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -266,9 +273,8 @@ def validation_status_by_source(spark: SparkSession, d: str) -> DataFrame:
 SELECT source_id, {I.hash_split_sql("unit")} AS split, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM u WHERE rn = 1 GROUP BY 1, 2""")
 def flagship_corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     """Unique records and bytes per source and split: normalise, drop exact duplicates, split by group."""
-    t = one_per_key(table(spark, d, "staged_files", "staged_path", "text").where("text is not null"), "staged_path", "text")
-    h = t.select("staged_path", F.sha2(T.normalize_code(F.col("text")), 256).alias("content_hash"), F.octet_length("text").alias("size"))
-    x = plain_records(spark, d).join(h, "staged_path")
+    h = per_text(spark, d, content_hash=F.sha2(T.normalize_code(F.col("text")), 256), size=F.octet_length("text"))
+    x = plain_records(spark, d, "source_id", "group_id", "original_path", "staged_path").join(h, "staged_path")
     first = dedup.first_wins(x, "content_hash", ["source_id", "original_path", "record_id"], "record_id").where("not duplicate")
     u = F.coalesce(trimmed(F.col("group_id")), F.col("record_id"))
     return first.groupBy("source_id", I.hash_split(u).alias("split")).agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltworks.queries.corpus import REC, STG, plain_records, staged
+from siltworks.queries.corpus import REC, plain_records
 from siltworks.queries.registering import Registry
-from siltworks.sources.tables import table
+from siltworks.sources.tables import STG, per_text, table
 
 query = Registry()
 
@@ -35,24 +35,23 @@ def failed_path_matches(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "project_audits", "parser_failed_files").select(F.explode("parser_failed_files").alias("failed")).where("failed is not null").distinct()
     parts = F.split("original_path", "/")
     suffixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
-    r = plain_records(spark, d).where("original_path is not null").select("record_id", suffixes.alias("failed"))
+    r = plain_records(spark, d, "original_path").where("original_path is not null").select("record_id", suffixes.alias("failed"))
     return r.join(f, "failed").groupBy("record_id").agg(F.min("failed").alias("failed"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-@query(f"""WITH {REC}, x AS (SELECT r.*, lower(trim(validation_status)) AS s, e.err FROM rec r LEFT JOIN (SELECT record_id, min(validation_error) AS err FROM records GROUP BY record_id) e ON e.record_id = r.record_id)
+@query(f"""WITH {REC}, x AS (SELECT *, lower(trim(validation_status)) AS s, validation_error AS err FROM rec)
 SELECT record_id, CASE WHEN kind = 'rst_gdscript' THEN 'not_required' WHEN s = 'passed' AND err IS NOT NULL THEN 'passed_with_context' WHEN s = 'passed' THEN 'passed' WHEN s = 'failed' AND regexp_matches(lower(err), 'missing resource|autoload|not known|could not be resolved') THEN 'context_only'
  WHEN s = 'failed' AND regexp_matches(lower(err), 'timeout') THEN 'retry' WHEN s = 'failed' THEN 'rejected' ELSE 'pending' END AS decision FROM x""")
 def validation_decision(spark: SparkSession, d: str) -> DataFrame:
     """The decision table over kind, status and message."""
-    r = plain_records(spark, d)
-    e = table(spark, d, "records", "record_id", "validation_error").where("record_id is not null").groupBy("record_id").agg(F.min("validation_error").alias("err"))
+    r = plain_records(spark, d, "kind", "validation_status", "validation_error").withColumnRenamed("validation_error", "err")
     s, m = F.lower(F.trim("validation_status")), F.lower("err")
     k = (
         F.when(F.col("kind") == "rst_gdscript", "not_required").when((s == "passed") & F.col("err").isNotNull(), "passed_with_context").when(s == "passed", "passed")
         .when((s == "failed") & m.rlike("missing resource|autoload|not known|could not be resolved"), "context_only").when((s == "failed") & m.rlike("timeout"), "retry")
         .when(s == "failed", "rejected").otherwise("pending")
     )
-    return r.join(e, "record_id").select("record_id", k.alias("decision"))
+    return r.select("record_id", k.alias("decision"))
 
 
 @query(f"""WITH {STG}, l AS (SELECT staged_path, text, string_split(text, chr(10)) AS ls FROM stg WHERE text IS NOT NULL)
@@ -60,18 +59,21 @@ SELECT staged_path, CAST(len(list_filter(ls, lambda x: trim(x) <> '' AND NOT sta
  len(list_filter(ls, lambda x: trim(x) NOT IN ('', 'pass', 'return') AND NOT starts_with(ltrim(x), '#'))) = 0 AS is_trivial FROM l""")
 def completion_substance(spark: SparkSession, d: str) -> DataFrame:
     """Code lines, substance score and triviality of a text taken as a completion."""
-    x = staged(spark, d).where("text is not null").withColumn("l", F.split("text", "\n"))
-    code = F.filter("l", lambda s: (F.trim(s) != "") & ~F.ltrim(s).startswith("#"))
-    real = F.filter("l", lambda s: ~F.trim(s).isin("", "pass", "return") & ~F.ltrim(s).startswith("#"))
-    return x.select("staged_path", F.size(code).cast("long").alias("code_lines"), F.round(F.least(F.lit(1.0), F.size(code) / 3.0), 6).alias("substance"), (F.size(real) == 0).alias("is_trivial"))
+    code = F.filter(F.split("text", "\n"), lambda s: (F.trim(s) != "") & ~F.ltrim(s).startswith("#"))
+    facts = F.transform(F.array(code), lambda c: F.struct(F.size(c).alias("n"), F.size(F.filter(c, lambda s: ~F.trim(s).isin("pass", "return"))).alias("real")))[0]
+    x = per_text(spark, d, f=facts).select("staged_path", "f.*")
+    return x.select("staged_path", F.col("n").cast("long").alias("code_lines"), F.round(F.least(F.lit(1.0), F.col("n") / 3.0), 6).alias("substance"), (F.col("real") == 0).alias("is_trivial"))
 
 
-@query("""WITH t AS (SELECT source, min(lower(title)) AS a, max(lower(title)) AS b FROM documents WHERE title IS NOT NULL AND source IS NOT NULL GROUP BY source), w AS (SELECT source, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM t)
+@query(r"""WITH t AS (SELECT source, min_by(text, struct_pack(a := doc_id, b := text)) AS a, max_by(text, struct_pack(a := doc_id, b := text)) AS b FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source),
+ w AS (SELECT source, regexp_split_to_array(a, '[ \t\n\r\f\x0B]+') AS x, regexp_split_to_array(b, '[ \t\n\r\f\x0B]+') AS y FROM t)
 SELECT source, CAST(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i])) AS BIGINT) AS same, round(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i])) / len(y), 6) AS ratio FROM w""")
 def positional_match_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Equal positions of a generated and a reference token row, here of a source's first and last title."""
-    t = table(spark, d, "documents", "source", "title").where("title is not null and source is not null").groupBy("source").agg(F.min(F.lower("title")).alias("a"), F.max(F.lower("title")).alias("b"))
-    x, y = F.split("a", " "), F.split("b", " ")
+    """FN-49. Share of a reference's tokens that stand at the same place in a generated row; here the last
+    against the first whole text of every source. The two are found by aggregates with map-side combining."""
+    o = F.struct("doc_id", "text")
+    t = table(spark, d, "documents", "source", "text", "doc_id").where("text is not null and source is not null and doc_id is not null").groupBy("source").agg(F.min_by("text", o).alias("a"), F.max_by("text", o).alias("b"))
+    x, y = F.split("a", r"[ \t\n\r\f\x0B]+"), F.split("b", r"[ \t\n\r\f\x0B]+")
     same = F.size(F.filter(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), lambda z: z))
     return t.select("source", same.cast("long").alias("same"), F.round(same / F.size(y), 6).alias("ratio"))
 
@@ -92,7 +94,7 @@ SELECT ext, count(*) AS files, count(*) FILTER (regexp_matches(name, 'secret|cre
 def file_classes(spark: SparkSession, d: str) -> DataFrame:
     """Files by ending, with those whose names tell secrets or executables."""
     name = F.lower(F.regexp_extract("original_path", "([^/]*)$", 1))
-    x = plain_records(spark, d).where("original_path is not null").select(F.regexp_extract("original_path", "[.]([a-z]+)(#.*)?$", 1).alias("ext"), name.alias("name"))
+    x = plain_records(spark, d, "original_path").where("original_path is not null").select(F.regexp_extract("original_path", "[.]([a-z]+)(#.*)?$", 1).alias("ext"), name.alias("name"))
     c = F.col("name")
     return x.groupBy("ext").agg(
         F.count("*").alias("files"),
@@ -105,19 +107,21 @@ def file_classes(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM (SELECT doc_id, min(text) AS text FROM documents WHERE doc_kind = 'log' AND text IS NOT NULL GROUP BY doc_id)), e AS (SELECT doc_id, i, array_to_string(ls[greatest(i - 1, 1):i + 2], ' ') AS block FROM l, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(lower(ls[i]), 'error|failed|warn'))
 SELECT doc_id, count(*) AS lines, min(i) AS first_line, min_by(substr(block, 1, 700), i) AS first_block FROM e GROUP BY doc_id""")
 def error_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The first error of a log with the line before and the two after it."""
+    """WIN-06. The error lines of a log: how many, the first, and it with the line before and the two after,
+    700 characters of them at most, as the report has it. Made within the row: no line is exploded."""
     t = table(spark, d, "documents", "doc_id", "text", "doc_kind").where("doc_kind = 'log' and text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    x = t.select("doc_id", F.split("text", "\n").alias("ls")).select("doc_id", "ls", F.posexplode("ls").alias("p", "line")).where(F.lower("line").rlike("error|failed|warn"))
-    i = F.col("p") + 1
-    x = x.select("doc_id", i.cast("long").alias("i"), F.array_join(F.slice("ls", F.greatest(i - 1, F.lit(1)), F.when(i > 1, 4).otherwise(3)), " ").alias("block"))
-    return x.groupBy("doc_id").agg(F.count("*").alias("lines"), F.min("i").alias("first_line"), F.min_by(F.substring("block", 1, 700), "i").alias("first_block"))
+    at = F.filter(F.transform("ls", lambda x, i: F.when(F.lower(x).rlike("error|failed|warn"), i + 1)), lambda i: i.isNotNull())
+    x = t.select("doc_id", F.split("text", "\n").alias("ls")).select("doc_id", "ls", at.alias("at")).where(F.size("at") > 0)
+    i = F.col("at")[0]
+    block = F.array_join(F.slice("ls", F.greatest(i - 1, F.lit(1)), F.when(i > 1, 4).otherwise(3)), " ")
+    return x.select("doc_id", F.size("at").cast("long").alias("lines"), i.cast("long").alias("first_line"), F.substring(block, 1, 700).alias("first_block"))
 
 
 @query(f"""WITH {REC}, n AS (SELECT source_id, coalesce(nullif(trim(project_root), ''), 'none') AS project, count(*) AS records FROM rec GROUP BY 1, 2)
 SELECT source_id, project, records, rn FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY records DESC, project) AS rn FROM n) WHERE rn <= 2""")
 def largest_projects(spark: SparkSession, d: str) -> DataFrame:
     """The two largest projects of every source; the rank is the feature."""
-    n = plain_records(spark, d).groupBy("source_id", F.coalesce(F.nullif(F.trim("project_root"), F.lit("")), F.lit("none")).alias("project")).agg(F.count("*").alias("records"))
+    n = plain_records(spark, d, "source_id", "project_root").groupBy("source_id", F.coalesce(F.nullif(F.trim("project_root"), F.lit("")), F.lit("none")).alias("project")).agg(F.count("*").alias("records"))
     return n.withColumn("rn", F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("records"), "project")).cast("long")).where("rn <= 2")
 
 
@@ -128,11 +132,10 @@ def top_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("class").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")).orderBy(F.desc("n"), "class").limit(5)
 
 
-@query(f"""WITH {REC} SELECT coalesce(source_id, 'none') AS source_id, CAST(sum(coalesce(bytes, 0)) AS BIGINT) AS stated, CAST(sum(coalesce(real, 0)) AS BIGINT) AS real, count(*) FILTER (coalesce(bytes, 0) <> coalesce(real, 0)) AS differing FROM rec LEFT JOIN (SELECT staged_path AS sp, strlen(min(text)) AS real FROM staged_files WHERE staged_path IS NOT NULL GROUP BY staged_path) ON sp = staged_path GROUP BY 1""")
+@query(f"""WITH {REC}, {STG} SELECT coalesce(source_id, 'none') AS source_id, CAST(sum(coalesce(bytes, 0)) AS BIGINT) AS stated, CAST(sum(coalesce(real, 0)) AS BIGINT) AS real, count(*) FILTER (coalesce(bytes, 0) <> coalesce(real, 0)) AS differing FROM rec LEFT JOIN (SELECT staged_path AS sp, strlen(text) AS real FROM stg) ON sp = staged_path GROUP BY 1""")
 def stated_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Stated against real sizes per source."""
-    s = staged(spark, d).select("staged_path", F.octet_length("text").alias("real"))
-    r = plain_records(spark, d).join(s, "staged_path", "left")
+    r = plain_records(spark, d, "source_id", "bytes", "staged_path").join(per_text(spark, d, real=F.octet_length("text")), "staged_path", "left")
     b, x = F.coalesce("bytes", F.lit(0)), F.coalesce("real", F.lit(0))
     return r.groupBy(F.coalesce("source_id", F.lit("none")).alias("source_id")).agg(F.sum(b).alias("stated"), F.sum(x).cast("long").alias("real"), F.count_if(b != x).alias("differing"))
 

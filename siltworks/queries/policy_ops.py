@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import scan as S
 from siltworks.functions.ident import record_id
-from siltworks.queries.corpus import REC, STG, plain_records, staged
+from siltworks.queries.corpus import REC, plain_records
 from siltworks.queries.registering import Registry
 from siltworks.session import spread
-from siltworks.sources.tables import SPLIT_SQL, split_name, table
+from siltworks.sources.tables import SPLIT_SQL, STG, one_per_key, per_text, split_name, table
 
 query = Registry()
 
@@ -46,7 +46,7 @@ SELECT kind, status, count(*) AS n FROM (SELECT t.kind, CASE WHEN f.staged_path
  UNION ALL SELECT 'raw', 'unlisted' FROM f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.staged_path = f.staged_path) UNION ALL SELECT 'skipped', coalesce(split_part(reason, ':', 1), 'unknown') FROM skipped) GROUP BY kind, status""")
 def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
     """Listed, missing, unlisted and skipped files, counted by kind and status."""
-    t = plain_records(spark, d).where("staged_path is not null").select("staged_path")
+    t = plain_records(spark, d, "staged_path").where("staged_path is not null").select("staged_path")
     f = table(spark, d, "staged_files", "staged_path").where("staged_path is not null").distinct()
     a = t.join(f.withColumn("there", F.lit(1)), "staged_path", "left").select(F.lit("training").alias("kind"), F.when(F.col("there").isNull(), "missing").otherwise("ready").alias("status"))
     b = f.join(t, "staged_path", "left_anti").select(F.lit("raw").alias("kind"), F.lit("unlisted").alias("status"))
@@ -54,25 +54,10 @@ def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT DISTINCT lower(title) AS title FROM documents WHERE title IS NOT NULL AND split = 'test' AND length(title) >= 16), g AS (SELECT title, unnest(list_distinct(list_transform(range(1, length(title) - 14), lambda i: substr(title, i, 16)))) AS gram FROM p),
- c AS (SELECT DISTINCT lower(title) AS title FROM documents WHERE title IS NOT NULL AND split = 'train' AND length(title) >= 16), h AS (SELECT DISTINCT title, substr(title, i, 16) AS gram FROM c, unnest(range(1, length(title) - 14)) AS u(i)),
- k AS (SELECT gram, count(DISTINCT title) AS texts FROM h GROUP BY gram) SELECT g.title, count(*) FILTER (coalesce(texts, 0) BETWEEN 1 AND 2) AS present, count(*) FILTER (coalesce(texts, 0) <= 2) AS distinctive,
- round(CASE WHEN count(*) FILTER (coalesce(texts, 0) <= 2) = 0 THEN 0 ELSE count(*) FILTER (coalesce(texts, 0) BETWEEN 1 AND 2) / count(*) FILTER (coalesce(texts, 0) <= 2) END, 6) AS leak FROM g LEFT JOIN k USING (gram) GROUP BY g.title""")
-def title_leak_index(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a test title's distinctive 16-grams (in at most two train titles) that train titles hold."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("title") - 15), lambda i: F.substr("title", i, F.lit(16))))
-    t = table(spark, d, "documents", "title", "split").where("title is not null and length(title) >= 16").select(F.lower("title").alias("title"), "split").distinct()
-    g = t.where("split = 'test'").select("title", F.explode(grams).alias("gram"))
-    k = t.where("split = 'train'").select("title", F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
-    x = g.join(k, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-    a = x.groupBy("title").agg(F.count_if(F.col("texts").between(1, 2)).alias("present"), F.count_if(F.col("texts") <= 2).alias("distinctive"))
-    return a.withColumn("leak", F.round(F.when(F.col("distinctive") == 0, 0.0).otherwise(F.col("present") / F.col("distinctive")), 6))
-
-
 @query(f"""WITH {REC}, x AS (SELECT kind AS tier, lower(trim(validation_status)) AS s FROM rec) SELECT tier, count(*) AS cases, count(*) FILTER (s = 'passed') AS passed, count(*) FILTER (s = 'failed') AS failed, round(count(*) FILTER (s = 'passed') / count(*), 6) AS rate FROM x GROUP BY ROLLUP (tier)""")
 def benchmark_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Cases, passes and rates per tier and overall."""
-    x = plain_records(spark, d).select(F.col("kind").alias("tier"), F.lower(F.trim("validation_status")).alias("s"))
+    x = plain_records(spark, d, "kind", "validation_status").select(F.col("kind").alias("tier"), F.lower(F.trim("validation_status")).alias("s"))
     p = F.count_if(F.col("s") == "passed")
     return x.rollup("tier").agg(F.count("*").alias("cases"), p.alias("passed"), F.count_if(F.col("s") == "failed").alias("failed"), F.round(p / F.count("*"), 6).alias("rate"))
 
@@ -81,7 +66,7 @@ def benchmark_rollup(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) AS checks, count(*) FILTER (verdict = 'FALSIFIED') AS falsified, CASE WHEN bool_or(verdict = 'FALSIFIED') THEN 'FALSIFIED' WHEN bool_or(verdict = 'UNRESOLVED') AND NOT bool_or(verdict = 'VERIFIED') THEN 'UNRESOLVED' ELSE 'VERIFIED' END AS overall FROM v""")
 def overall_verdict(spark: SparkSession, d: str) -> DataFrame:
     """A verdict per source and the one over all."""
-    c = plain_records(spark, d).select("source_id", F.lower(F.trim("validation_status")).alias("s"))
+    c = plain_records(spark, d, "source_id", "validation_status").select("source_id", F.lower(F.trim("validation_status")).alias("s"))
     g = c.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("s") == "failed").alias("f"), F.count_if(F.col("s") == "passed").alias("p"))
     v = g.select(F.when(F.col("f") > F.col("n") * 0.1, "FALSIFIED").when(F.col("p") == 0, "UNRESOLVED").otherwise("VERIFIED").alias("v"))
     has = lambda x: F.bool_or(F.col("v") == x)
@@ -89,10 +74,10 @@ def overall_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {REC} SELECT record_id, CASE WHEN validation_error IS NULL THEN 'none' WHEN regexp_matches(lower(validation_error), 'timeout') THEN 'timeout' WHEN regexp_matches(lower(validation_error), 'missing resource|autoload|not known|could not be resolved') THEN 'context' WHEN regexp_matches(lower(validation_error), 'unexpected|expected|parse|syntax|unterminated|parser') THEN 'syntax' ELSE 'other' END AS class,
- coalesce(TRY_CAST(regexp_extract(validation_error, '(?:line |at |:)([0-9]+)', 1) AS BIGINT), -1) AS line FROM (SELECT record_id, min(validation_error) AS validation_error FROM records WHERE record_id IS NOT NULL GROUP BY record_id)""")
+ coalesce(TRY_CAST(regexp_extract(validation_error, '(?:line |at |:)([0-9]+)', 1) AS BIGINT), -1) AS line FROM rec""")
 def parser_error_classes(spark: SparkSession, d: str) -> DataFrame:
     """The class of a validator's message and the line it names."""
-    r = table(spark, d, "records", "record_id", "validation_error").where("record_id is not null").groupBy("record_id").agg(F.min("validation_error").alias("e"))
+    r = plain_records(spark, d, "validation_error").withColumnRenamed("validation_error", "e")
     x = F.lower("e")
     k = (
         F.when(F.col("e").isNull(), "none").when(x.rlike("timeout"), "timeout").when(x.rlike("missing resource|autoload|not known|could not be resolved"), "context")
@@ -105,8 +90,8 @@ def parser_error_classes(spark: SparkSession, d: str) -> DataFrame:
 def instruction_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Completion and repair tasks of function blocks, two per file at most, the cap being the feature. No
     SQL: blocks are told by indentation; tested against fixtures."""
-    r = plain_records(spark, d).select(split_name("split").alias("split"), "staged_path", "original_path").where("split is not null")
-    s = staged(spark, d).where(F.col("staged_path").endswith(".gd") & F.col("text").isNotNull())
+    r = plain_records(spark, d, "split", "staged_path", "original_path").select(split_name("split").alias("split"), "staged_path", "original_path").where("split is not null")
+    s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").endswith(".gd") & F.col("text").isNotNull())
 
     def tasks(batches):
         import pandas as pd
@@ -123,10 +108,12 @@ def instruction_tasks(spark: SparkSession, d: str) -> DataFrame:
                     broken = code.replace(":\n", "\n", 1)
                     if broken != code:
                         made.append((path, k, "repair", broken, code))
-                rows += made[:2]
-            yield pd.DataFrame(rows, columns=["staged_path", "block", "task_type", "input", "output"])
+                rows += [(path, S._sha(text), made[:2])]
+            yield pd.DataFrame(rows, columns=["staged_path", "sha", "made"])
 
-    t = spread(s).mapInPandas(tasks, "staged_path string, block int, task_type string, input string, output string")
+    one = "struct<staged_path:string,block:int,task_type:string,input:string,output:string>"
+    t = one_per_key(spread(s).mapInPandas(tasks, f"staged_path string, sha string, made array<{one}>"), "staged_path", "sha", "made")
+    t = t.select(F.explode("made").alias("m")).select("m.*")
     j = t.join(r, "staged_path")
     return j.select(record_id(F.col("split"), F.col("task_type"), F.col("input")).alias("task_id"), "split", "task_type", "original_path", "block", "input", "output")
 
@@ -172,17 +159,13 @@ def probe_matrix(spark: SparkSession, d: str) -> DataFrame:
 SELECT staged_path, count(*) AS lines, count(*) FILTER (trim(line) = '') AS blank, count(*) FILTER (starts_with(ltrim(line), '#')) AS comments, max(length(line)) AS longest, bool_or(starts_with(line, chr(9))) AND bool_or(starts_with(line, '    ')) AS mixed_indent, count(*) FILTER (regexp_matches(line, '^(<<<<<<<|>>>>>>>)')) AS merge_marks FROM l GROUP BY staged_path""")
 def static_line_checks(spark: SparkSession, d: str) -> DataFrame:
     """Line statistics and line-wise warnings of every text, computed within the row: nothing is exploded."""
-    x = staged(spark, d).where("text is not null").withColumn("l", F.split("text", "\n"))
-    n = lambda f: F.size(F.filter("l", f)).cast("long")
-    return x.select(
-        "staged_path",
-        F.size("l").cast("long").alias("lines"),
-        n(lambda s: F.trim(s) == "").alias("blank"),
-        n(lambda s: F.ltrim(s).startswith("#")).alias("comments"),
-        F.array_max(F.transform("l", F.length)).cast("long").alias("longest"),
-        (F.exists("l", lambda s: s.startswith("\t")) & F.exists("l", lambda s: s.startswith("    "))).alias("mixed_indent"),
-        n(lambda s: s.rlike("^(<<<<<<<|>>>>>>>)")).alias("merge_marks"),
-    )
+    n = lambda l, f: F.size(F.filter(l, f)).cast("long")  # noqa: E731, E741
+    facts = F.transform(F.array(F.split("text", "\n")), lambda l: F.struct(  # noqa: E741
+        F.size(l).cast("long").alias("lines"), n(l, lambda s: F.trim(s) == "").alias("blank"), n(l, lambda s: F.ltrim(s).startswith("#")).alias("comments"),
+        F.array_max(F.transform(l, F.length)).cast("long").alias("longest"), (F.exists(l, lambda s: s.startswith("\t")) & F.exists(l, lambda s: s.startswith("    "))).alias("mixed_indent"),
+        n(l, lambda s: s.rlike("^(<<<<<<<|>>>>>>>)")).alias("merge_marks"),
+    ))[0]
+    return per_text(spark, d, f=facts).select("staged_path", "f.*")
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from siltworks.functions import masking as M
 from siltworks.functions import text as T
 from siltworks.functions.paths import canonical_path
-from siltworks.queries.corpus import REC, STG, plain_records, staged
+from siltworks.queries.corpus import REC, plain_records
 from siltworks.queries.registering import Registry
-from siltworks.sources.tables import table
+from siltworks.sources.tables import STG, per_text, table
 
 query = Registry()
 
+#: Hosts that files are fetched from.
+HOSTS = ["github.com", "codeload.github.com", "gitlab.com", "bitbucket.org"]
 #: Folder names a scan leaves out (addons unless the source allows it), in SQL and Spark.
-EXCLUDED = [".git", ".godot", ".import", ".mono", "__pycache__", "addons", "bin", "build", "dist", "exported", "node_modules", "obj", "third_party", "thirdparty", "vendor"]
+EXCLUDED = [".git", ".godot", ".import", "node_modules", "thirdparty", "third_party", "vendor", "build", "dist", "bin", "obj", "coverage", "__pycache__", "addons"]
 _EX = "[" + ", ".join(f"'{x}'" for x in EXCLUDED) + "]"
 
 
@@ -24,7 +26,7 @@ SELECT record_id, len(list_filter(parts, lambda x: x = 'addons' AND NOT coalesce
 def path_excluded(spark: SparkSession, d: str) -> DataFrame:
     """Whether a folder of the path is in the excluded set or hidden; addons is admitted per source."""
     s = table(spark, d, "sources", "id", "allow_addons")
-    r = plain_records(spark, d).where("original_path is not null").join(F.broadcast(s), F.col("source_id") == F.col("id"), "left")  # sources is a fixed list
+    r = plain_records(spark, d, "original_path", "source_id").where("original_path is not null").join(F.broadcast(s), F.col("source_id") == F.col("id"), "left")  # sources is a fixed list
     parts = F.transform(F.split("original_path", "/"), F.lower)
     parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     names = [x for x in EXCLUDED if x != "addons"]
@@ -37,7 +39,7 @@ SELECT record_id, (coalesce(len(inc), 0) = 0 OR len(list_filter(inc, lambda x: p
 def path_included(spark: SparkSession, d: str) -> DataFrame:
     """Whether the path below the project lies under the source's include prefixes and under no exclude."""
     s = table(spark, d, "sources", "id", "include_paths", "exclude_paths")
-    r = plain_records(spark, d).where("original_path is not null").join(F.broadcast(s), F.col("source_id") == F.col("id"))
+    r = plain_records(spark, d, "original_path", "source_id").where("original_path is not null").join(F.broadcast(s), F.col("source_id") == F.col("id"))
     path = F.regexp_replace("original_path", "^[^/]*/", "")
     under = lambda x: (path == x) | F.startswith(path, F.concat(x, F.lit("/")))
     empty = F.array().cast("array<string>")
@@ -45,12 +47,16 @@ def path_included(spark: SparkSession, d: str) -> DataFrame:
     return r.select("record_id", (((F.size(inc) == 0) | F.exists(inc, under)) & ~F.exists(exc, under)).alias("included"))
 
 
-@query(f"WITH {STG} SELECT staged_path, CAST(strlen(text) AS BIGINT) AS bytes, strlen(text) > 2048 AS oversized, CAST(round_even(strlen(text) / 3.11, 0) AS BIGINT) AS estimated_tokens FROM stg WHERE text IS NOT NULL")
+#: Bytes of a script that a scan reads, and that training takes.
+SCAN_BYTES, TRAIN_BYTES = 256 * 1024, 4 * 1024 * 1024
+
+
+@query(f"WITH {STG} SELECT staged_path, CAST(strlen(text) AS BIGINT) AS bytes, strlen(text) > 262144 AS not_scanned, strlen(text) > 4194304 AS not_trained, CAST(round_even(strlen(text) / 3.11, 0) AS BIGINT) AS estimated_tokens FROM stg")
 def size_limits(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes, whether they pass a limit, and the token estimate (bytes / 3.11, half to even)."""
-    b = F.octet_length("text")
-    return staged(spark, d).where("text is not null").select(
-        "staged_path", b.cast("long").alias("bytes"), (b > 2048).alias("oversized"), F.bround(b / F.lit(3.11), 0).cast("long").alias("estimated_tokens")
+    """FLT-03, FN-27. Bytes, whether they pass the limits, and the token estimate (bytes / 3.11, half to even)."""
+    b = F.col("bytes")
+    return per_text(spark, d, bytes=F.octet_length("text").cast("long")).select(
+        "staged_path", "bytes", (b > SCAN_BYTES).alias("not_scanned"), (b > TRAIN_BYTES).alias("not_trained"), F.bround(b / F.lit(3.11), 0).cast("long").alias("estimated_tokens")
     )
 
 
@@ -88,7 +94,7 @@ def registry_merge(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, enabled, verified, coalesce(records, 0) AS records, coalesce(roots, 0) AS roots, CASE WHEN NOT enabled THEN 'disabled' WHEN records IS NULL THEN 'not-fetched' WHEN verified THEN 'ready' ELSE 'unverified' END AS status FROM sources LEFT JOIN n ON source_id = id""")
 def source_status(spark: SparkSession, d: str) -> DataFrame:
     """Registry rows with what was fetched for them."""
-    n = plain_records(spark, d).groupBy("source_id").agg(F.count("*").alias("records"), F.countDistinct(F.nullif(F.trim("project_root"), F.lit(""))).alias("roots"))
+    n = plain_records(spark, d, "source_id", "project_root").groupBy("source_id").agg(F.count("*").alias("records"), F.countDistinct(F.nullif(F.trim("project_root"), F.lit(""))).alias("roots"))
     s = table(spark, d, "sources", "id", "enabled", "verified").join(n, F.col("source_id") == F.col("id"), "left")
     status = F.when(~F.col("enabled"), "disabled").when(F.col("records").isNull(), "not-fetched").when(F.col("verified"), "ready").otherwise("unverified")
     return s.select("id", "enabled", "verified", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("roots", F.lit(0)).alias("roots"), status.alias("status"))
@@ -117,30 +123,36 @@ def license_markers(spark: SparkSession, d: str) -> DataFrame:
     return f.select("repo", F.explode(hit).alias("license")).groupBy("license").agg(F.count("*").alias("files"), F.countDistinct("repo").alias("repos"))
 
 
-_KINDS = {k: p for k, p in M.KINDS.items()}
-_KS = " UNION ALL ".join(f"SELECT '{k}' AS kind, staged_path, text, '{p.replace(chr(39), chr(39) * 2)}' AS pat FROM stg" for k, p in _KINDS.items())
+_KS = " UNION ALL ".join(f"SELECT '{k}' AS kind, staged_path, text, '{p.replace(chr(39), chr(39) * 2)}' AS pat FROM stg" for k, p in M.KINDS.items())
 
 
 @query(f"""WITH {STG}, x AS ({_KS}) SELECT kind, count(*) AS files, CAST(sum(n) AS BIGINT) AS hits, CAST(sum(first_line) AS BIGINT) AS first_lines FROM (
  SELECT kind, len(regexp_extract_all(text, pat)) AS n, length(string_split(text, regexp_extract(text, pat))[1]) - length(replace(string_split(text, regexp_extract(text, pat))[1], chr(10), '')) + 1 AS first_line FROM x WHERE regexp_matches(text, pat)) GROUP BY kind""")
 def secret_scan_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Files and hits of each pattern of the plain secret scan, and the sum of their first lines."""
-    s = staged(spark, d).where("text is not null")
-    x = s.select("text", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pat")) for k, p in _KINDS.items()])).alias("k")).select("text", "k.*")
-    x = x.where(F.expr("text rlike pat")).withColumn("head", F.expr("substring_index(text, regexp_substr(text, pat), 1)"))
-    line = F.length("head") - F.length(F.replace("head", F.lit("\n"), F.lit(""))) + 1
-    return x.groupBy("kind").agg(F.count("*").alias("files"), F.sum(F.expr("regexp_count(text, pat)")).alias("hits"), F.sum(line).cast("long").alias("first_lines"))
+    """FLT-09. Files and hits of each pattern of the plain secret scan, and the sum of their first lines.
+    Texts are scanned where they are read; only hits move."""
+    text = F.col("text")
+
+    def hit(kind: str, pat: str):
+        head = F.substr(text, F.lit(1), F.regexp_instr(text, F.lit(pat)) - 1)
+        line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+        return F.when(text.rlike(pat), F.struct(F.lit(kind).alias("kind"), F.regexp_count(text, F.lit(pat)).alias("n"), line.alias("line")))
+
+    found = F.filter(F.array(*[hit(k, p) for k, p in M.KINDS.items()]), lambda x: x.isNotNull())
+    x = per_text(spark, d, found=found).select(F.explode("found").alias("f")).select("f.*")
+    return x.groupBy("kind").agg(F.count("*").alias("files"), F.sum("n").cast("long").alias("hits"), F.sum("line").cast("long").alias("first_lines"))
 
 
-@query(f"WITH {STG} SELECT staged_path, {M.masked_sql('text')} AS masked FROM stg WHERE text IS NOT NULL AND {M.masked_sql('text')} <> text")
+@query(f"WITH {STG}, m AS (SELECT staged_path, text, {M.masked_sql('text')} AS masked FROM stg) SELECT staged_path, masked FROM m WHERE masked <> text")
 def mask_secrets(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that the masking of secrets changes, masked."""
-    s = staged(spark, d).where("text is not null").withColumn("masked", M.masked(F.col("text")))
-    return s.where("masked <> text").select("staged_path", "masked")
+    """FN-39. Texts that the masking of secrets changes, masked; the others don't move."""
+    m = M.masked(F.col("text"))
+    return per_text(spark, d, masked=F.transform(F.array(m), lambda x: F.when(x != F.col("text"), x))[0]).where("masked is not null")
 
 
 @query("""SELECT id, CASE WHEN url IS NULL THEN 'missing' WHEN length(url) > 2048 THEN 'too-long' WHEN NOT starts_with(url, 'https://') THEN 'not-https' WHEN contains(regexp_extract(url, '^https://([^/]*)', 1), '@') THEN 'credentials'
- WHEN contains(url, '?') THEN 'query' WHEN contains(url, '#') THEN 'fragment' WHEN regexp_matches(regexp_extract(url, '^https://([^/]*)', 1), ':[0-9]+$') AND NOT regexp_matches(url, '^https://[^/]*:443(/|$)') THEN 'port' ELSE 'ok' END AS policy,
+ WHEN contains(url, '?') THEN 'query' WHEN contains(url, '#') THEN 'fragment' WHEN regexp_matches(regexp_extract(url, '^https://([^/]*)', 1), ':[0-9]+$') AND NOT regexp_matches(url, '^https://[^/]*:443(/|$)') THEN 'port'
+ WHEN lower(regexp_extract(url, '^https://([^/:]*)', 1)) NOT IN ('github.com', 'codeload.github.com', 'gitlab.com', 'bitbucket.org') THEN 'host' ELSE 'ok' END AS policy,
  regexp_extract(url, '^https://(?:[^/@]*@)?([^/:]*)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS shown FROM sources""")
 def url_policy(spark: SparkSession, d: str) -> DataFrame:
     """Which rule an address breaks, its host, and the address as it may be logged."""
@@ -149,7 +161,8 @@ def url_policy(spark: SparkSession, d: str) -> DataFrame:
     policy = (
         F.when(u.isNull(), "missing").when(F.length(u) > 2048, "too-long").when(~u.startswith("https://"), "not-https").when(F.contains(host, F.lit("@")), "credentials")
         .when(F.contains(u, F.lit("?")), "query").when(F.contains(u, F.lit("#")), "fragment")
-        .when(host.rlike(":[0-9]+$") & ~u.rlike("^https://[^/]*:443(/|$)"), "port").otherwise("ok")
+        .when(host.rlike(":[0-9]+$") & ~u.rlike("^https://[^/]*:443(/|$)"), "port")
+        .when(~F.lower(F.regexp_extract(u, "^https://([^/:]*)", 1)).isin(HOSTS), "host").otherwise("ok")
     )
     return table(spark, d, "sources", "id", "url").select("id", policy.alias("policy"), F.regexp_extract(u, "^https://(?:[^/@]*@)?([^/:]*)", 1).alias("host"), F.regexp_replace(u, "[?#].*$", "").alias("shown"))
 

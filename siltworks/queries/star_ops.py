@@ -43,9 +43,9 @@ def join_semi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer", "c_custkey").join(table(spark, d, "orders", "o_custkey", "o_totalprice").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def join_anti(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer", "c_custkey", "c_mktsegment").join(table(spark, d, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return table(spark, d, "customer", "c_custkey", "c_mktsegment").join(table(spark, d, "orders", "o_custkey", "o_totalprice").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT coalesce(p_partkey, l_partkey) AS partkey, count(l_partkey) AS lines, p_partkey IS NULL AS unknown FROM part FULL JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 45 GROUP BY 1, 3")
@@ -97,9 +97,10 @@ def setop_intersect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def setop_except(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+    o = table(spark, d, "orders", "o_custkey", "o_orderstatus")
+    return o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).subtract(o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT 'customer' AS kind, c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_nationkey FROM supplier")

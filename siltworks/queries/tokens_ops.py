@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.ident import multiset_fingerprint, multiset_fingerprint_sql
 from siltworks.operators import packing
-from siltworks.queries.corpus import REC, STG, plain_records, staged
+from siltworks.queries.corpus import REC, plain_records
 from siltworks.queries.registering import Registry
-from siltworks.sources.tables import SPLIT_SQL, split_name, table
+from siltworks.sources.tables import SPLIT_SQL, STG, per_text, split_name, table
 
 query = Registry()
 #: Fixed value: special tokens before the 256 bytes.
@@ -21,11 +21,11 @@ _DOC = f"""{REC}, {STG}, doc AS (SELECT r.record_id, {SPLIT_SQL.format(c="r.spli
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """record_id, split, path, text and the tokens of the framed document: file mark, path line, text,
-    line ends, begin and end."""
-    r = plain_records(spark, d).select("record_id", split_name("split").alias("split"), F.col("original_path").alias("path"), "staged_path").where("path is not null")
-    x = r.join(staged(spark, d).where("text is not null"), "staged_path")
-    return x.select("record_id", "split", "path", "text", (F.octet_length("text") + F.octet_length(F.concat(F.lit("# file: "), "path")) + 5).cast("long").alias("tokens"))
+    """record_id, split, path, sha (of the text) and the tokens of the framed document: file mark, path line,
+    text, line ends, begin and end. Texts are measured where they are read."""
+    r = plain_records(spark, d, "original_path", "staged_path", "split").select("record_id", split_name("split").alias("split"), F.col("original_path").alias("path"), "staged_path").where("path is not null")
+    x = r.join(per_text(spark, d, bytes=F.octet_length("text"), sha=F.sha2("text", 256)), "staged_path")
+    return x.select("record_id", "split", "path", "sha", (F.col("bytes") + F.octet_length(F.concat(F.lit("# file: "), "path")) + 5).cast("long").alias("tokens"))
 
 
 @query(f"WITH {_DOC} SELECT split, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS longest FROM doc GROUP BY split")
@@ -34,19 +34,11 @@ def byte_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).groupBy("split").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
 
 
-@query(f"WITH h AS (SELECT DISTINCT title, hex(encode(title)) AS x FROM documents WHERE title IS NOT NULL) SELECT title, list_transform(range(1, CAST(length(x) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT) + {SPECIALS})::VARCHAR AS ids FROM h")
-def byte_token_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Byte token ids of titles."""
-    h = table(spark, d, "documents", "title").where("title is not null").distinct().withColumn("x", F.hex(F.encode("title", "UTF-8")))
-    ids = F.transform(F.sequence(F.lit(1), (F.length("x") / 2).cast("int")), lambda i: F.conv(F.substr("x", 2 * i - 1, F.lit(2)), 16, 10).cast("long") + SPECIALS)
-    return h.select("title", F.concat(F.lit("["), F.array_join(F.when(F.col("x") == "", F.array().cast("array<bigint>")).otherwise(ids).cast("array<string>"), ", "), F.lit("]")).alias("ids"))
-
-
 @query(f"WITH {_DOC} SELECT record_id, split, tokens, CAST(sum(tokens) OVER (PARTITION BY split ORDER BY path, record_id) - tokens AS BIGINT) AS global_offset FROM doc")
 def doc_global_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where every document begins in the stream of its split, in path order. Running sums are taken over
     range partitions and then joined with the partitions' offsets, so no split is one task."""
-    return packing.offsets(docs(spark, d).drop("text"), "split", ["path", "record_id"], "tokens", "global_offset").select("record_id", "split", "tokens", "global_offset")
+    return packing.offsets(docs(spark, d), "split", ["path", "record_id"], "tokens", "global_offset").select("record_id", "split", "tokens", "global_offset")
 
 
 @query(f"""WITH RECURSIVE {_DOC}, o AS (SELECT record_id, split, tokens, row_number() OVER (PARTITION BY split ORDER BY path, record_id) AS rn FROM doc),
@@ -55,8 +47,8 @@ def doc_global_offsets(spark: SparkSession, d: str) -> DataFrame:
   FROM f JOIN o ON o.split IS NOT DISTINCT FROM f.split AND o.rn = f.rn + 1)
 SELECT record_id, split, shard, shard_offset, tokens FROM f""")
 def shard_packing(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy next-fit shards in path order: a document that would pass the target begins a new shard."""
-    return packing.next_fit(docs(spark, d).drop("text"), "split", ["path", "record_id"], "tokens", SHARD).select("record_id", "split", "shard", "shard_offset", "tokens")
+    """STR-01. Greedy next-fit shards in path order: a document that would pass the target begins a new shard."""
+    return packing.next_fit(docs(spark, d), "split", ["path", "record_id"], "tokens", SHARD).select("record_id", "split", "shard", "shard_offset", "tokens")
 
 
 @query(f"WITH {_DOC} SELECT split, count(*) AS documents, CAST(sum(CASE WHEN tokens > {WINDOW} + 1 THEN (tokens - {WINDOW} - 2) // {STRIDE} + 1 ELSE 0 END) AS BIGINT) AS windows, count(*) FILTER (tokens <= {WINDOW} + 1) AS too_short FROM doc GROUP BY split")
@@ -92,7 +84,7 @@ def scale_plan(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_DOC} SELECT split, {multiset_fingerprint_sql('record_id || chr(58) || tokens || chr(58) || sha256(text)')} AS fingerprint, CASE WHEN {SPECIALS} + 256 <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype FROM doc GROUP BY split")
 def dataset_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint of the documents of each split, and the type their ids need."""
-    line = F.concat_ws(":", "record_id", F.col("tokens").cast("string"), F.sha2("text", 256))
+    line = F.concat_ws(":", "record_id", F.col("tokens").cast("string"), "sha")
     x = docs(spark, d).select("split", line.alias("line")).groupBy("split").agg(multiset_fingerprint(F.col("line")).alias("fingerprint"))
     return x.withColumn("dtype", F.lit("uint16" if SPECIALS + 256 <= 65535 else "uint32"))
 

@@ -22,6 +22,18 @@ def one_per_key(df: DataFrame, key: str, *cols: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(body).select(key, "_b.*")
 
 
+def per_text(spark: SparkSession, d: str, **made: Column) -> DataFrame:
+    """staged_path and the columns `made` of its text. They are computed where the text is read and only they
+    are shuffled; of several texts of a path the one with the least SHA-256 counts. Null texts are left out."""
+    t = table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null and text is not null")
+    x = t.select("staged_path", F.sha2("text", 256).alias("_sha"), *[c.alias(k) for k, c in made.items()])
+    return one_per_key(x, "staged_path", "_sha", *made).drop("_sha")
+
+
+#: per_text's choice as SQL.
+STG = "stg AS (SELECT staged_path, arg_min(text, sha256(text)) AS text FROM staged_files WHERE staged_path IS NOT NULL AND text IS NOT NULL GROUP BY staged_path)"
+
+
 def records(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """`records`, each record once however often it was delivered; null ids are left out."""
     return one_per_key(table(spark, d, "records", "record_id", *cols), "record_id", *cols)
