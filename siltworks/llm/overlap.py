@@ -198,11 +198,13 @@ def class_pairs(spark: SparkSession, d: str, classes: DataFrame) -> DataFrame:
     """(e, t, covered, exact): pairs of different classes that are near-same."""
     pairs = routed(classes)
     need = pairs.select(F.col("e").alias("cls")).union(pairs.select("t")).distinct()
-    at = classes.select("cls", "at", "text_id").join(need, "cls")
+    # Written first, so that its size is known when the texts are joined with it: a small list is sent to them.
+    at = stored(classes.select("cls", "at", "text_id").join(need, "cls"), "wanted")
     # Only texts that are in some pair are normalised again and sent on; of several texts of one path, that
-    # which the class was made of.
-    again = normalised(_texts(spark, d).join(at, F.col("staged_path") == F.col("at")), "cls", "text_id").where(F.md5("p") == F.col("text_id"))
+    # which the class was made of. The comparison is wrapped: a bare one would be taken as a filter on all texts.
+    again = normalised(_texts(spark, d).join(at, F.col("staged_path") == F.col("at")), "cls", "text_id").where(F.coalesce(F.md5("p") == F.col("text_id"), F.lit(False)))
     texts = stored(again.groupBy("cls").agg(F.min(F.struct("q", "p")).alias("b")).select("cls", units(F.col("b.q")).alias("u"), units(F.col("b.p")).alias("x")), "texts")
+    discard(at)
     sizes = texts.select("cls", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("size"))
     chars = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, int(chars // SHARD_CHARS) + 1)
