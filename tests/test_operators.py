@@ -212,3 +212,28 @@ def test_empty_tables(spark, small, tmp_path):
     for name, q in registry.queries().items():
         if name not in skip:
             q(spark, str(tmp_path)).collect()
+
+
+def test_next_fit_over_many_chunks(spark):
+    """Against the fold, with chunks of one and two shards, rows beyond the target and empty rows."""
+    import random
+
+    from siltworks.operators import packing
+
+    rnd = random.Random(3)
+    rows = [(i, g, 0 if rnd.random() < 0.05 else rnd.choice([rnd.randrange(1, 40), rnd.randrange(1, 40), 260])) for g in ("a", "b", None) for i in range(400 if g == "a" else 30)]
+    df = spark.createDataFrame(rows, "i long, g string, n long")
+    keep = packing.CHUNK
+    try:
+        for packing.CHUNK in (1, 2, 64):
+            got = {(r["g"], r["i"]): (r["shard"], r["shard_offset"]) for r in packing.next_fit(df, "g", ["i"], "n", 100).collect()}
+            for g in ("a", "b", None):
+                shard, used = 0, 0
+                for i, h, n in rows:
+                    if h == g:
+                        if used and used + n > 100:
+                            shard, used = shard + 1, 0
+                        assert got[g, i] == (shard, used), (packing.CHUNK, g, i)
+                        used += n
+    finally:
+        packing.CHUNK = keep
