@@ -39,6 +39,9 @@ UNIT, UNIT_JSON, LONG = 8, 4, 160
 #: task; where more are routed to a shard, its automaton is built once per block of them.
 SHARD_CHARS, BLOCK_CHARS = 4_000_000, 32_000_000
 
+#: Texts in some pair up to which a hash of each, eight bytes, is broadcast; beyond, all texts are shuffled.
+BROADCAST_TEXTS = 2_000_000
+
 _QUOTED = r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
 _COMMENT = r"(?m)" + _QUOTED + r"|(?:^|(?<=\s))(?:#|//|;)[^\n]*+"
 _NAME = _QUOTED + r"""|(?<![.\w$"])[A-Za-z_]\w*+(?!\()"""
@@ -198,11 +201,14 @@ def class_pairs(spark: SparkSession, d: str, classes: DataFrame) -> DataFrame:
     """(e, t, covered, exact): pairs of different classes that are near-same."""
     pairs = routed(classes)
     need = pairs.select(F.col("e").alias("cls")).union(pairs.select("t")).distinct()
-    # Written first, so that its size is known when the texts are joined with it: a small list is sent to them.
     at = stored(classes.select("cls", "at", "text_id").join(need, "cls"), "wanted")
+    t = _texts(spark, d)
+    if at.count() <= BROADCAST_TEXTS:
+        # Hashes of the paths are sent to the texts, so that the others aren't shuffled; the join below is exact.
+        t = t.join(F.broadcast(at.select(F.xxhash64("at").alias("_p"))), F.xxhash64("staged_path") == F.col("_p"), "left_semi")
     # Only texts that are in some pair are normalised again and sent on; of several texts of one path, that
     # which the class was made of. The comparison is wrapped: a bare one would be taken as a filter on all texts.
-    again = normalised(_texts(spark, d).join(at, F.col("staged_path") == F.col("at")), "cls", "text_id").where(F.coalesce(F.md5("p") == F.col("text_id"), F.lit(False)))
+    again = normalised(t.join(at, F.col("staged_path") == F.col("at")), "cls", "text_id").where(F.coalesce(F.md5("p") == F.col("text_id"), F.lit(False)))
     texts = stored(again.groupBy("cls").agg(F.min(F.struct("q", "p")).alias("b")).select("cls", units(F.col("b.q")).alias("u"), units(F.col("b.p")).alias("x")), "texts")
     discard(at)
     sizes = texts.select("cls", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("size"))
