@@ -68,3 +68,21 @@ def log_level(t: Column) -> Column:
         .when(x.rlike(r"passed|finished|completed|success|done"), "success")
         .otherwise("info")
     )
+
+
+def duration(seconds: Column) -> Column:
+    """mm:ss, from an hour on hh:mm:ss; null for null."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
+    return F.when(seconds >= 3600, F.format_string("%02d:%02d:%02d", h, m, s)).when(seconds.isNotNull(), F.format_string("%02d:%02d", F.floor(seconds / 60), s))
+
+
+def short_path(path: Column, most: int = 86) -> Column:
+    """At most about `most` characters of a path: its beginning, an ellipsis, the last folder and the name."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.split(p, "/")
+    name, parent = F.element_at(parts, -1), F.coalesce(F.get(parts, F.size(parts) - 2), F.lit(""))
+    tail = F.when(parent != "", F.concat(parent, F.lit("/"), name)).otherwise(name)
+    lead = F.when(parent != "", F.concat(parent, F.lit("/"))).otherwise(F.lit(""))
+    tight = F.concat(lead, F.lit("…"), F.substr(name, F.greatest(F.length(name) - F.greatest(F.lit(8), most - F.length(parent) - 3) + 1, F.lit(1))))
+    wide = F.concat(F.substr(p, F.lit(1), F.greatest(F.lit(8), most - F.length(tail) - 3)), F.lit("…/"), tail)
+    return F.when(F.length(path) <= most, path).when(F.length(tail) >= most - 2, tight).otherwise(wide)

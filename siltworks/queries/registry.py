@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("corpus", "registry_ops", "events_ops", "tokens_ops", "star_ops", "policy_ops", "more_ops", "stream_ops", "text_ops")
+MODULES = ("corpus", "registry_ops", "events_ops", "tokens_ops", "star_ops", "policy_ops", "more_ops", "stream_ops", "text_ops", "log_ops", "script_ops", "plan_ops", "match_ops")
 
 
 def _each():

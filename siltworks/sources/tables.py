@@ -34,6 +34,18 @@ def per_text(spark: SparkSession, d: str, **made: Column) -> DataFrame:
 STG = "stg AS (SELECT staged_path, arg_min(text, sha256(text)) AS text FROM staged_files WHERE staged_path IS NOT NULL AND text IS NOT NULL GROUP BY staged_path)"
 
 
+def per_document(spark: SparkSession, d: str, where: str, **made: Column) -> DataFrame:
+    """per_text for documents: doc_id and the columns `made` of its text, of documents for which `where` holds."""
+    t = table(spark, d, "documents").where("doc_id is not null and text is not null").where(where)
+    x = t.select("doc_id", F.sha2("text", 256).alias("_sha"), *[c.alias(k) for k, c in made.items()])
+    return one_per_key(x, "doc_id", "_sha", *made).drop("_sha")
+
+
+def doc_sql(where: str, name: str = "doc") -> str:
+    """per_document's choice as SQL."""
+    return f"{name} AS (SELECT doc_id, arg_min(text, sha256(text)) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND {where} GROUP BY doc_id)"
+
+
 def records(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """`records`, each record once however often it was delivered; null ids are left out."""
     return one_per_key(table(spark, d, "records", "record_id", *cols), "record_id", *cols)
