@@ -1,4 +1,5 @@
-"""Structured Streaming: windows with watermarks, exactly-once reduction and keyed state."""
+"""Structured Streaming: windows with watermarks, exactly-once reduction and keyed state. Windows, sessions and
+deduplication are extensions: the operators they stand beside read lines as they arrive."""
 
 from __future__ import annotations
 
@@ -70,6 +71,43 @@ def job_states(s: DataFrame) -> DataFrame:
     return x.groupBy("user_id").applyInPandasWithState(step, "user_id long, " + STATE, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def stalled(s: DataFrame, idle: str = "1 day", late: str = "2 days") -> DataFrame:
+    """STM-02, STM-03. Keys that fell silent: one row when the watermark has passed a key's last event by `idle`.
+    State is one time per key, and it goes when the row is given out. Late events don't wake a key."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "last_ts": [last]})
+            return
+        last = max([int(x) for pdf in batches for x in pdf["t"]] + ([state.get[0]] if state.exists else []))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    x = s.withWatermark("ts", late).withColumn("t", F.unix_micros("ts")).select("user_id", "ts", "t")
+    return x.groupBy("user_id").applyInPandasWithState(step, "user_id long, last_ts long", "last_ts long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert(df: DataFrame, path: str, key: str) -> None:
+    """SNK-11, STM-12. Run a stream of states dry into a table of one row per key: every batch is put beside what is
+    there, and the row of the latest batch stays. A batch that is run again changes nothing."""
+    from siltworks.sources.stores import Place, write_folder
+
+    spark = df.sparkSession
+
+    def put(batch: DataFrame, k: int) -> None:
+        new = batch.withColumn("batch", F.lit(k).cast("long"))
+        if Place(spark, path).exists():
+            new = new.unionByName(spark.read.parquet(path))
+        cols = [c for c in new.columns if c not in (key, "batch")]
+        write_folder(new.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct("batch", *cols)).alias("s"), F.max("batch").alias("batch")).select(key, "s.*", "batch"), path)
+
+    w = df.writeStream.option("checkpointLocation", f"{shared_dir(spark)}/siltworks/upsert-{uuid.uuid4().hex}").trigger(availableNow=True)
+    w.outputMode("update").foreachBatch(put).start().awaitTermination()
+
+
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over what is there, into a table of the shared folder, and read that. With
     `update` every batch is written, with its number, and the last state of a key is left to the reader."""
