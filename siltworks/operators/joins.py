@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltworks.operators.running import running
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str, right_id: str) -> DataFrame:
     """left with the `right_id` of the last right row of the same key at or before `at`; null for none.
 
-    Both sides are put on one time line per key and the last right id is carried forward, so the work is a
-    sort per key and never a product of the sides.
+    Both sides are put on one time line per key and the last right id is carried forward; the line is cut into
+    ranges, so the work is a sort and never a product of the sides, and no key is one task.
     """
     a = left.select(key, at, F.lit(1).alias("_side"), F.col(left_id).alias("_l"), F.lit(None).cast(right.schema[right_id].dataType).alias("_r"))
     b = right.select(key, at, F.lit(0).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias("_l"), F.col(right_id).alias("_r"))
-    w = W.partitionBy(key).orderBy(at, "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1").select(key, at, F.col("_l").alias(left_id), F.col("_last").alias(right_id))
+    x = running(a.unionByName(b), key, [at, "_side", "_r", "_l"], _last=("last", "_r"))
+    return x.where("_side = 1").select(key, at, F.col("_l").alias(left_id), F.col("_last").alias(right_id))
 
 
 def range_count(left: DataFrame, right: DataFrame, at: str, span: int, left_id: str, name: str) -> DataFrame:

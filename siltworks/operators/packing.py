@@ -7,34 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltworks.operators.running import running
 from siltworks.session import stored
 
 #: Shards' lengths that make a chunk.
 CHUNK = 64
 
 
-def ordered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """df range-partitioned by group and order, with `_part`, the number of the partition; stored, so that
-    the numbers stay what they are when a task is run again."""
-    n = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    x = df.repartitionByRange(n, F.col(group).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
-    return stored(x.withColumn("_part", F.spark_partition_id()), "ordered")
-
-
 def offsets(df: DataFrame, group: str, order: list[str], size: str, name: str) -> DataFrame:
-    """df with `name`: the sum of `size` over the rows before this one in its group. Sums are taken within
-    range partitions; the partitions' own sums, one row per partition and group, are summed after that."""
-    x = ordered(df, group, order)
-    o = [F.col(c).asc_nulls_first() for c in order]
-    within = F.sum(size).over(W.partitionBy(group, "_part").orderBy(*o)) - F.col(size)
-    sums = x.groupBy(group, "_part").agg(F.sum(size).alias("_s"))
-    sums = sums.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), (F.sum("_s").over(W.partitionBy(group).orderBy("_part")) - F.col("_s")).alias("_off"))
-    y = x.withColumn("_in", within)
-    j = y.join(sums, y[group].eqNullSafe(F.col("_g")) & (y["_part"] == F.col("_p")))
-    return j.withColumn(name, F.col("_in") + F.col("_off")).drop("_part", "_in", "_g", "_p", "_off")
+    """df with `name`: the sum of `size` over the rows before this one in its group."""
+    x = running(df, group, order, **{name: ("sum", size)})
+    return x.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def _jumps(start: np.ndarray, end: np.ndarray, target: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions import text as T
+from siltworks.operators.running import running
 from siltworks.queries.registering import Registry
 from siltworks.sources.tables import table
 
@@ -22,10 +23,6 @@ def micros(c) -> Column:
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
-def by_user(*order: str) -> W:
-    return W.partitionBy("user_id").orderBy(*(order or ("ts", "event_id")))
-
-
 @query("""SELECT event_id, substr(coalesce(lower(trim(event_type)), 'unknown'), 1, 80) AS event, CASE WHEN isnan(value) OR value < 0 THEN NULL ELSE round(value, 4) END AS value, round(least(coalesce(CASE WHEN isnan(value) OR value < 0 THEN NULL ELSE value END, 0) / 100.0, 1.0), 6) AS progress,
  CASE WHEN lower(event_type) IN ('error', 'failed') THEN 'error' WHEN lower(event_type) IN ('warning') THEN 'warning' ELSE 'info' END AS level FROM events""")
 def event_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +56,8 @@ def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, island, count(*) FILTER (event_type = 'click') AS run, min(ts) AS since FROM x GROUP BY user_id, island HAVING count(*) FILTER (event_type = 'click') > 0""")
 def consecutive_islands(spark: SparkSession, d: str) -> DataFrame:
     """Runs of one kind of event between resets by another, per user."""
-    reset = F.when(F.col("event_type") == "purchase", 1).otherwise(0)
-    x = events(spark, d).withColumn("island", F.sum(reset).over(by_user()))
+    e = events(spark, d).withColumn("reset", F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("long"))
+    x = running(e, "user_id", ["ts", "event_id"], island=("sum", "reset")).withColumn("island", F.coalesce("island", F.lit(0)) + F.col("reset"))
     g = x.groupBy("user_id", "island").agg(F.count_if(F.col("event_type") == "click").alias("run"), F.min("ts").alias("since"))
     return g.where("run > 0")
 
@@ -69,7 +66,7 @@ def consecutive_islands(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, ts AS since, nxt AS until, epoch(nxt) - epoch(ts) AS seconds FROM x WHERE epoch(nxt) - epoch(ts) > 86400""")
 def stall_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Silences of more than a day per user."""
-    x = events(spark, d).select("user_id", F.col("ts").alias("since"), F.lead("ts").over(by_user()).alias("until"))
+    x = running(events(spark, d), "user_id", ["ts", "event_id"], since=("last", "ts")).select("user_id", "since", F.col("ts").alias("until")).where("since is not null")
     s = micros("until") / 1e6 - micros("since") / 1e6
     return x.select("user_id", "since", "until", s.alias("seconds")).where("seconds > 86400")
 
@@ -77,8 +74,14 @@ def stall_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, user_id, n FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n >= 3""")
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
     """Events that are at least the third of their user within six hours."""
-    w = W.partitionBy("user_id").orderBy(micros("ts")).rangeBetween(-6 * 3600 * 1_000_000, 0)
-    return events(spark, d).select("event_id", "user_id", F.count("*").over(w).alias("n")).where("n >= 3")
+    span = 6 * 3600 * 1_000_000
+    # An event counts in its own stretch of six hours and is looked back at from the next, so a window holds two
+    # stretches of a user and not all of their time.
+    e = events(spark, d).select("event_id", "user_id", micros("ts").alias("t"))
+    b = F.floor(F.col("t") / span)
+    x = e.select("*", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))).alias("k")).select("event_id", "user_id", "t", "k.*")
+    w = W.partitionBy("user_id", "b").orderBy("t").rangeBetween(-span, 0)
+    return x.withColumn("n", F.count("*").over(w)).where("own and n >= 3").select("event_id", "user_id", "n")
 
 
 @query("""SELECT user_id, event_id, value, rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3""")
@@ -93,11 +96,12 @@ def last_n_values(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, better, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1 AS waited FROM z""")
 def best_so_far_patience(spark: SparkSession, d: str) -> DataFrame:
     """Whether a value beats the best so far by a margin, and for how many events none had."""
-    w = by_user()
-    x = events(spark, d).withColumn("before", F.min("value").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    x = x.withColumn("better", F.col("before").isNull() | (F.col("value") < F.col("before") - 0.01))
-    x = x.withColumn("island", F.sum(F.when(F.col("better"), 1).otherwise(0)).over(w))
-    return x.select("event_id", "better", (F.row_number().over(W.partitionBy("user_id", "island").orderBy("ts", "event_id")) - 1).cast("long").alias("waited"))
+    o = ["ts", "event_id"]
+    x = running(events(spark, d).withColumn("one", F.lit(1).cast("long")), "user_id", o, before=("min", "value"), at=("sum", "one"))
+    x = x.withColumns({"better": F.col("before").isNull() | (F.col("value") < F.col("before") - 0.01), "at": F.coalesce("at", F.lit(0))})
+    x = x.withColumn("mark", F.when(F.col("better"), F.col("at"))).select("event_id", "user_id", "ts", "better", "at", "mark")
+    y = running(x, "user_id", o, last=("last", "mark"))
+    return y.select("event_id", "better", (F.col("at") - F.coalesce("mark", "last")).alias("waited"))
 
 
 @query("""SELECT user_id, max(ts) AS last_ts, count(*) AS events, max_by(event_type, struct_pack(a := ts, b := event_id)) AS state, max_by(value, struct_pack(a := ts, b := event_id)) FILTER (event_type = 'purchase') AS last_value,
@@ -126,9 +130,11 @@ def session_list(spark: SparkSession, d: str) -> DataFrame:
 
 def sessions(e: DataFrame, gap: int = 86400) -> DataFrame:
     """Events with a session number per user; a gap of more than `gap` seconds begins a new one."""
-    w = by_user()
-    near = micros("ts") - micros(F.lag("ts").over(w)) <= gap * 1_000_000
-    return e.withColumn("fresh", F.when(near, 0).otherwise(1)).withColumn("session", F.sum("fresh").over(w))
+    o = ["ts", "event_id"]
+    x = running(e, "user_id", o, _at=("last", "ts"))
+    near = micros("ts") - micros("_at") <= gap * 1_000_000
+    x = x.withColumn("fresh", F.when(near, 0).otherwise(1).cast("long")).drop("_at")
+    return running(x, "user_id", o, session=("sum", "fresh")).withColumn("session", F.coalesce("session", F.lit(0)) + F.col("fresh"))
 
 
 @query("""WITH l AS (SELECT user_id, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, last_ts, n FROM l ORDER BY last_ts DESC, user_id LIMIT 20""")
@@ -148,9 +154,9 @@ def last_view(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, count(gap) AS samples, round(avg(gap), 4) AS mean_gap, round(least(0.75, greatest(0.15, CASE WHEN count(gap) >= 4 AND avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 0.2 END)), 6) AS spread FROM x WHERE back <= 50 GROUP BY user_id""")
 def eta_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Mean gap of a user's last fifty events and the spread of an estimate made from it."""
-    w, back = by_user(), W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    gap = (micros("ts") - micros(F.lag("ts").over(w))) / 1e6
-    x = events(spark, d).select("user_id", gap.alias("gap"), F.row_number().over(back).alias("back")).where("back <= 50")
+    back = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))  # fifty of a partition at most go on
+    e = running(events(spark, d).select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], at=("last", "ts"))
+    x = e.select("user_id", ((micros("ts") - micros("at")) / 1e6).alias("gap"), F.row_number().over(back).alias("back")).where("back <= 50")
     n, m = F.count("gap"), F.avg("gap")
     cv = F.when((n >= 4) & (m > 0), F.stddev_pop("gap") / m).otherwise(0.2)
     return x.groupBy("user_id").agg(n.alias("samples"), F.round(m, 4).alias("mean_gap"), F.round(F.least(F.lit(0.75), F.greatest(F.lit(0.15), cv)), 6).alias("spread"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import text as T
+from siltworks.operators.running import running
 from siltworks.queries.corpus import REC, plain_records
 from siltworks.queries.registering import Registry
 from siltworks.sources.tables import doc_sql, per_document, table
@@ -143,10 +144,10 @@ def log_summary(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, t AS seconds, CASE WHEN t >= 3600 THEN printf('%02d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%02d:%02d', t // 60, t % 60) END AS shown FROM w""")
 def longest_silence(spark: SparkSession, d: str) -> DataFrame:
     """FN-12, STM-02. The longest silence of a user, in seconds and as it is shown."""
-    from siltworks.queries.events_ops import by_user, events, micros
+    from siltworks.queries.events_ops import events, micros
 
-    s = (micros("ts") - micros(F.lag("ts").over(by_user()))) / 1e6
-    w = events(spark, d).select("user_id", s.alias("s")).where("s is not null").groupBy("user_id").agg(F.bround(F.max("s"), 0).cast("long").alias("seconds"))
+    e = running(events(spark, d).select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], at=("last", "ts"))
+    w = e.select("user_id", ((micros("ts") - micros("at")) / 1e6).alias("s")).where("s is not null").groupBy("user_id").agg(F.bround(F.max("s"), 0).cast("long").alias("seconds"))
     return w.withColumn("shown", T.duration(F.col("seconds")))
 
 

@@ -237,3 +237,18 @@ def test_next_fit_over_many_chunks(spark):
                         used += n
     finally:
         packing.CHUNK = keep
+
+
+def test_running_over_cut_groups(spark):
+    """Sum, min, max and last of the rows before, with nulls, null groups and a group in several partitions."""
+    import random
+
+    from siltworks.operators.running import running
+
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["hot", "hot", "hot", "b", None]), rnd.choice([None, rnd.randrange(50)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, g string, v long")
+    got = {r["i"]: (r["s"], r["lo"], r["hi"], r["la"]) for r in running(df, "g", ["i"], s=("sum", "v"), lo=("min", "v"), hi=("max", "v"), la=("last", "v")).collect()}
+    for i, g, _ in rows:
+        b = [v for j, h, v in rows if h == g and j < i and v is not None]
+        assert got[i] == ((sum(b), min(b), max(b), b[-1]) if b else (None,) * 4), i
