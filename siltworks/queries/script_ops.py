@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import grams as G
 from siltworks.functions import scripts as P
+from siltworks.functions import subwords
 from siltworks.operators import audit
 from siltworks.queries.corpus import REC, plain_records
 from siltworks.queries.registering import Registry
@@ -91,6 +92,20 @@ def byte_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return each(spark, d, make, "tokens long, same boolean", scripts=False)
 
 
+@query()
+def subword_counts(spark: SparkSession, d: str) -> DataFrame:
+    """FN-25, UDF-01. Subwords of every text under a public vocabulary, whose folder is a parameter, its characters
+    and whether decoding gives the text back. No SQL: an exact round trip is the test."""
+    at = subwords.folder(spark)
+
+    def make(x: str) -> list[tuple]:
+        tok = subwords.Subwords(subwords.byte_bpe(at))
+        ids = tok.encode(x)
+        return [(len(ids), len(x), tok.decode(ids) == x)]
+
+    return each(spark, d, make, "subwords long, chars long, same boolean", scripts=False)
+
+
 @query()
 def prompt_parts(spark: SparkSession, d: str) -> DataFrame:
     """FN-50, FN-51, FN-70, STR-04. A prompt of a fixed header, a text and a fixed tail in the window: tokens,

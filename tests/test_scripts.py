@@ -124,3 +124,20 @@ def test_final_status_over_tables(spark, tmp_path):
     assert got["r0"] == ("accepted", "", None)
     assert got["r1"][0] == "quarantine" and "normalized_exact_duplicate" in got["r1"][1] and got["r1"][2] == "r0"
     assert got["r2"][0] == "quarantine" and "split_leakage" in got["r2"][1] and got["r3"][0] == "quarantine"
+
+
+def test_round_trips_over_tables(spark, small):
+    import os
+
+    from siltworks.functions import subwords
+    from siltworks.queries import script_ops as S
+
+    assert S.byte_roundtrip(spark, small).where("not same").count() == 0
+    if os.path.isdir(subwords.DEFAULT_DIR):
+        assert S.subword_counts(spark, small).where("not same").count() == 0
+        tok = subwords.Subwords(subwords.byte_bpe(subwords.DEFAULT_DIR))
+        assert tok.decode(tok.encode("extends Node2D")) == "extends Node2D" and tok.count("") == 0
+        with pytest.raises(ValueError):
+            tok.decode([tok.size])
+    w = S.shifted_windows(spark, small).collect()
+    assert w and all(r["x"][1:] == r["y"][:-1] for r in w)
