@@ -1,26 +1,5 @@
 """Public tokenizer vocabularies, opened in workers from a folder that is a parameter."""
 
-from __future__ import annotations
+from siltworks.functions.subwords import DEFAULT_DIR, PATTERN, byte_bpe, folder
 
-import base64
-import os
-from functools import lru_cache
-
-#: Folder with the vocabulary files; spark conf siltworks.tokenizers or this default.
-DEFAULT_DIR = "/opt/tokenizers"
-#: Fixed value: the split pattern that belongs to the byte-level vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def folder(spark) -> str:
-    return spark.conf.get("siltworks.tokenizers", DEFAULT_DIR)
-
-
-@lru_cache(maxsize=2)
-def byte_bpe(at: str, name: str = "byte_bpe_50k.tiktoken"):
-    """The byte-level vocabulary as a tiktoken encoding."""
-    import tiktoken
-
-    with open(os.path.join(at, name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+__all__ = ["DEFAULT_DIR", "PATTERN", "byte_bpe", "folder"]
