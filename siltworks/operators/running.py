@@ -28,11 +28,11 @@ def _both(kind: str, earlier: Column, here: Column) -> Column:
     return F.coalesce(here, earlier) if kind == "last" else (F.least if kind == "min" else F.greatest)(earlier, here)
 
 
-def running(df: DataFrame, group: str, order: list[str], **made: tuple[str, str]) -> DataFrame:
+def running(df: DataFrame, group: str, order: list[str], *, keep: bool = False, **made: tuple[str, str]) -> DataFrame:
     """df with the columns `made`, name=(kind, column): the sum, min, max or last non-null value of the column over
     the rows before this one in its group; null where there are none. Rows that are equal in `order` may come
-    either way; null groups are one group."""
-    x = ordered(df, group, order)
+    either way; null groups are one group. A df that has `_part` from here, by `keep`, isn't ordered again."""
+    x = df if "_part" in df.columns else ordered(df, group, order)
     o = [F.col(c).asc_nulls_first() for c in order]
     w = W.partitionBy(group, "_part").orderBy(*o).rowsBetween(W.unboundedPreceding, -1)
     place = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
@@ -43,4 +43,4 @@ def running(df: DataFrame, group: str, order: list[str], **made: tuple[str, str]
     y = x.withColumns({f"_h_{n}": _over(k, F.col(c), w) for n, (k, c) in made.items()})
     j = y.join(per, y[group].eqNullSafe(F.col("_g")) & (y["_part"] == F.col("_p")))
     j = j.withColumns({n: _both(k, F.col(f"_e_{n}"), F.col(f"_h_{n}")) for n, (k, _) in made.items()})
-    return j.drop("_part", "_g", "_p", *[f"_{p}_{n}" for n in made for p in "eh"])
+    return j.drop(*(() if keep else ("_part",)), "_g", "_p", *[f"_{p}_{n}" for n in made for p in "eh"])

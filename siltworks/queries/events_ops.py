@@ -97,9 +97,9 @@ SELECT event_id, better, row_number() OVER (PARTITION BY user_id, island ORDER B
 def best_so_far_patience(spark: SparkSession, d: str) -> DataFrame:
     """Whether a value beats the best so far by a margin, and for how many events none had."""
     o = ["ts", "event_id"]
-    x = running(events(spark, d).withColumn("one", F.lit(1).cast("long")), "user_id", o, before=("min", "value"), at=("sum", "one"))
+    x = running(events(spark, d).withColumn("one", F.lit(1).cast("long")), "user_id", o, keep=True, before=("min", "value"), at=("sum", "one"))
     x = x.withColumns({"better": F.col("before").isNull() | (F.col("value") < F.col("before") - 0.01), "at": F.coalesce("at", F.lit(0))})
-    x = x.withColumn("mark", F.when(F.col("better"), F.col("at"))).select("event_id", "user_id", "ts", "better", "at", "mark")
+    x = x.withColumn("mark", F.when(F.col("better"), F.col("at"))).select("event_id", "user_id", "ts", "better", "at", "mark", "_part")
     y = running(x, "user_id", o, last=("last", "mark"))
     return y.select("event_id", "better", (F.col("at") - F.coalesce("mark", "last")).alias("waited"))
 
@@ -131,7 +131,7 @@ def session_list(spark: SparkSession, d: str) -> DataFrame:
 def sessions(e: DataFrame, gap: int = 86400) -> DataFrame:
     """Events with a session number per user; a gap of more than `gap` seconds begins a new one."""
     o = ["ts", "event_id"]
-    x = running(e, "user_id", o, _at=("last", "ts"))
+    x = running(e, "user_id", o, keep=True, _at=("last", "ts"))
     near = micros("ts") - micros("_at") <= gap * 1_000_000
     x = x.withColumn("fresh", F.when(near, 0).otherwise(1).cast("long")).drop("_at")
     return running(x, "user_id", o, session=("sum", "fresh")).withColumn("session", F.coalesce("session", F.lit(0)) + F.col("fresh"))

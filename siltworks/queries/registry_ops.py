@@ -147,7 +147,8 @@ def secret_scan_counts(spark: SparkSession, d: str) -> DataFrame:
 def mask_secrets(spark: SparkSession, d: str) -> DataFrame:
     """FN-39. Texts that the masking of secrets changes, masked; the others don't move."""
     m = M.masked(F.col("text"))
-    return per_text(spark, d, masked=F.transform(F.array(m), lambda x: F.when(x != F.col("text"), x))[0]).where("masked is not null")
+    changed = F.transform(F.array(m), lambda x: F.when(x != F.col("text"), x))[0]
+    return per_text(spark, d, masked=F.when(F.col("text").rlike(M.NEEDED), changed)).where("masked is not null")
 
 
 @query("""SELECT id, CASE WHEN url IS NULL THEN 'missing' WHEN length(url) > 2048 THEN 'too-long' WHEN NOT starts_with(url, 'https://') THEN 'not-https' WHEN contains(regexp_extract(url, '^https://([^/]*)', 1), '@') THEN 'credentials'
