@@ -398,19 +398,38 @@ def segments(steps: list[Step], profile: str) -> list[tuple]:
     return out
 
 
+_PLAN = "profile string, cap long, least long, proven boolean, steps array<struct<sizes:array<long>,counts:array<long>,times:long>>"
+
+
+def _plan_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for profile, cap, h in zip(pdf["profile"], pdf["cap"], pdf["hist"]):
+            steps, least, proven = planned({int(x["size"]): int(x["n"]) for x in h}, int(cap))
+            rows.append((profile, cap, least, proven, [{"sizes": list(f), "counts": list(f.values()), "times": t} for f, t in steps]))
+        yield pd.DataFrame(rows, columns=["profile", "cap", "least", "proven", "steps"])
+
+
 def _plans(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, int, list[Step], int, bool]]]:
-    """(items, [(profile, capacity, plan, least number of containers, proven)])."""
+    """(items, [(profile, capacity, plan, least number of containers, proven)]). The profiles are searched side by
+    side, each in a task of its own that gets its histogram, at most as long as the capacity; the plans, which
+    are no longer than that either, come to the driver."""
     caps = profiles(spark, d)
     if not caps:
         return spark.createDataFrame([], "profile string, doc_id long, piece long, size long"), []
     counts = token_counts(spark, d)
     x = stored(items(counts, caps), "items")
     discard(counts)
-    hist: dict[str, dict[int, int]] = {p: {} for p, _ in caps}
-    # At most as many rows as the capacities have tokens.
-    for r in x.groupBy("profile", "size").agg(F.count("*").alias("n")).collect():
-        hist[r["profile"]][r["size"]] = r["n"]
-    return x, [(p, c, *planned(hist[p], c)) for p, c in caps]
+    n = x.groupBy("profile", "size").agg(F.count("*").alias("n"))
+    hist = n.groupBy("profile").agg(F.sort_array(F.collect_list(F.struct("size", "n"))).alias("hist"))
+    p = spark.createDataFrame(caps, "profile string, cap long").join(hist, "profile", "left").withColumn("hist", F.coalesce("hist", F.array().cast("array<struct<size:bigint,n:bigint>>")))
+    one_each = stored(p.coalesce(1), "histograms").repartition(len(caps))  # in turn, so that each has one
+    made = stored(one_each.mapInPandas(_plan_rows, _PLAN), "plan")
+    plans = []
+    for r in sorted(made.collect(), key=lambda r: r["profile"]):
+        steps = [(dict(zip(s["sizes"], s["counts"])), s["times"]) for s in r["steps"]]
+        plans.append((r["profile"], r["cap"], steps, r["least"], r["proven"]))
+    return x, plans
 
 
 def _placed(x: DataFrame, plans: list[tuple[str, int, list[Step], int, bool]]) -> DataFrame:
