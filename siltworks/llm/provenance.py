@@ -162,33 +162,33 @@ def _json_made(t: Column) -> Column:
     return x.startswith("{") & F.aggregate(F.split(x, ""), F.struct(F.lit(0).alias("depth"), F.lit(False).alias("made")), step, lambda a: a["made"])
 
 
-def text_mark(text: Column) -> Column:
-    """generated, vendored, minified, data or null by the text."""
-    t = F.regexp_replace(text, "^﻿", "")
-    head = F.regexp_extract(t, r"\A(?:[ \t]*+/\*(?s:.*?)\*/[^\n]*+\n|[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+\n|[ \t\r]*+\n)*+(?:[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+)?", 0)
-    first = F.regexp_replace(head, r"\A[\s#/;*]+", "")
-    json = t.rlike(r"\A\s*[{\[]")
-    notes = F.array_join(F.filter(F.regexp_extract_all(t, F.lit(_COMMENTS), F.lit(0)), lambda x: x.rlike(_COMMENT)), "\n")
-    lines = F.split(t, "\n")
-    dense = F.aggregate(
-        lines,
-        F.lit(0),
-        lambda a, x: a + F.when((F.length(x) >= DENSE_LINE) & (F.length(F.regexp_replace(x, r"[^\s]+", "")) < F.length(x) * DENSE_BLANKS), F.length(x)).otherwise(0),
-    )
-    bare = F.regexp_replace(F.regexp_replace(t, r'"[A-Za-z0-9+/=]{120,}+"', ""), r"(?:-?(?:0x)?[0-9a-fA-F]++(?:\.\d++)?,\s*+){40,}+", "")
-    full = F.filter(lines, lambda x: F.trim(x) != "")
-    rows = F.size(F.filter(full, lambda x: x.rlike(r"""^\s*(?:static\s+)?(?:const|var)\s+\w+\s*(?::\s*\w*\s*)?=\s*(?:"[^"]*"|'[^']*'|[-\d.]+),?;?\s*$|^\s*"?\w+"?\s*[:=]\s*(?:"[^"]*"|[-\d.]+),\s*$|^\s*(?:"[^"]*"|[-\d.]+|\[[-\d., ]+\]),\s*$""")))
-    code = ~json & t.rlike(r"(?m)^\s*(?:extends|class_name|const|static|var|func|let|window\.|module|export|!?\(?function|'use strict')")
-    return (
-        F.when(~json & head.rlike(_GENERATED), "generated")
-        .when(json & t.rlike(_JSON_MAKER) & _json_made(t), "generated")
-        .when(~json & (head.rlike(_VENDORED) | first.rlike(_VENDORED)), "vendored")
-        .when(~json & notes.rlike(_GENERATED_BELOW), "generated")
-        .when(~json & notes.rlike(_VENDORED_BELOW), "vendored")
-        .when(code & (F.length(bare) < F.length(t) * (1 - DENSE_SHARE)), "data")
-        .when(~json & (dense > 0) & (dense >= F.length(t) * DENSE_SHARE), "minified")
-        .when(code & (rows >= TABLE_ROWS) & (rows >= F.size(full) * TABLE_SHARE), "data")
+def text_marks(df: DataFrame, *keep: str) -> DataFrame:
+    """df(text, ...) -> keep and by_text: generated, vendored, minified, data or null by the text. What several
+    rules look at is made in steps, once for all of them."""
+    t = F.regexp_replace("text", "^﻿", "")
+    x = df.select(*keep, t.alias("t"), t.rlike(r"\A\s*[{\[]").alias("json"))
+    head = F.regexp_extract("t", r"\A(?:[ \t]*+/\*(?s:.*?)\*/[^\n]*+\n|[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+\n|[ \t\r]*+\n)*+(?:[ \t]*+(?:#|//|;|/\*|\*|<!--)[^\n]*+)?", 0)
+    notes = F.array_join(F.filter(F.regexp_extract_all("t", F.lit(_COMMENTS), F.lit(0)), lambda c: c.rlike(_COMMENT)), "\n")
+    bare = F.regexp_replace(F.regexp_replace("t", r'"[A-Za-z0-9+/=]{120,}+"', ""), r"(?:-?(?:0x)?[0-9a-fA-F]++(?:\.\d++)?,\s*+){40,}+", "")
+    code = ~F.col("json") & F.col("t").rlike(r"(?m)^\s*(?:extends|class_name|const|static|var|func|let|window\.|module|export|!?\(?function|'use strict')")
+    x = x.select(*keep, "t", "json", code.alias("code"), F.split("t", "\n").alias("lines"), *[F.when(~F.col("json"), c).alias(n) for n, c in (("head", head), ("notes", notes))], F.when(code, F.length(bare)).alias("bare"))
+    blank = lambda c: F.length(F.regexp_replace(c, r"[^\s]+", ""))
+    dense = F.aggregate("lines", F.lit(0), lambda n, c: n + F.when(F.length(c) >= DENSE_LINE, F.when(blank(c) < F.length(c) * DENSE_BLANKS, F.length(c)).otherwise(0)).otherwise(0))
+    full = F.filter("lines", lambda c: F.trim(c) != "")
+    rows = F.size(F.filter("lines", lambda c: c.rlike(r"""^\s*(?:static\s+)?(?:const|var)\s+\w+\s*(?::\s*\w*\s*)?=\s*(?:"[^"]*"|'[^']*'|[-\d.]+),?;?\s*$|^\s*"?\w+"?\s*[:=]\s*(?:"[^"]*"|[-\d.]+),\s*$|^\s*(?:"[^"]*"|[-\d.]+|\[[-\d., ]+\]),\s*$""")))
+    x = x.select(*keep, "t", "json", "code", "head", "notes", "bare", F.when(~F.col("json"), dense).alias("dense"), F.when(F.col("code"), rows).alias("rows"), F.when(F.col("code"), F.size(full)).alias("full"))
+    c = F.col
+    mark = (
+        F.when(c("head").rlike(_GENERATED), "generated")
+        .when(c("json") & c("t").rlike(_JSON_MAKER), F.when(_json_made(c("t")), "generated"))
+        .when(c("head").rlike(_VENDORED) | F.regexp_replace("head", r"\A[\s#/;*]+", "").rlike(_VENDORED), "vendored")
+        .when(c("notes").rlike(_GENERATED_BELOW), "generated")
+        .when(c("notes").rlike(_VENDORED_BELOW), "vendored")
+        .when(c("code") & (c("bare") < F.length("t") * (1 - DENSE_SHARE)), "data")
+        .when((c("dense") > 0) & (c("dense") >= F.length("t") * DENSE_SHARE), "minified")
+        .when(c("code") & (c("rows") >= TABLE_ROWS) & (c("rows") >= c("full") * TABLE_SHARE), "data")
     )
+    return x.select(*keep, mark.alias("by_text"))
 
 
 # ---------------------------------------------------------------- attribute files
@@ -281,12 +281,12 @@ def _base(spark: SparkSession, d: str) -> DataFrame:
 def _said(spark: SparkSession, d: str, base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(record_id, by_declaration, unset) and the projects that have attribute files. Only those files' texts
     are looked up; where there are none, nothing is read."""
-    attr = stored(base.where(F.col("original_path").rlike(r"(?:^|/)\.gitattributes$")).select("record_id", "project", F.col("original_path").alias("path"), "staged_path"), "attributes")
-    n = attr.count()
-    if not n:
+    attr = base.where(F.col("original_path").rlike(r"(?:^|/)\.gitattributes$")).select("record_id", "project", F.col("original_path").alias("path"), "staged_path")
+    if attr.isEmpty():
         return spark.createDataFrame([], "record_id string, by_declaration string, unset array<string>"), spark.createDataFrame([], "project string")
+    attr = stored(attr, "attributes")
     at = attr.select("staged_path").distinct()
-    at = F.broadcast(at) if n <= BROADCAST_FILES else at
+    at = F.broadcast(at) if attr.count() <= BROADCAST_FILES else at
     texts = table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null and text is not null").join(at, "staged_path", "left_semi")
     texts = attr.join(texts.groupBy("staged_path").agg(F.min("text").alias("text")), "staged_path").select("record_id", "text")
     files = base.select("record_id", "project", F.col("original_path").alias("path")).join(texts, "record_id", "left")
@@ -300,7 +300,7 @@ def marks(spark: SparkSession, d: str) -> DataFrame:
     them that is not taken back."""
     base = stored(_base(spark, d), "files")
     t = table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null")
-    judged = spread(t).select("staged_path", text_mark(F.col("text")).alias("by_text")).where("by_text is not null").groupBy("staged_path").agg(F.min("by_text").alias("by_text"))
+    judged = text_marks(spread(t.where("text is not null")), "staged_path").where("by_text is not null").groupBy("staged_path").agg(F.min("by_text").alias("by_text"))
     own, projects = _said(spark, d, base)
     x = (
         base.withColumn("by_path", path_mark(F.col("original_path"), F.col("allow_addons")))

@@ -142,7 +142,7 @@ def test_deep_nesting_is_parsed(n):
 
 
 def marks(spark, text):
-    return spark.createDataFrame([(text,)], "t string").select(provenance.text_mark(F.col("t"))).first()[0]
+    return provenance.text_marks(spark.createDataFrame([(text,)], "text string")).first()[0]
 
 
 def test_text_marks(spark):
