@@ -32,6 +32,15 @@ def strip_comments(text: str, mask: bool = False) -> str:
     return _PART.sub(part, text)
 
 
+#: _PART for an engine without look-ahead: a string or a comment, the former as group 1.
+_PART_SQL = r'''("""(?:[^\\]|\\[\s\S])*?(?:"""|\z)|''' + r"""'''(?:[^\\]|\\[\s\S])*?(?:'''|\z)|""" + r'''"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?)|#[^\n]*'''
+
+
+def uncommented_sql(c: str) -> str:
+    """strip_comments in DuckDB's SQL."""
+    return f"regexp_replace({c}, '{_PART_SQL.replace(chr(39), chr(39) * 2)}', '\\1', 'g')"
+
+
 def dedup_form(text: str) -> str:
     """For duplicate search: comments gone, lines stripped, inner white space as one blank, no blank lines."""
     lines = (re.sub(r"\s+", " ", x.strip()) for x in strip_comments(text.replace("\r\n", "\n").replace("\r", "\n")).split("\n"))

@@ -151,11 +151,22 @@ def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return one_per_key(x, "staged_path", "sha", "tokens", "distinct_tokens").drop("sha")
 
 
-@query()
+_BITS = ", ".join(f"sum(w * (2 * CAST((h >> {b}) & 1 AS BIGINT) - 1)) >= 0 AS b{b}" for b in range(64))
+_NUMBER = " + ".join(f"CASE WHEN b{b} THEN {1 << b}::UBIGINT ELSE 0 END" for b in range(64))
+#: The duplicate-search form of every staged text, its tokens and its SimHash, as SQL.
+_SIM = f"""form AS (SELECT staged_path, array_to_string(list_filter(list_transform(string_split({S.uncommented_sql("replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')), lambda x: x <> ''), chr(10)) AS form FROM stg),
+ tok AS (SELECT staged_path, sha256(form) AS form_hash, list_transform(regexp_extract_all(form, '{T.TOKEN}'), lambda x: lower(x)) AS w FROM form),
+ gram AS (SELECT staged_path, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM tok WHERE len(w) > 0),
+ wt AS (SELECT staged_path, CAST('0x' || substr(sha256(g), 1, 16) AS UBIGINT) AS h, count(*) AS w FROM gram GROUP BY staged_path, g),
+ votes AS (SELECT staged_path, {_BITS} FROM wt GROUP BY staged_path), sk AS (SELECT staged_path, {_NUMBER} AS h FROM votes),
+ key AS (SELECT r.record_id, t.staged_path, t.form_hash, len(t.w) AS n, sk.h FROM rec r JOIN tok t USING (staged_path) LEFT JOIN sk USING (staged_path)),
+ near AS (SELECT a.record_id, min(b.record_id) AS near_duplicate_of FROM key a JOIN key b ON xor(a.h >> 48, CAST(floor(log2(a.n)) AS UBIGINT)) = xor(b.h >> 48, CAST(floor(log2(b.n)) AS UBIGINT)) AND b.record_id < a.record_id AND bit_count(xor(a.h, b.h)) <= 3 AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) WHERE a.n > 0 AND b.n > 0 GROUP BY a.record_id)"""
+
+
+@query(f"WITH {REC}, {STG}, {_SIM} SELECT record_id, near_duplicate_of FROM near")
 def simhash_near_first_match(spark: SparkSession, d: str) -> DataFrame:
     """For every record the first earlier one whose SimHash lies within three bits in its bucket and whose
-    token count is within a fifth. No SQL: the sketch votes over 64 lanes of hashed shingles; it is tested
-    against brute force."""
+    token count is within a fifth. Features are hashed by SHA-256, which both engines have."""
     s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").isNotNull() & F.col("text").rlike(r"\S"))
     k = S.lexical(s, "staged_path", "text", form=True, sketch=True).where("tokens > 0")
     k = one_per_key(k, "staged_path", "sha", "tokens", "simhash")
@@ -227,11 +238,20 @@ def _final(spark: SparkSession, d: str) -> DataFrame:
     return audit.escalated(y)
 
 
-@query()
+_AUD_REST = _AUD.replace(f"{REC}, {STG}, ", "")
+
+
+@query(f"""WITH {REC}, {STG}, {_SIM}, {_AUD_REST}, j AS (SELECT a.*, k.form_hash FROM a LEFT JOIN key k USING (record_id)),
+ ft AS (SELECT form_hash, min_by(record_id, rn) AS first_id, count(DISTINCT sp) > 1 AS text_leaks FROM (SELECT *, row_number() OVER (ORDER BY source_id NULLS FIRST, original_path NULLS FIRST, record_id) AS rn FROM j WHERE form_hash IS NOT NULL) GROUP BY form_hash),
+ gl AS (SELECT trim(group_id) AS g, count(DISTINCT sp) > 1 AS group_leaks FROM j WHERE nullif(trim(group_id), '') IS NOT NULL GROUP BY 1),
+ z AS (SELECT j.record_id, j.quality, j.reasons, coalesce(first_id <> j.record_id, false) AS copy, coalesce(text_leaks, false) OR coalesce(group_leaks, false) AS leak, first_id, near_duplicate_of FROM j LEFT JOIN ft USING (form_hash) LEFT JOIN gl ON gl.g = trim(j.group_id) LEFT JOIN near n ON n.record_id = j.record_id)
+SELECT record_id, CASE WHEN copy OR leak THEN 'quarantine' WHEN near_duplicate_of IS NOT NULL AND quality = 'accepted' THEN 'warning' ELSE quality END AS quality,
+ array_to_string(list_sort(list_distinct(list_concat(reasons, list_filter([CASE WHEN copy THEN 'normalized_exact_duplicate' END, CASE WHEN near_duplicate_of IS NOT NULL THEN 'near_duplicate' END, CASE WHEN leak THEN 'split_leakage' END], lambda x: x IS NOT NULL)))), ', ') AS reasons,
+ CASE WHEN copy THEN first_id END AS duplicate_of, near_duplicate_of FROM z""")
 def audit_status_final(spark: SparkSession, d: str) -> DataFrame:
     """Quality and reasons after duplicates and leaks: a later copy of a normalised text and whatever leaks
     between splits are quarantined, a near duplicate is warned of where nothing else was. Of equal texts the
-    first by source, path and id stays. No SQL: a near duplicate needs the sketch; tested against a fixture."""
+    first by source, path and id stays."""
     return _final(spark, d).select("record_id", "quality", F.array_join("reasons", ", ").alias("reasons"), F.when(F.col("first_id") != F.col("record_id"), F.col("first_id")).alias("duplicate_of"), "near_duplicate_of")
 
 
