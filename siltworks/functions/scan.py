@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ _PART = re.compile(r'"""(?:[^\\]|\\[\s\S])*?(?:"""|\Z)|\'\'\'(?:[^\\]|\\[\s\S])*
 
 
 def strip_comments(text: str, mask: bool = False) -> str:
-    """Without comments outside strings; with `mask`, the inside of strings becomes blanks."""
+    """FN-03. Without comments outside strings; with `mask`, the inside of strings becomes blanks."""
 
     def part(m: re.Match) -> str:
         x = m[0]
@@ -42,7 +43,7 @@ def uncommented_sql(c: str) -> str:
 
 
 def dedup_form(text: str) -> str:
-    """For duplicate search: comments gone, lines stripped, inner white space as one blank, no blank lines."""
+    """FN-02. For duplicate search: comments gone, lines stripped, inner white space as one blank, no blank lines."""
     lines = (re.sub(r"\s+", " ", x.strip()) for x in strip_comments(text.replace("\r\n", "\n").replace("\r", "\n")).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -93,45 +94,51 @@ def unbalanced_udf(c) -> Column:
     return F.pandas_udf(run, "boolean")(c)
 
 
+#: The header of a function, and of a documentation page's script block.
+_FUNC = re.compile(r"[ \t]*(?:static\s+)?func\s+[A-Za-z_]\w*\s*\(.*\)\s*(?:->\s*[^:]+)?\s*:\s*$")
+_DIRECTIVE = re.compile(r"[ \t]*\.\.\s+(?:code-block|code-tab|code)::\s+(?:gdscript|GDScript)(?:\s.*)?$")
+#: Lines of a function block, characters of a snippet, and beginnings of what is only output.
+BLOCK_LINES, SNIPPET_CHARS, OUTPUT = (3, 180), 24, ("# Output:", "# Prints")
+
+
+def indent(line: str) -> int:
+    """Columns ahead of a line's first sign, a tab going to the next multiple of four."""
+    return len(line[: len(line) - len(line.lstrip(" \t"))].expandtabs(4))
+
+
+def below(lines: list[str], i: int, base: int) -> int:
+    """The end of the run of lines from i on that are blank or indented by more than `base`."""
+    while i < len(lines) and (not lines[i].strip() or indent(lines[i]) > base):
+        i += 1
+    return i
+
+
 def function_blocks(text: str) -> list[tuple[int, str]]:
     """(index, code) of every function block of 3 to 180 lines, told by indentation."""
     lines, out, i = text.split("\n"), [], 0
     while i < len(lines):
-        m = re.match(r"([ \t]*)(?:static )?func \w+\(", lines[i])
-        if not m:
-            i += 1
-            continue
-        depth, j = len(m[1]), i + 1
-        while j < len(lines) and (not lines[j].strip() or len(lines[j]) - len(lines[j].lstrip()) > depth):
-            j += 1
-        block = lines[i:j]
-        while block and not block[-1].strip():
-            block.pop()
-        if 3 <= len(block) <= 180:
-            out.append((len(out), "\n".join(block)))
-        i = max(j, i + 1)
+        head, i = i, i + 1
+        if _FUNC.match(lines[head]):
+            i = below(lines, i, indent(lines[head]))
+            code = "\n".join(lines[head:i]).rstrip()
+            if BLOCK_LINES[0] <= code.count("\n") + 1 <= BLOCK_LINES[1]:
+                out.append((len(out), code))
     return out
 
 
 def rst_snippets(text: str) -> list[tuple[int, str]]:
-    """(number, code) of the script blocks of a documentation page; blocks under 24 characters and those
-    with an ellipsis are left out, option lines skipped, the common indentation removed."""
+    """(number, code) of the script blocks of a documentation page, option lines skipped and the common
+    indentation removed; short ones, those with an ellipsis and those that show output are left out."""
     lines, out, i = text.split("\n"), [], 0
     while i < len(lines):
-        m = re.match(r"([ \t]*)(?:\.\. code-block:: gdscript|\.\. code-tab:: gdscript(?: GDScript)?)\s*$", lines[i])
-        i += 1
-        if not m:
+        head, i = i, i + 1
+        if not _DIRECTIVE.match(lines[head]):
             continue
-        while i < len(lines) and re.match(r"[ \t]*:\w[\w-]*:", lines[i]):
-            i += 1
-        block = []
-        while i < len(lines) and (not lines[i].strip() or len(lines[i]) - len(lines[i].lstrip()) > len(m[1])):
-            block.append(lines[i])
+        base = indent(lines[head])
+        while i < len(lines) and (not lines[i].strip() or indent(lines[i]) > base and lines[i].lstrip().startswith(":")):
             i += 1
-        body = [x for x in block if x.strip()]
-        if body:
-            cut = min(len(x) - len(x.lstrip()) for x in body)
-            code = "\n".join(x[cut:].rstrip() for x in block).strip("\n")
-            if len(code) >= 24 and "..." not in code:
-                out.append((len(out) + 1, code))
+        start, i = i, below(lines, i, base)
+        code = textwrap.dedent("\n".join(lines[start:i])).strip("\n")
+        if len(code) >= SNIPPET_CHARS and "..." not in code and not code.lstrip().startswith(OUTPUT):
+            out.append((len(out) + 1, code))
     return out

@@ -50,12 +50,12 @@ def slug(t: Column, default: str = "item", most: int = 42) -> Column:
 
 
 def collapse_blank_lines(t: Column) -> Column:
-    """Runs of blank lines become one empty line."""
+    """FN-08. Runs of blank lines become one empty line."""
     return F.regexp_replace(t, r"\n(?:[ \t]*\n)+", "\n\n")
 
 
 def without_ansi(t: Column) -> Column:
-    """Terminal escapes and carriage returns removed."""
+    """FN-07. Terminal escapes and carriage returns removed."""
     return F.regexp_replace(F.regexp_replace(t, "\x1b\\[[0-9;?]*[A-Za-z]", ""), "\r", "")
 
 

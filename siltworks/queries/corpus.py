@@ -50,7 +50,7 @@ _N = T.normalize_code_sql("text")
 @query(f"""WITH {STG}, n AS (SELECT staged_path, {_N} AS t FROM stg WHERE text IS NOT NULL)
 SELECT staged_path, length(t) AS chars, CAST(strlen(t) AS BIGINT) AS bytes, length(t) - length(replace(t, chr(10), '')) AS lines, sha256(t) AS sha256 FROM n""")
 def normalize_text_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Length, bytes, lines and hash of every normalised staged text."""
+    """FN-01. Length, bytes, lines and hash of every normalised staged text."""
     t = T.normalize_code(F.col("text"))
     facts = F.transform(F.array(t), lambda t: F.struct(  # the text is normalised once for all four
         F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"),
@@ -63,7 +63,7 @@ def normalize_text_stats(spark: SparkSession, d: str) -> DataFrame:
  round({I.stable_fraction_sql("coalesce(nullif(trim(group_id), ''), record_id)")}, 9) AS fraction,
  {I.hash_split_sql("coalesce(nullif(trim(group_id), ''), record_id)")} AS split FROM rec""")
 def stable_split_by_group(spark: SparkSession, d: str) -> DataFrame:
-    """Hash split of every record by its group, else by itself."""
+    """FN-16, FN-28. Hash split of every record by its group, else by itself."""
     u = F.coalesce(trimmed(F.col("group_id")), F.col("record_id"))
     return plain_records(spark, d, "group_id").select("record_id", u.alias("unit")).withColumns({"fraction": F.round(I.stable_fraction(F.col("unit")), 9), "split": I.hash_split(F.col("unit"))})
 
@@ -73,7 +73,7 @@ def stable_split_by_group(spark: SparkSession, d: str) -> DataFrame:
  k AS (SELECT count(*) n, count(*) FILTER (h = 'val') v, count(*) FILTER (h = 'test') t FROM s)
 SELECT unit, CASE WHEN h = 'train' AND n >= 3 AND v = 0 AND rn = 1 THEN 'val' WHEN h = 'train' AND n >= 3 AND t = 0 AND rn = 2 THEN 'test' ELSE h END AS split FROM s, k""")
 def forced_split(spark: SparkSession, d: str) -> DataFrame:
-    """Hash split of sources; where a split stays empty and there are three units or more, the first unit
+    """WIN-08, FN-62. Hash split of sources; where a split stays empty and there are three units or more, the first unit
     in hash order goes to val, the second to test."""
     u = plain_records(spark, d, "source_id").select(F.coalesce(trimmed(F.col("source_id")), F.lit("none")).alias("unit")).distinct()
     return splits.forced(u)
@@ -86,7 +86,7 @@ _DUP = f"""WITH {REC}, {STG}, n AS (SELECT r.record_id, r.source_id, r.original_
 
 @query(_DUP + " SELECT record_id, h AS content_hash, first_id, rn > 1 AS duplicate FROM k")
 def exact_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
-    """The first record of every normalised text, in the order of source, path and id; the others point to it."""
+    """WIN-01, WIN-02. The first record of every normalised text, in the order of source, path and id; the others point to it."""
     return dedup.first_wins(_hashed(spark, d), "content_hash", ["source_id", "original_path", "record_id"], "record_id").select(
         "record_id", "content_hash", "first_id", "duplicate"
     )
@@ -111,7 +111,7 @@ def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
  dup AS (SELECT k.source_id, k.original_path, 'duplicate:' || coalesce(f.source_id, '') || ':' || coalesce(f.original_path, '') FROM k JOIN rec f ON f.record_id = k.first_id WHERE rn > 1)
 SELECT source, path, reason FROM short UNION ALL SELECT * FROM dup UNION ALL SELECT source, path, reason FROM skipped""")
 def skip_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Everything left out, with the reason: too short, duplicate of, and what the scan had skipped."""
+    """FLT-04, SET-01. Everything left out, with the reason: too short, duplicate of, and what the scan had skipped."""
     r = plain_records(spark, d, "source_id", "original_path", "staged_path")
     s = per_text(spark, d, short=F.length(T.stripped(F.col("text"))) < 20).where("short")
     short = r.join(s, "staged_path").select(F.col("source_id").alias("source"), F.col("original_path").alias("path"), F.lit("too-short").alias("reason"))
@@ -124,7 +124,7 @@ def skip_ledger(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT DISTINCT source_id, original_path, lower(content_sha256) AS sha FROM records WHERE record_id IS NOT NULL AND content_sha256 IS NOT NULL)
 SELECT source_id, original_path, substr(sha256(concat_ws(chr(0), source_id, original_path, sha)), 1, 20) AS content_id FROM r""")
 def content_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Content-addressed id of source, path and delivered hash."""
+    """FN-17. Content-addressed id of source, path and delivered hash."""
     r = table(spark, d, "records", "record_id", "source_id", "original_path", "content_sha256").where("record_id is not null and content_sha256 is not null")
     r = r.select("source_id", "original_path", F.lower("content_sha256").alias("sha")).distinct()
     return r.select("source_id", "original_path", I.record_id(F.col("source_id"), F.col("original_path"), F.col("sha")).alias("content_id"))
@@ -146,7 +146,7 @@ def hash_freshness(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {STG} SELECT staged_path, CAST(len(regexp_extract_all(text, '{T.TOKEN}')) AS BIGINT) AS tokens,
  CAST(len(list_distinct(list_transform(regexp_extract_all(text, '{T.TOKEN}'), lambda x: lower(x)))) AS BIGINT) AS distinct_tokens FROM stg WHERE text IS NOT NULL""")
 def lexical_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical tokens and distinct ones of every staged text."""
+    """FN-05. Lexical tokens and distinct ones of every staged text."""
     x = S.lexical(table(spark, d, "staged_files", "staged_path", "text").where("staged_path is not null"), "staged_path", "text")
     return one_per_key(x, "staged_path", "sha", "tokens", "distinct_tokens").drop("sha")
 
@@ -165,7 +165,7 @@ _SIM = f"""form AS (SELECT staged_path, array_to_string(list_filter(list_transfo
 
 @query(f"WITH {REC}, {STG}, {_SIM} SELECT record_id, near_duplicate_of FROM near")
 def simhash_near_first_match(spark: SparkSession, d: str) -> DataFrame:
-    """For every record the first earlier one whose SimHash lies within three bits in its bucket and whose
+    """FN-18, FN-19, JOIN-09, AGG-09. For every record the first earlier one whose SimHash lies within three bits in its bucket and whose
     token count is within a fifth. Features are hashed by SHA-256, which both engines have."""
     s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").isNotNull() & F.col("text").rlike(r"\S"))
     k = S.lexical(s, "staged_path", "text", form=True, sketch=True).where("tokens > 0")
@@ -195,7 +195,7 @@ def fragment_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_AUD} SELECT record_id, quality, array_to_string(list_sort(reasons), ', ') AS reasons FROM a")
 def quality_status(spark: SparkSession, d: str) -> DataFrame:
-    """Quality status and sorted reasons of every record."""
+    """FLT-06, FN-32, SET-06, POL-01. Quality status and sorted reasons of every record."""
     return _audited(spark, d).select("record_id", "quality", F.array_join(F.array_sort("reasons"), ", ").alias("reasons"))
 
 
@@ -203,13 +203,13 @@ def quality_status(spark: SparkSession, d: str) -> DataFrame:
  count(*) FILTER (sp = 'train') AS train, count(*) FILTER (sp = 'val') AS val, count(*) FILTER (sp = 'test') AS test, count(DISTINCT CASE WHEN sp = 'train' THEN group_id END) AS train_groups,
  CAST(sum(coalesce(bytes, 0)) AS BIGINT) AS bytes, round(coalesce(count(*) FILTER (lower(trim(validation_status)) = 'passed') * 1.0 / nullif(count(*) FILTER (lower(trim(validation_status)) IN ('passed', 'failed')), 0), 1.0), 6) AS parser_rate FROM a""")
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Counters by status and split, groups, bytes and the rate at which the validator passed."""
+    """AGG-04. Counters by status and split, groups, bytes and the rate at which the validator passed."""
     return audit.summary(_audited(spark, d, "group_id"))
 
 
 @query(f"""WITH {_AUD} SELECT source_id, count(*) AS records, count(*) FILTER (quality = 'accepted') AS accepted, count(*) FILTER (quality = 'warning') AS warning, count(*) FILTER (quality = 'quarantine') AS quarantined FROM a GROUP BY source_id""")
 def source_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by quality per source."""
+    """AGG-06. Counts by quality per source."""
     q = F.col("quality")
     return _audited(spark, d).groupBy("source_id").agg(
         F.count("*").alias("records"), F.count_if(q == "accepted").alias("accepted"), F.count_if(q == "warning").alias("warning"), F.count_if(q == "quarantine").alias("quarantined")
@@ -218,7 +218,7 @@ def source_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_AUD}, x AS (SELECT unnest(reasons) AS reason FROM a) SELECT reason, count(*) AS n FROM x GROUP BY reason")
 def reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Records per reason."""
+    """AGG-05. Records per reason."""
     return _audited(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -258,7 +258,7 @@ def audit_status_final(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {REC}, g AS (SELECT trim(group_id) AS group_id, {SPLIT_SQL.format(c="split")} AS sp FROM rec WHERE nullif(trim(group_id), '') IS NOT NULL)
 SELECT group_id, array_to_string(list_sort(list(DISTINCT sp)), ',') AS splits FROM g WHERE sp IS NOT NULL GROUP BY group_id HAVING count(DISTINCT sp) > 1""")
 def group_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Groups that lie in more than one split."""
+    """JOIN-10, AGG-07. Groups that lie in more than one split."""
     g = plain_records(spark, d, "group_id", "split").select(trimmed(F.col("group_id")).alias("group_id"), split_name("split").alias("sp")).where("group_id is not null and sp is not null")
     return audit.leaks(g, "group_id", "sp")
 
@@ -275,14 +275,14 @@ _LINE = f"record_id || ':' || coalesce({SPLIT_SQL.format(c='split')}, '') || ':'
 
 @query(f"WITH {REC} SELECT {I.multiset_fingerprint_sql(_LINE)} AS fingerprint, count(*) AS records FROM rec")
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprint of the lines record:split:license, whatever their order."""
+    """FN-26. Fingerprint of the lines record:split:license, whatever their order."""
     r = plain_records(spark, d, "split", "license").select(F.concat_ws(":", F.col("record_id"), F.coalesce(split_name("split"), F.lit("")), F.coalesce("license", F.lit(""))).alias("line"))
     return r.agg(I.multiset_fingerprint(F.col("line")).alias("fingerprint"), F.count("*").alias("records"))
 
 
 @query(f"""WITH {REC} SELECT source_id, coalesce(lower(trim(validation_status)), 'unknown') AS status, count(*) AS n FROM rec GROUP BY 1, 2""")
 def validation_status_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """Validation statuses per source."""
+    """FLT-14, AGG-02, AGG-03. Validation statuses per source."""
     r = plain_records(spark, d, "source_id", "validation_status").select("source_id", F.coalesce(F.lower(F.trim("validation_status")), F.lit("unknown")).alias("status"))
     return r.groupBy("source_id", "status").agg(F.count("*").alias("n"))
 
@@ -292,7 +292,7 @@ def validation_status_by_source(spark: SparkSession, d: str) -> DataFrame:
  u AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY source_id NULLS FIRST, original_path NULLS FIRST, record_id) AS rn FROM n)
 SELECT source_id, {I.hash_split_sql("unit")} AS split, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM u WHERE rn = 1 GROUP BY 1, 2""")
 def flagship_corpus_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Unique records and bytes per source and split: normalise, drop exact duplicates, split by group."""
+    """AGG-01. Unique records and bytes per source and split: normalise, drop exact duplicates, split by group."""
     h = per_text(spark, d, content_hash=F.sha2(T.normalize_code(F.col("text")), 256), size=F.octet_length("text"))
     x = plain_records(spark, d, "source_id", "group_id", "original_path", "staged_path").join(h, "staged_path")
     first = dedup.first_wins(x, "content_hash", ["source_id", "original_path", "record_id"], "record_id").where("not duplicate")
@@ -300,8 +300,18 @@ def flagship_corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("source_id", I.hash_split(u).alias("split")).agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
 
 
+@query()
+def admitted_records(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-15, AGG-04, JOIN-10. What the final audit lets into training: records, groups and bytes by split, and what it
+    held back. The rows are those of audit_status_final, which has SQL."""
+    a = _final(spark, d)
+    ok = F.col("quality").isin("accepted", "warning")
+    g = trimmed(F.col("group_id"))
+    return a.groupBy("sp").agg(F.count_if(ok).alias("admitted"), F.count_if(~ok).alias("held_back"), F.count_distinct(F.when(ok, g)).alias("groups"), F.sum(F.when(ok, F.col("bytes"))).cast("long").alias("bytes"), F.count_if("leaking").alias("leaking"))
+
+
 @query()
 def unbalanced_scripts(spark: SparkSession, d: str) -> DataFrame:
-    """Scripts whose brackets outside strings and comments do not pair up. No SQL: it needs a state machine."""
+    """STR-02, STR-03. Scripts whose brackets outside strings and comments do not pair up. No SQL: it needs a state machine."""
     s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").endswith(".gd") & F.col("text").isNotNull())
     return s.where(S.unbalanced_udf("text")).select("staged_path").distinct()

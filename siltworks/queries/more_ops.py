@@ -17,7 +17,7 @@ query = Registry()
  r AS (SELECT DISTINCT record_id, coalesce(nullif(trim(project_root), ''), 'none') AS project, lower(content_sha256) AS sha FROM records WHERE record_id IS NOT NULL)
 SELECT project, count(*) AS records, count(hit) AS hits, count(hit) = count(*) AS whole_project FROM r LEFT JOIN c USING (sha) GROUP BY project""")
 def validation_cache_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose content was validated before, and projects of which every record was: the for-all is an
+    """JOIN-06, SRC-31. Records whose content was validated before, and projects of which every record was: the for-all is an
     aggregate, not a window."""
     x = table(spark, d, "records", "record_id", "project_root", "content_sha256", "validation_status")
     c = x.where("lower(trim(validation_status)) = 'passed' and content_sha256 is not null").select(F.lower("content_sha256").alias("sha")).distinct().withColumn("hit", F.lit(1))
@@ -30,7 +30,7 @@ def validation_cache_hits(spark: SparkSession, d: str) -> DataFrame:
  m AS (SELECT r.record_id, f.failed FROM rec r JOIN f ON r.original_path = f.failed OR ends_with(r.original_path, '/' || f.failed))
 SELECT record_id, min(failed) AS failed FROM m GROUP BY record_id HAVING count(*) = 1""")
 def failed_path_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Records that exactly one failed path names, whole or as a suffix. A suffix match is an equality with
+    """JOIN-07. Records that exactly one failed path names, whole or as a suffix. A suffix match is an equality with
     one of the record path's suffixes, so nothing is compared pairwise."""
     f = table(spark, d, "project_audits", "parser_failed_files").select(F.explode("parser_failed_files").alias("failed")).where("failed is not null").distinct()
     parts = F.split("original_path", "/")
@@ -43,7 +43,7 @@ def failed_path_matches(spark: SparkSession, d: str) -> DataFrame:
 SELECT record_id, CASE WHEN kind = 'rst_gdscript' THEN 'not_required' WHEN s = 'passed' AND err IS NOT NULL THEN 'passed_with_context' WHEN s = 'passed' THEN 'passed' WHEN s = 'failed' AND regexp_matches(lower(err), 'missing resource|autoload|not known|could not be resolved') THEN 'context_only'
  WHEN s = 'failed' AND regexp_matches(lower(err), 'timeout') THEN 'retry' WHEN s = 'failed' THEN 'rejected' ELSE 'pending' END AS decision FROM x""")
 def validation_decision(spark: SparkSession, d: str) -> DataFrame:
-    """The decision table over kind, status and message."""
+    """POL-03. The decision table over kind, status and message."""
     r = plain_records(spark, d, "kind", "validation_status", "validation_error").withColumnRenamed("validation_error", "err")
     s, m = F.lower(F.trim("validation_status")), F.lower("err")
     k = (
@@ -58,7 +58,7 @@ def validation_decision(spark: SparkSession, d: str) -> DataFrame:
 SELECT staged_path, CAST(len(list_filter(ls, lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#'))) AS BIGINT) AS code_lines, round(least(1.0, len(list_filter(ls, lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#'))) / 3.0), 6) AS substance,
  len(list_filter(ls, lambda x: trim(x) NOT IN ('', 'pass', 'return') AND NOT starts_with(ltrim(x), '#'))) = 0 AS is_trivial FROM l""")
 def completion_substance(spark: SparkSession, d: str) -> DataFrame:
-    """Code lines, substance score and triviality of a text taken as a completion."""
+    """FN-47, AGG-19. Code lines, substance score and triviality of a text taken as a completion."""
     code = F.filter(F.split("text", "\n"), lambda s: (F.trim(s) != "") & ~F.ltrim(s).startswith("#"))
     facts = F.transform(F.array(code), lambda c: F.struct(F.size(c).alias("n"), F.size(F.filter(c, lambda s: ~F.trim(s).isin("pass", "return"))).alias("real")))[0]
     x = per_text(spark, d, f=facts).select("staged_path", "f.*")
@@ -81,7 +81,7 @@ def positional_match_ratio(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT doc_id, max(strlen(coalesce(text, ''))) AS body, max(strlen(coalesce(title, ''))) AS title, max(strlen(coalesce(source, ''))) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), y AS (SELECT *, 1023 - title - source AS room FROM x)
 SELECT doc_id, title + source + body AS total, least(body, greatest(room, 0)) AS kept, body - least(body, greatest(room, 0)) AS dropped, title + source + body <= 1023 AS fits FROM y""")
 def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
-    """A prompt of fixed parts and a body trimmed to what the window leaves."""
+    """FN-51, STR-04. A prompt of fixed parts and a body trimmed to what the window leaves."""
     n = lambda c: F.max(F.octet_length(F.coalesce(c, F.lit("")))).cast("long").alias(c)
     x = table(spark, d, "documents", "doc_id", "text", "title", "source").where("doc_id is not null").groupBy("doc_id").agg(n("text"), n("title"), n("source"))
     fixed = F.col("title") + F.col("source")
@@ -92,7 +92,7 @@ def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {REC}, x AS (SELECT record_id, regexp_extract(original_path, '[.]([a-z]+)(#.*)?$', 1) AS ext, lower(regexp_extract(original_path, '([^/]*)$', 1)) AS name FROM rec WHERE original_path IS NOT NULL)
 SELECT ext, count(*) AS files, count(*) FILTER (regexp_matches(name, 'secret|credential|password|[.]env|[.]pem|[.]key')) AS secret_named, count(*) FILTER (regexp_matches(name, '[.](exe|dll|so|dylib|bat|cmd|ps1|sh)$')) AS executable, count(*) FILTER (contains(name, '#gdscript-')) AS snippets FROM x GROUP BY ext""")
 def file_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Files by ending, with those whose names tell secrets or executables."""
+    """FLT-08. Files by ending, with those whose names tell secrets or executables."""
     name = F.lower(F.regexp_extract("original_path", "([^/]*)$", 1))
     x = plain_records(spark, d, "original_path").where("original_path is not null").select(F.regexp_extract("original_path", "[.]([a-z]+)(#.*)?$", 1).alias("ext"), name.alias("name"))
     c = F.col("name")
@@ -127,14 +127,14 @@ def largest_projects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT source, reason, split_part(reason, ':', 1) AS class FROM skipped WHERE reason IS NOT NULL) SELECT class, count(*) AS n, count(DISTINCT source) AS sources FROM r GROUP BY class ORDER BY n DESC, class LIMIT 5""")
 def top_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """The five most frequent reasons to skip; the limit is the feature."""
+    """AGG-29, TOP-05. The five most frequent reasons to skip; the limit is the feature."""
     r = table(spark, d, "skipped", "source", "reason").where("reason is not null").select("source", F.substring_index("reason", ":", 1).alias("class"))
     return r.groupBy("class").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")).orderBy(F.desc("n"), "class").limit(5)
 
 
 @query(f"""WITH {REC}, {STG} SELECT coalesce(source_id, 'none') AS source_id, CAST(sum(coalesce(bytes, 0)) AS BIGINT) AS stated, CAST(sum(coalesce(real, 0)) AS BIGINT) AS real, count(*) FILTER (coalesce(bytes, 0) <> coalesce(real, 0)) AS differing FROM rec LEFT JOIN (SELECT staged_path AS sp, strlen(text) AS real FROM stg) ON sp = staged_path GROUP BY 1""")
 def stated_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Stated against real sizes per source."""
+    """AGG-27. Stated against real sizes per source."""
     r = plain_records(spark, d, "source_id", "bytes", "staged_path").join(per_text(spark, d, real=F.octet_length("text")), "staged_path", "left")
     b, x = F.coalesce("bytes", F.lit(0)), F.coalesce("real", F.lit(0))
     return r.groupBy(F.coalesce("source_id", F.lit("none")).alias("source_id")).agg(F.sum(b).alias("stated"), F.sum(x).cast("long").alias("real"), F.count_if(b != x).alias("differing"))

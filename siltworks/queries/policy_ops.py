@@ -20,7 +20,7 @@ query = Registry()
  r AS (SELECT unnest([CASE WHEN n = 0 THEN 'blocker:no-records' END, CASE WHEN train < 10 THEN 'blocker:train-groups' END, CASE WHEN val < 2 THEN 'blocker:val-groups' END, CASE WHEN test < 2 THEN 'blocker:test-groups' END, CASE WHEN coalesce(rate, 1) < 0.65 THEN 'warning:parser-rate' END]) AS rule FROM a)
 SELECT count(*) FILTER (starts_with(rule, 'blocker')) AS blockers, count(*) FILTER (starts_with(rule, 'warning')) AS warnings, CASE WHEN count(*) FILTER (starts_with(rule, 'blocker')) > 0 THEN 'red' WHEN count(*) FILTER (starts_with(rule, 'warning')) > 0 THEN 'yellow' ELSE 'green' END AS light FROM r""")
 def preflight_lights(spark: SparkSession, d: str) -> DataFrame:
-    """Blockers, warnings and the light they give."""
+    """AGG-32, POL-08. Blockers, warnings and the light they give."""
     r = plain_records(spark, d).withColumns({"sp": split_name("split"), "v": F.lower(F.trim("validation_status"))})
     groups = lambda s: F.countDistinct(F.when(F.col("sp") == s, F.col("group_id")))
     rate = F.count_if(F.col("v") == "passed") / F.nullif(F.count_if(F.col("v").isin("passed", "failed")), F.lit(0))
@@ -35,7 +35,7 @@ def preflight_lights(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT source_id, max(staged_at) AS newest FROM records GROUP BY source_id), a AS (SELECT max(audited_at) AS done FROM project_audits)
 SELECT source_id, newest > done + INTERVAL 1 MILLISECOND AS stale FROM s, a""")
 def freshness(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a source's newest staged file is newer than the newest audit."""
+    """JOIN-18, FRS-01. Whether a source's newest staged file is newer than the newest audit."""
     s = table(spark, d, "records", "source_id", "staged_at").groupBy("source_id").agg(F.max("staged_at").alias("newest"))
     a = table(spark, d, "project_audits", "audited_at").agg(F.max("audited_at").alias("done"))
     return s.crossJoin(F.broadcast(a)).select("source_id", (F.col("newest") > F.col("done") + F.expr("INTERVAL '0.001' SECOND")).alias("stale"))  # one row
@@ -45,7 +45,7 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
 SELECT kind, status, count(*) AS n FROM (SELECT t.kind, CASE WHEN f.staged_path IS NULL THEN 'missing' ELSE 'ready' END AS status FROM t LEFT JOIN f USING (staged_path)
  UNION ALL SELECT 'raw', 'unlisted' FROM f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.staged_path = f.staged_path) UNION ALL SELECT 'skipped', coalesce(split_part(reason, ':', 1), 'unknown') FROM skipped) GROUP BY kind, status""")
 def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Listed, missing, unlisted and skipped files, counted by kind and status."""
+    """JOIN-11, JOIN-12, AGG-22, SET-02, SET-04. Listed, missing, unlisted and skipped files, counted by kind and status."""
     t = plain_records(spark, d, "staged_path").where("staged_path is not null").select("staged_path")
     f = table(spark, d, "staged_files", "staged_path").where("staged_path is not null").distinct()
     a = t.join(f.withColumn("there", F.lit(1)), "staged_path", "left").select(F.lit("training").alias("kind"), F.when(F.col("there").isNull(), "missing").otherwise("ready").alias("status"))
@@ -56,7 +56,7 @@ def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {REC}, x AS (SELECT kind AS tier, lower(trim(validation_status)) AS s FROM rec) SELECT tier, count(*) AS cases, count(*) FILTER (s = 'passed') AS passed, count(*) FILTER (s = 'failed') AS failed, round(count(*) FILTER (s = 'passed') / count(*), 6) AS rate FROM x GROUP BY ROLLUP (tier)""")
 def benchmark_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Cases, passes and rates per tier and overall."""
+    """AGG-18, AGG-36. Cases, passes and rates per tier and overall."""
     x = plain_records(spark, d, "kind", "validation_status").select(F.col("kind").alias("tier"), F.lower(F.trim("validation_status")).alias("s"))
     p = F.count_if(F.col("s") == "passed")
     return x.rollup("tier").agg(F.count("*").alias("cases"), p.alias("passed"), F.count_if(F.col("s") == "failed").alias("failed"), F.round(p / F.count("*"), 6).alias("rate"))
@@ -65,7 +65,7 @@ def benchmark_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {REC}, c AS (SELECT source_id, lower(trim(validation_status)) AS s FROM rec), v AS (SELECT source_id, CASE WHEN count(*) FILTER (s = 'failed') > 0.1 * count(*) THEN 'FALSIFIED' WHEN count(*) FILTER (s = 'passed') = 0 THEN 'UNRESOLVED' ELSE 'VERIFIED' END AS verdict FROM c GROUP BY source_id)
 SELECT count(*) AS checks, count(*) FILTER (verdict = 'FALSIFIED') AS falsified, CASE WHEN bool_or(verdict = 'FALSIFIED') THEN 'FALSIFIED' WHEN bool_or(verdict = 'UNRESOLVED') AND NOT bool_or(verdict = 'VERIFIED') THEN 'UNRESOLVED' ELSE 'VERIFIED' END AS overall FROM v""")
 def overall_verdict(spark: SparkSession, d: str) -> DataFrame:
-    """A verdict per source and the one over all."""
+    """AGG-31. A verdict per source and the one over all."""
     c = plain_records(spark, d, "source_id", "validation_status").select("source_id", F.lower(F.trim("validation_status")).alias("s"))
     g = c.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("s") == "failed").alias("f"), F.count_if(F.col("s") == "passed").alias("p"))
     v = g.select(F.when(F.col("f") > F.col("n") * 0.1, "FALSIFIED").when(F.col("p") == 0, "UNRESOLVED").otherwise("VERIFIED").alias("v"))
@@ -76,7 +76,7 @@ def overall_verdict(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {REC} SELECT record_id, CASE WHEN validation_error IS NULL THEN 'none' WHEN regexp_matches(lower(validation_error), 'timeout') THEN 'timeout' WHEN regexp_matches(lower(validation_error), 'missing resource|autoload|not known|could not be resolved') THEN 'context' WHEN regexp_matches(lower(validation_error), 'unexpected|expected|parse|syntax|unterminated|parser') THEN 'syntax' ELSE 'other' END AS class,
  coalesce(TRY_CAST(regexp_extract(validation_error, '(?:line |at |:)([0-9]+)', 1) AS BIGINT), -1) AS line FROM rec""")
 def parser_error_classes(spark: SparkSession, d: str) -> DataFrame:
-    """The class of a validator's message and the line it names."""
+    """FN-35. The class of a validator's message and the line it names."""
     r = plain_records(spark, d, "validation_error").withColumnRenamed("validation_error", "e")
     x = F.lower("e")
     k = (
@@ -88,7 +88,7 @@ def parser_error_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def instruction_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Completion and repair tasks of function blocks, two per file at most, the cap being the feature. No
+    """FN-43, FN-44, FN-45, WIN-13, UDF-06. Completion and repair tasks of function blocks, two per file at most, the cap being the feature. No
     SQL: blocks are told by indentation; tested against fixtures."""
     r = plain_records(spark, d, "split", "staged_path", "original_path").select(split_name("split").alias("split"), "staged_path", "original_path").where("split is not null")
     s = table(spark, d, "staged_files", "staged_path", "text").where(F.col("staged_path").endswith(".gd") & F.col("text").isNotNull())
@@ -120,7 +120,7 @@ def instruction_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def documentation_snippets(spark: SparkSession, d: str) -> DataFrame:
-    """Script blocks of documentation pages, numbered per page. No SQL: indentation decides."""
+    """SRC-03, FN-20, WIN-14. Script blocks of documentation pages, numbered per page. No SQL: indentation decides."""
     t = table(spark, d, "documents", "doc_id", "text").where(F.col("text").contains("gdscript")).groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def cut(batches):
@@ -135,7 +135,7 @@ def documentation_snippets(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT unnest(['signals', 'nodes', 'scenes', 'physics', 'input', 'ui', 'tween', 'save']) AS topic), n AS (SELECT unnest(range(1, 25)) AS lesson)
 SELECT topic, lesson, 'lessons/' || topic || '/' || lpad(CAST(lesson AS VARCHAR), 2, '0') || '.gd' AS path, CASE WHEN lesson <= 18 THEN 'train' WHEN lesson <= 21 THEN 'val' ELSE 'test' END AS split FROM t, n""")
 def curriculum_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Generated rows: eight topics of twenty-four lessons with their split."""
+    """SRC-24, FN-29, UDF-05. Generated rows: eight topics of twenty-four lessons with their split."""
     t = spark.createDataFrame([(x,) for x in ("signals", "nodes", "scenes", "physics", "input", "ui", "tween", "save")], "topic string")
     x = t.withColumn("lesson", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(24).cast("long"))))
     split = F.when(F.col("lesson") <= 18, "train").when(F.col("lesson") <= 21, "val").otherwise("test")
@@ -145,7 +145,7 @@ def curriculum_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT profile, max_seq_len, batch_size FROM train_profiles), x AS (SELECT profile, b AS batch, a AS accumulate, max_seq_len * b * a AS tokens FROM p, (SELECT unnest([1, 2, 4]) AS b), (SELECT unnest([1, 2]) AS a))
 SELECT profile, max(tokens) FILTER (tokens <= 8192) AS largest_safe, coalesce(min(tokens) FILTER (tokens > 8192), -1) AS first_unsafe, max_by(batch, struct_pack(x := tokens, y := batch)) FILTER (tokens <= 8192) AS best_batch FROM x GROUP BY profile""")
 def probe_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """A configuration matrix per profile with the largest safe and the first unsafe entry."""
+    """SRC-25, FLT-21, AGG-26, TOP-03. A configuration matrix per profile with the largest safe and the first unsafe entry."""
     p = table(spark, d, "train_profiles", "profile", "max_seq_len")
     x = p.select("profile", "max_seq_len", F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("batch")).select("profile", "max_seq_len", "batch", F.explode(F.array(F.lit(1), F.lit(2))).alias("accumulate"))
     x = x.withColumn("tokens", F.col("max_seq_len") * F.col("batch") * F.col("accumulate"))
@@ -158,7 +158,7 @@ def probe_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {STG}, l AS (SELECT staged_path, unnest(string_split(text, chr(10))) AS line FROM stg WHERE text IS NOT NULL)
 SELECT staged_path, count(*) AS lines, count(*) FILTER (trim(line) = '') AS blank, count(*) FILTER (starts_with(ltrim(line), '#')) AS comments, max(length(line)) AS longest, bool_or(starts_with(line, chr(9))) AND bool_or(starts_with(line, '    ')) AS mixed_indent, count(*) FILTER (regexp_matches(line, '^(<<<<<<<|>>>>>>>)')) AS merge_marks FROM l GROUP BY staged_path""")
 def static_line_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Line statistics and line-wise warnings of every text, computed within the row: nothing is exploded."""
+    """FN-34. Line statistics and line-wise warnings of every text, computed within the row: nothing is exploded."""
     n = lambda l, f: F.size(F.filter(l, f)).cast("long")  # noqa: E731, E741
     facts = F.transform(F.array(F.split("text", "\n")), lambda l: F.struct(  # noqa: E741
         F.size(l).cast("long").alias("lines"), n(l, lambda s: F.trim(s) == "").alias("blank"), n(l, lambda s: F.ltrim(s).startswith("#")).alias("comments"),
@@ -168,4 +168,22 @@ def static_line_checks(spark: SparkSession, d: str) -> DataFrame:
     return per_text(spark, d, f=facts).select("staged_path", "f.*")
 
 
+@query()
+def instruction_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-15. Tasks by split and type with a fingerprint that doesn't depend on their order. No SQL: the tasks have none."""
+    from siltworks.functions.ident import multiset_fingerprint
+
+    return instruction_tasks(spark, d).groupBy("split", "task_type").agg(F.count("*").alias("tasks"), multiset_fingerprint(F.col("task_id")).alias("fingerprint"))
+
+
+@query(f"""WITH {REC}, p AS (SELECT record_id, kind, lower(regexp_replace(original_path, '#.*$', '')) AS path, lower(regexp_extract(rtrim(trim(project_root), '/'), '([^/]+)$', 1)) AS folder FROM rec WHERE original_path IS NOT NULL)
+SELECT record_id, CASE WHEN kind = 'user_lessons' THEN path WHEN coalesce(folder, '') <> '' AND starts_with(path, folder || '/') THEN substr(path, length(folder) + 2) END AS script FROM p""")
+def script_paths(spark: SparkSession, d: str) -> DataFrame:
+    """FN-60. The path of a record's script below its project, in lower case; null where it lies elsewhere."""
+    path, folder = F.lower(F.regexp_replace("original_path", "#.*$", "")), F.lower(F.regexp_extract(F.rtrim(F.trim("project_root"), F.lit("/")), "([^/]+)$", 1))
+    p = plain_records(spark, d, "kind", "original_path", "project_root").where("original_path is not null").select("record_id", "kind", path.alias("path"), folder.alias("folder"))
+    inside = (F.coalesce("folder", F.lit("")) != "") & F.startswith("path", F.concat("folder", F.lit("/")))
+    return p.select("record_id", F.when(F.col("kind") == "user_lessons", F.col("path")).when(inside, F.substr("path", F.length("folder") + 2)).alias("script"))
+
+
 QUERIES, SQL = query.queries, query.sql

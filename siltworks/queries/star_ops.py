@@ -111,7 +111,7 @@ def setop_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def topk_orders(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred largest orders; the limit is the feature."""
+    """TOP-01, TOP-10. The hundred largest orders; the limit is the feature."""
     return table(spark, d, "orders", "o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 

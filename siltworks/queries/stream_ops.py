@@ -21,7 +21,7 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS events, round(sum(value), 4) AS total, max_by(event_type, struct_pack(a := ts, b := event_id)) AS last_type FROM events GROUP BY user_id")
 def stream_job_state(spark: SparkSession, d: str) -> DataFrame:
-    """The state of every job after the stream has run dry."""
+    """STM-01. The state of every job after the stream has run dry."""
     out = jobs.run_available(jobs.job_states(jobs.event_stream(spark, f"{d}/events.parquet")), "update")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("events", "total", "last_type"), "batch").alias("s"))
     return last.select("user_id", "s.events", F.round("s.total", 4).alias("total"), "s.last_type")

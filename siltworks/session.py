@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def build(cores: int | str = "*", app: str = "siltworks", **conf: str) -> SparkSession:
@@ -77,11 +78,20 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltworks/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._siltworks_path = path  # type: ignore[attr-defined]
     return back
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete every table that this application has written by stored(); for the end of a run, since results
+    are read from them until then."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table written by stored() that nothing will read again."""
     path = getattr(df, "_siltworks_path", None)

@@ -17,14 +17,14 @@ MOST_ENTRIES, MOST_BYTES, MOST_FILE, MOST_RATIO, RATIO_FROM = 100_000, 8 << 30,
 
 
 def discover(spark: SparkSession, folder: str, *suffixes: str) -> DataFrame:
-    """path, length and modified of the files with one of the suffixes, whatever their case. The content
+    """SRC-01. path, length and modified of the files with one of the suffixes, whatever their case. The content
     column is pruned, so files are listed, not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
     return f.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin([s.lower().lstrip(".") for s in suffixes]))
 
 
 def decoded(raw: bytes) -> tuple[str, str]:
-    """(text, encoding): UTF-8 with or without mark, else cp1252, else UTF-8 with replacement."""
+    """SRC-18. (text, encoding): UTF-8 with or without mark, else cp1252, else UTF-8 with replacement."""
     for enc in ("utf-8-sig", "cp1252"):
         try:
             return raw.decode(enc), "utf-8" if enc == "utf-8-sig" else enc
@@ -34,7 +34,7 @@ def decoded(raw: bytes) -> tuple[str, str]:
 
 
 def read_texts(spark: SparkSession, folder: str, *suffixes: str) -> DataFrame:
-    """path, text and encoding of text files."""
+    """SRC-02. path, text and encoding of text files."""
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +48,7 @@ def read_texts(spark: SparkSession, folder: str, *suffixes: str) -> DataFrame:
 
 
 def archive_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """archive, entry, size, compressed and the first rule an entry breaks; a broken archive is one row."""
+    """FLT-10. archive, entry, size, compressed and the first rule an entry breaks; a broken archive is one row."""
 
     def rule(i: zipfile.ZipInfo) -> str | None:
         n = i.filename.replace("\\", "/")
@@ -80,7 +80,7 @@ def archive_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_preflight(entries: DataFrame) -> DataFrame:
-    """Per archive: entries, bytes, roots, problems and whether it may be unpacked."""
+    """SRC-05, AGG-10. Per archive: entries, bytes, roots, problems and whether it may be unpacked."""
     g = entries.groupBy("archive").agg(
         F.count("entry").alias("entries"), F.sum("size").alias("bytes"), F.countDistinct(F.split("entry", "/")[0]).alias("roots"), F.count("problem").alias("problems")
     )
@@ -88,24 +88,24 @@ def archive_preflight(entries: DataFrame) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, broken lines) of JSON lines under an explicit schema; blank lines are neither."""
+    """SRC-15, SRC-35. (rows, broken lines) of JSON lines under an explicit schema; blank lines are neither."""
     raw = spark.read.text(path).where(F.trim("value") != "")
     p = raw.select("value", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return p.where("r._bad is null").select("r.*").drop("_bad"), p.where("r._bad is not null").select("value")
 
 
 def write_json_lines(df: DataFrame, path: str, *partition: str, mode: str = "overwrite") -> None:
-    """JSON lines, a folder per value of the partition columns."""
+    """SNK-09, SNK-10. JSON lines, a folder per value of the partition columns."""
     w = df.write.mode(mode)
     (w.partitionBy(*partition) if partition else w).json(path)
 
 
 def with_header(df: DataFrame) -> DataFrame:
-    """df(source_id, original_path, license, text, ...) with the provenance header before the text."""
+    """SNK-03. df(source_id, original_path, license, text, ...) with the provenance header before the text."""
     h = F.format_string("# source: %s\n# path: %s\n# license: %s\n\n", F.coalesce("source_id", F.lit("")), F.coalesce("original_path", F.lit("")), F.coalesce("license", F.lit("")))
     return df.withColumn("text", F.concat(h, "text"))
 
 
 def write_split_folders(df: DataFrame, path: str) -> None:
-    """Accepted records as Parquet, a folder per split and source."""
+    """SNK-04. Accepted records as Parquet, a folder per split and source."""
     df.write.mode("overwrite").partitionBy("split", "source_id").parquet(path)

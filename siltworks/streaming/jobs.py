@@ -47,7 +47,7 @@ def rate_limited(s: DataFrame, limit: int = 3, width: str = "6 hours", slide: st
 
 
 def sessions(s: DataFrame, gap: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Session windows per user."""
+    """STM-05. Session windows per user."""
     g = s.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "n")
 

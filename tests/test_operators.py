@@ -252,3 +252,14 @@ def test_running_over_cut_groups(spark):
     for i, g, _ in rows:
         b = [v for j, h, v in rows if h == g and j < i and v is not None]
         assert got[i] == ((sum(b), min(b), max(b), b[-1]) if b else (None,) * 4), i
+
+
+def test_sweep_removes_what_was_stored(spark):
+    from siltworks import session
+
+    x = session.stored(spark.range(3), "swept")
+    assert x.count() == 3
+    path = x._siltworks_path
+    session.sweep(spark)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

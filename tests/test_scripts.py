@@ -141,3 +141,15 @@ def test_round_trips_over_tables(spark, small):
             tok.decode([tok.size])
     w = S.shifted_windows(spark, small).collect()
     assert w and all(r["x"][1:] == r["y"][:-1] for r in w)
+
+
+def test_blocks_by_indentation():
+    from siltworks.functions.scan import function_blocks, rst_snippets
+
+    t = "func a(x):\n\tif x:\n\t\treturn 1\n\n\treturn 2\n\nvar k = 1\nfunc b(\nfunc c() -> int:\n    pass\n    pass\n"
+    assert [c.split("(")[0] for _, c in function_blocks(t)] == ["func a", "func c"]
+    page = (
+        "Title\n\n.. tabs::\n\n .. code-tab:: gdscript GDScript\n    :linenos:\n\n    var first = 1\n    var second = 2\n\n .. code-tab:: csharp\n\n    int x = 1; // and so on\n\n"
+        ".. code:: GDScript\n\n\tfunc long_name():\n\t\treturn 12345\n\n.. code-block:: gdscript\n\n    # Output: 1 2 3 4 5 6 7 8 9\n\n.. code-block:: gdscript\n\n    var short = ... # and more of it\n"
+    )
+    assert rst_snippets(page) == [(1, "var first = 1\nvar second = 2"), (2, "func long_name():\n\treturn 12345")]
