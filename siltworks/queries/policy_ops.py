@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import scan as S
 from siltworks.functions.ident import record_id
+from siltworks.queries import corpus as C
 from siltworks.queries.corpus import REC, plain_records
 from siltworks.queries.registering import Registry
 from siltworks.session import spread
@@ -15,20 +16,51 @@ from siltworks.sources.tables import SPLIT_SQL, STG, one_per_key, per_text, spli
 query = Registry()
 
 
-@query(f"""WITH {REC}, a AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN {SPLIT_SQL.format(c='split')} = 'train' THEN group_id END) AS train, count(DISTINCT CASE WHEN {SPLIT_SQL.format(c='split')} = 'val' THEN group_id END) AS val,
- count(DISTINCT CASE WHEN {SPLIT_SQL.format(c='split')} = 'test' THEN group_id END) AS test, count(*) FILTER (lower(trim(validation_status)) = 'passed') / nullif(count(*) FILTER (lower(trim(validation_status)) IN ('passed', 'failed')), 0) AS rate FROM rec),
- r AS (SELECT unnest([CASE WHEN n = 0 THEN 'blocker:no-records' END, CASE WHEN train < 10 THEN 'blocker:train-groups' END, CASE WHEN val < 2 THEN 'blocker:val-groups' END, CASE WHEN test < 2 THEN 'blocker:test-groups' END, CASE WHEN coalesce(rate, 1) < 0.65 THEN 'warning:parser-rate' END]) AS rule FROM a)
-SELECT count(*) FILTER (starts_with(rule, 'blocker')) AS blockers, count(*) FILTER (starts_with(rule, 'warning')) AS warnings, CASE WHEN count(*) FILTER (starts_with(rule, 'blocker')) > 0 THEN 'red' WHEN count(*) FILTER (starts_with(rule, 'warning')) > 0 THEN 'yellow' ELSE 'green' END AS light FROM r""")
+#: Least groups of a split, parser rate, near duplicates (at least, and as a share), training tokens.
+GROUPS, PARSER_RATE, NEAR, NEAR_SHARE, TOKENS = {"train": 10, "val": 2, "test": 2}, 0.65, 25, 0.20, 500_000
+_SP = SPLIT_SQL.format(c="split")
+_RULES = f"""{REC}, {STG}, {C._SIM}, n AS (SELECT sha256({C._N}) AS h, {_SP} AS sp FROM rec JOIN stg USING (staged_path)), p AS (SELECT *, {_SP} AS sp, lower(trim(validation_status)) AS v FROM rec),
+ a AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN sp = 'train' THEN group_id END) AS train, count(DISTINCT CASE WHEN sp = 'val' THEN group_id END) AS val, count(DISTINCT CASE WHEN sp = 'test' THEN group_id END) AS test,
+  coalesce(count(*) FILTER (v = 'passed') / nullif(count(*) FILTER (v IN ('passed', 'failed')), 0), 1) AS rate FROM p),
+ gl AS (SELECT count(*) AS n FROM (SELECT 1 FROM p WHERE nullif(trim(group_id), '') IS NOT NULL AND sp IS NOT NULL GROUP BY trim(group_id) HAVING count(DISTINCT sp) > 1)), cl AS (SELECT count(*) AS n FROM (SELECT 1 FROM n WHERE sp IS NOT NULL GROUP BY h HAVING count(DISTINCT sp) > 1)),
+ nd AS (SELECT count(*) AS n FROM near), tk AS (SELECT {", ".join(f"coalesce(sum(strlen(text) + strlen(original_path) + 13) FILTER (sp = '{k}'), 0) AS {k}" for k in ("train", "val", "test"))} FROM p JOIN stg USING (staged_path) WHERE original_path IS NOT NULL),
+ fr AS (SELECT coalesce((SELECT max(staged_at) FROM records) > (SELECT max(audited_at) FROM project_audits) + INTERVAL 1 MILLISECOND, false) AS stale),
+ r AS (SELECT unnest(['no-records', 'few-groups', 'group-leaks', 'content-leaks', 'parser-rate', 'near-duplicates', 'train-tokens', 'val-tokens', 'test-tokens', 'stale-audit']) AS rule, unnest(['blocker', 'blocker', 'blocker', 'warning', 'warning', 'warning', 'blocker', 'blocker', 'warning', 'blocker']) AS kind,
+  unnest([a.n = 0, a.train < 10 OR a.val < 2 OR a.test < 2, gl.n > 0, cl.n > 0 AND gl.n = 0, rate < 0.65, nd.n > greatest(25, 0.20 * a.n), tk.train < 500000, tk.val <= 0, tk.test <= 0, stale]) AS broken FROM a, gl, cl, nd, tk, fr)"""
+
+
+@query(f"WITH {_RULES} SELECT rule, kind, broken FROM r")
+def preflight_rules(spark: SparkSession, d: str) -> DataFrame:
+    """POL-08, FRS-01. The rules that a training run must meet, each with its kind and whether it is broken: groups and
+    tokens of the splits, leaks, parser rate, near duplicates and the age of the audit. Every figure is an
+    aggregate of one row."""
+    r = plain_records(spark, d, "group_id", "split", "validation_status", "staged_path", "original_path").withColumns({"sp": split_name("split"), "v": F.lower(F.trim("validation_status"))})
+    c = F.col
+    groups = [F.countDistinct(F.when(c("sp") == k, c("group_id"))).alias(k) for k in GROUPS]
+    rate = F.coalesce(F.count_if(c("v") == "passed") / F.nullif(F.count_if(c("v").isin("passed", "failed")), F.lit(0)), F.lit(1.0))
+    a = r.agg(F.count("*").alias("n"), *groups, rate.alias("rate"))
+    t = r.where("original_path is not null").join(per_text(spark, d, bytes=F.octet_length("text")), "staged_path")
+    tokens = t.agg(*[F.coalesce(F.sum(F.when(c("sp") == k, c("bytes") + F.octet_length("original_path") + 13)), F.lit(0)).alias(f"t_{k}") for k in GROUPS])
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    newest = table(spark, d, "records", "staged_at").agg(F.max("staged_at").alias("staged"))
+    audited = table(spark, d, "project_audits", "audited_at").agg(F.max("audited_at").alias("audited"))
+    x = a
+    for one in (tokens, count(C.group_leaks(spark, d), "gl"), count(C.content_leaks(spark, d), "cl"), count(C.simhash_near_first_match(spark, d), "nd"), newest, audited):
+        x = x.crossJoin(F.broadcast(one))  # one row each
+    few = (c("train") < GROUPS["train"]) | (c("val") < GROUPS["val"]) | (c("test") < GROUPS["test"])
+    stale = F.coalesce(c("staged") > c("audited") + F.expr("INTERVAL '0.001' SECOND"), F.lit(False))
+    rules = [
+        ("no-records", "blocker", c("n") == 0), ("few-groups", "blocker", few), ("group-leaks", "blocker", c("gl") > 0), ("content-leaks", "warning", (c("cl") > 0) & (c("gl") == 0)), ("parser-rate", "warning", c("rate") < PARSER_RATE),
+        ("near-duplicates", "warning", c("nd") > F.greatest(F.lit(float(NEAR)), NEAR_SHARE * c("n"))), ("train-tokens", "blocker", c("t_train") < TOKENS), ("val-tokens", "blocker", c("t_val") <= 0), ("test-tokens", "warning", c("t_test") <= 0), ("stale-audit", "blocker", stale),
+    ]
+    return x.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(k).alias("kind"), b.alias("broken")) for n, k, b in rules])).alias("r")).select("r.*")
+
+
+@query(f"WITH {_RULES} SELECT count(*) FILTER (broken AND kind = 'blocker') AS blockers, count(*) FILTER (broken AND kind = 'warning') AS warnings, CASE WHEN count(*) FILTER (broken AND kind = 'blocker') > 0 THEN 'red' WHEN count(*) FILTER (broken AND kind = 'warning') > 0 THEN 'yellow' ELSE 'green' END AS light FROM r")
 def preflight_lights(spark: SparkSession, d: str) -> DataFrame:
     """AGG-32, POL-08. Blockers, warnings and the light they give."""
-    r = plain_records(spark, d).withColumns({"sp": split_name("split"), "v": F.lower(F.trim("validation_status"))})
-    groups = lambda s: F.countDistinct(F.when(F.col("sp") == s, F.col("group_id")))
-    rate = F.count_if(F.col("v") == "passed") / F.nullif(F.count_if(F.col("v").isin("passed", "failed")), F.lit(0))
-    a = r.agg(F.count("*").alias("n"), groups("train").alias("train"), groups("val").alias("val"), groups("test").alias("test"), rate.alias("rate"))
-    b = [(F.col("n") == 0), (F.col("train") < 10), (F.col("val") < 2), (F.col("test") < 2)]
-    blockers = sum((x.cast("int") for x in b), F.lit(0))
-    warnings = (F.coalesce("rate", F.lit(1.0)) < 0.65).cast("int")
-    x = a.select(blockers.cast("long").alias("blockers"), warnings.cast("long").alias("warnings"))
+    n = lambda k: F.count_if(F.col("broken") & (F.col("kind") == k))
+    x = preflight_rules(spark, d).agg(n("blocker").alias("blockers"), n("warning").alias("warnings"))
     return x.withColumn("light", F.when(F.col("blockers") > 0, "red").when(F.col("warnings") > 0, "yellow").otherwise("green"))
 
 
