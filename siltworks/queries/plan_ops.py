@@ -88,7 +88,7 @@ def probe_rollup(spark: SparkSession, d: str) -> DataFrame:
     """AGG-26. The largest batch that passes, the first that doesn't, and whether the former is only a bound."""
     p = table(spark, d, "train_profiles", "profile", "max_seq_len").select("profile", "max_seq_len", F.explode(F.array(*map(F.lit, (1, 2, 4, 6, 8)))).alias("b"))
     ok = F.col("max_seq_len") * F.col("b") <= 4096
-    return p.groupBy("profile").agg(F.coalesce(F.max(F.when(ok, F.col("b"))), F.lit(0)).alias("largest_passing"), F.coalesce(F.min(F.when(~ok, F.col("b"))), F.lit(-1)).alias("first_failing"), F.bool_and(ok).alias("lower_bound"))
+    return p.groupBy("profile").agg(F.coalesce(F.max(F.when(ok, F.col("b"))), F.lit(0)).alias("largest_passing"), F.coalesce(F.min(F.when(~ok, F.col("b"))), F.lit(-1)).alias("first_failing"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("lower_bound"))
 
 
 QUERIES, SQL = query.queries, query.sql

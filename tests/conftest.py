@@ -2,6 +2,7 @@ import glob
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -31,11 +32,11 @@ def duck(folder, sql):
     c = duckdb.connect()
     for p in glob.glob(folder + "/*.parquet"):
         name = os.path.basename(p)[:-8]
-        c.execute(f"create view {name} as select * from read_parquet('{p}{'/*' if os.path.isdir(p) else ''}')")
+        c.execute(f"create view {name} as select * from read_parquet('{p}{'/*.parquet' if os.path.isdir(p) else ''}')")
     return rows(c.sql(sql).df())
 
 
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    one = lambda x: "null" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) and not float(x).is_integer() else str(int(x)) if isinstance(x, float) else str(x)
+    one = lambda x: "null" if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and x != x else f"{x:.6g}" if isinstance(x, float) and not float(x).is_integer() else str(int(x)) if isinstance(x, float) else str(x)
     return sorted(tuple(map(one, r)) for r in pdf.astype(object).itertuples(index=False))
