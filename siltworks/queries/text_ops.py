@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from siltworks.sources.tables import one_per_key, split_name, table
 
 query = Registry()
 
+#: Buckets of grams per shuffle partition; the grams to test of one bucket are held by one task at a time.
+BUCKETS = 32
+
 
 def texts(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """doc_id and text, a repeated doc_id with its least text."""
@@ -22,20 +27,21 @@ def texts(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 @query()
 def text_leak_index(spark: SparkSession, d: str) -> DataFrame:
     """Share of a test text's distinctive 16-grams (in at most two distinct train texts) that train texts
-    hold, over whole texts. Grams are compared by 128 bits. No SQL: DuckDB would hold every substring of
-    every text; tested against brute force."""
+    hold, over whole texts. Grams are compared by 128 bits. They are shuffled as pieces of text, each in the
+    bucket that its grams share, so that a gram isn't written 16 times over. No SQL: DuckDB would hold every
+    substring of every text; tested against brute force."""
 
     def plain(batches):
         for pdf in batches:
             yield pdf.assign(text=pdf["text"].map(G.normal))
 
-    x = table(spark, d, "documents", "doc_id", "text", "split").where("doc_id is not null and text is not null").withColumn("split", split_name("split")).where("split in ('train', 'test')")
-    x = spread(x).mapInPandas(plain, "doc_id long, text string, split string")
-    p = one_per_key(x.where("split = 'test'"), "doc_id", "text")
-    c = x.where("split = 'train'").select("text").distinct().mapInPandas(G.gram_counts, "a long, b long, texts long")
-    c = c.groupBy("a", "b").agg(F.sum("texts").alias("texts"))
-    g = p.mapInPandas(G.grams_by_text, "doc_id long, a long, b long").join(c, ["a", "b"], "left").withColumn("texts", F.when(F.col("a").isNotNull(), F.coalesce("texts", F.lit(0))))
-    n = g.groupBy("doc_id").agg(F.count_if(F.col("texts").between(1, 2)).alias("present"), F.count_if(F.col("texts") <= 2).alias("distinctive"))
+    x = table(spark, d, "documents", "doc_id", "text", "split").where("doc_id is not null and text is not null").withColumn("split", split_name("split"))
+    p = one_per_key(spread(x.where("split = 'test'").select("doc_id", "text")).mapInPandas(plain, "doc_id long, text string"), "doc_id", "text")
+    c = spread(x.where("split = 'train'").select("text")).mapInPandas(plain, "text string").distinct()
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = p.mapInPandas(partial(G.packed, buckets=buckets, train=False), G.PACKED).unionByName(c.mapInPandas(partial(G.packed, buckets=buckets, train=True), G.PACKED))
+    g = g.repartition("bucket").sortWithinPartitions("bucket", "train").mapInPandas(G.leaks, "doc_id long, present long, distinctive long")
+    n = g.groupBy("doc_id").agg(F.sum("present").alias("present"), F.sum("distinctive").alias("distinctive"))
     return n.withColumn("leak", F.round(F.when(F.col("distinctive") == 0, 0.0).otherwise(F.col("present") / F.col("distinctive")), 6))
 
 

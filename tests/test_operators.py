@@ -3,9 +3,11 @@
 import random
 import zipfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from siltworks.functions import ident, scan, text
+from siltworks.functions import grams, ident, scan, text
 from siltworks.functions.paths import canonical_path, trimmed
 from siltworks.operators import dedup, joins, packing, splits
 from siltworks.queries import text_ops
@@ -84,6 +86,40 @@ def test_leaks_in_bodies(spark, small, tmp_path):
     assert got == leaks({k: x for k, (x, s) in docs.items() if s == "test"}, [x for x, s in docs.values() if s == "train"])
 
 
+def test_leaks_shuffle_pieces_of_texts(spark, tmp_path):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzäß🌑", k=r.randint(2, 9))) for _ in range(3000)]
+    body = lambda n: " ".join(r.choices(words, k=n))
+    shared = [body(60) for _ in range(12)]
+    rows = [(i, " ".join([body(150), r.choice(shared), body(5), r.choice(shared)]), "test" if i % 8 == 0 else "train") for i in range(200)]
+    rows += [(600, "x" * 15, "test"), (601, "", "test"), (602, "x" * 16, "test"), (603, "ab" * 40, "test"), (604, "ab" * 30 + " ab " + "ab" * 30, "train"), (605, "x" * 400, "train"), (606, "\0" * 20, "test")]
+    spark.createDataFrame(rows, "doc_id long, text string, split string").write.parquet(str(tmp_path / "documents.parquet"))
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    written = lambda: sum(x.shuffleWriteBytes() for x in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())))
+    before = written()
+    got = {r["doc_id"]: (r["present"], r["distinctive"], r["leak"]) for r in text_ops.text_leak_index(spark, str(tmp_path)).collect()}
+    assert got == leaks({k: x for k, x, s in rows if s == "test"}, [x for _, x, s in rows if s == "train"])
+    assert 0 < written() - before < 4 * sum(len(x) for _, x, _ in rows)
+
+
+def test_leaks_in_small_batches(monkeypatch):
+    """Texts over many batches, and hashes of which a part tells nothing apart."""
+    r = random.Random(6)
+    texts = ["".join(r.choices("ab", k=r.randint(0, 90))) for _ in range(300)]
+    train, test = list(dict.fromkeys(texts[:240])), dict(enumerate(texts[240:]))
+    want = {k: x[:2] for k, x in leaks(test, train).items()}
+    hashes = grams._hashes
+    few = lambda codes, buckets=0: (hashes(codes, buckets)[0] & np.uint64(3), *hashes(codes, buckets)[1:])
+    for rows, block, buckets, f in ((1, 1 << 15, 1, hashes), (40, 7, 5, hashes), (500, 64, 3, few), (100_000, 16, 9, few)):
+        monkeypatch.setattr(grams, "ROWS", rows)
+        monkeypatch.setattr(grams, "BLOCK", block)
+        monkeypatch.setattr(grams, "_hashes", f)
+        x = pd.concat([*grams.packed([pd.DataFrame({"text": train})], buckets, True), *grams.packed([pd.DataFrame({"doc_id": test.keys(), "text": test.values()})], buckets, False)])
+        x = x.sort_values(["bucket", "train"])
+        got = pd.concat(grams.leaks([x[:3], x[3:]])).groupby("doc_id").sum()
+        assert {k: (y.present, y.distinctive) for k, y in got.iterrows()} == want
+
+
 def split_name_of(x):
     return (x or "").strip().lower()
 
